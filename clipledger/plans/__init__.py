@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timeline"]
+MODULES = ["timeline", "tracks", "scores"]
 
 
 def all_queries():

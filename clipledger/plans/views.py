@@ -784,4 +784,9 @@ def oracle(select: str) -> str:
     visit(select)
     if not needed:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed) + "\n" + select
+    views = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
+    # A query with CTEs of its own gets the views in front of them.
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", select)
+    if own:
+        return f"WITH {own.group(1) or ''}{views},\n{select[own.end():]}"
+    return f"WITH {views}\n{select}"
