@@ -55,8 +55,9 @@ def normalize_confidence(value: Column) -> Column:
     """Number clamped to [0, 1]; low/medium/high as words; anything else 0."""
     word = F.lower(strip(value))
     number = value.try_cast("double")
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
     return F.coalesce(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(~F.isnan(number), number))),
+        F.when(number.isNotNull() & ~F.isnan(number), clamped),
         lookup(CONFIDENCE_WORDS, word),
         F.lit(0.0),
     )

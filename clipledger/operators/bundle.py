@@ -82,7 +82,7 @@ def sample_bundle(
         .drop("__rank")
         .join(available.withColumnRenamed("event", "label"), "label")
     )
-    chosen = shortlist.groupBy(F.lit(1)).applyInPandas(
+    chosen = shortlist.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
         _greedy(per_class), "game string, clip string"
     )
     return described.join(chosen, _CLIP, "left_semi")

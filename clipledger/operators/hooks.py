@@ -16,8 +16,8 @@ def score_with(
     """Run ``fn`` on Arrow batches; a failing row becomes an error row.
 
     ``fn`` returns the columns of ``schema`` for the rows it gets. The result
-    has ``keys`` first, then ``schema`` and ``error``. A failing batch is tried
-    row by row, so one bad row costs no other row its result. Call it after
+    has ``keys`` first, then ``schema`` and ``error``. A failing batch is halved
+    until the bad rows are found, so one bad row costs no other row its result. Call it after
     ``distinct`` or a semi join: Spark does not move those below the hook.
     """
     out = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -28,19 +28,21 @@ def score_with(
     )
     names = full.names
 
+    def attempt(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield fn(rows).assign(error=None).reindex(columns=names)
+        except Exception as problem:
+            if len(rows) > 1:
+                # Halve until the bad rows stand alone.
+                middle = len(rows) // 2
+                yield from attempt(rows.iloc[:middle])
+                yield from attempt(rows.iloc[middle:])
+            else:
+                text = f"{type(problem).__name__}: {problem}"
+                yield rows[keys].assign(error=text).reindex(columns=names)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield fn(batch).assign(error=None).reindex(columns=names)
-                continue
-            except Exception:
-                pass  # Find the bad rows below.
-            for i in range(len(batch)):
-                row = batch.iloc[[i]]
-                try:
-                    yield fn(row).assign(error=None).reindex(columns=names)
-                except Exception as problem:
-                    text = f"{type(problem).__name__}: {problem}"
-                    yield row[keys].assign(error=text).reindex(columns=names)
+            yield from attempt(batch)
 
     return df.mapInPandas(run, full)

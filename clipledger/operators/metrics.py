@@ -65,15 +65,16 @@ def _alignment(predicted: list, reference: list) -> list[tuple[int, int]]:
 _PAIR_SCHEMA = "sample_id string, kind string, pred_pos bigint, ref_pos bigint, same_actor boolean"
 
 
-def _align_sample(predicted: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
+def _align_sample(rows: pd.DataFrame) -> pd.DataFrame:
     """Both alignments of one sample: by event, and by event and actor."""
+    rows = rows.sort_values("pos")
     sides = []
-    for side in (predicted, reference):
-        side = side.sort_values("pos")
+    for is_prediction in (True, False):
+        side = rows[rows["predicted"] == is_prediction]
         actors = [a if isinstance(a, str) and a else None for a in side["actor"]]
-        sides.append((side["sample_id"].tolist(), side["pos"].tolist(), side["event"].tolist(), actors))
-    (ids, ppos, pevents, pactors), (_, rpos, revents, ractors) = sides
-    rows = []
+        sides.append((side["pos"].tolist(), side["event"].tolist(), actors))
+    (ppos, pevents, pactors), (rpos, revents, ractors) = sides
+    pairs = []
     for kind in ("type", "full"):
         left, right = pevents, revents
         if kind == "full":
@@ -81,23 +82,25 @@ def _align_sample(predicted: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFr
             right = [(e, a) if a else None for e, a in zip(revents, ractors)]
         for i, j in _alignment(left, right):
             same = pactors[i] is not None and pactors[i] == ractors[j]
-            rows.append((ids[i], kind, ppos[i], rpos[j], same))
-    return pd.DataFrame(rows, columns=["sample_id", "kind", "pred_pos", "ref_pos", "same_actor"])
+            pairs.append((rows["sample_id"].iloc[0], kind, ppos[i], rpos[j], same))
+    return pd.DataFrame(pairs, columns=["sample_id", "kind", "pred_pos", "ref_pos", "same_actor"])
 
 
 def lcs_pairs(references: DataFrame, predictions: DataFrame) -> DataFrame:
     """Order-preserving one-to-one alignment per sample, as (position) pairs.
 
     Rows whose event does not occur on the other side of their sample can never
-    be paired and are dropped by semi joins before the grouped step.
+    be paired and are dropped by semi joins before the grouped step. A sample is
+    one short clip, so its rows fit a task.
     """
     cols = ["sample_id", "pos", "event", "actor"]
     key = ["sample_id", "event"]
-    left = predictions.select(*cols).join(references.select(*key), key, "left_semi").select(*cols)
-    right = references.select(*cols).join(predictions.select(*key), key, "left_semi").select(*cols)
-    return left.groupBy("sample_id").cogroup(right.groupBy("sample_id")).applyInPandas(
-        _align_sample, _PAIR_SCHEMA
+    left = predictions.select(*cols).join(references.select(*key), key, "left_semi")
+    right = references.select(*cols).join(predictions.select(*key), key, "left_semi")
+    both = left.select(*cols, F.lit(True).alias("predicted")).unionByName(
+        right.select(*cols, F.lit(False).alias("predicted"))
     )
+    return both.groupBy("sample_id").applyInPandas(_align_sample, _PAIR_SCHEMA)
 
 
 def _prf(prefix: str, matches: Column, predicted: Column, reference: Column) -> list[Column]:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timeline", "tracks", "scores"]
+MODULES = ["timeline", "tracks", "scores", "identity", "catalog", "labels", "metrics", "sources"]
 
 
 def all_queries():

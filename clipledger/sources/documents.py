@@ -1,5 +1,7 @@
 """Reading JSON documents: tracks, prediction reports, identity reports."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,24 +31,30 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def _whole_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _whole_documents(
+    spark: SparkSession, path: str | list[str], name: Callable[[Column], Column]
+) -> DataFrame:
     texts = spark.read.text(path, wholetext=True)
     return texts.select(
-        file_stem(F.col("_metadata.file_path")).alias("clip_id"),
+        name(F.col("_metadata.file_path")).alias("clip_id"),
         F.col("_metadata.file_path").alias("path"),
         "value",
     )
 
 
-def read_tracks(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
+def read_tracks(
+    spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] = file_stem
+) -> dict[str, DataFrame]:
     """Track documents with one key per track, as tables.
 
+    ``name`` derives the clip id from the file path.
+
     Returns ``tracks`` (one row per key), ``boxes`` (one row per frame, NULL box
     where absent or malformed) and ``bad_files`` (root is not an object). Keys
     are data, hence a MAP; frame entries stay text until their own row, so one
     odd entry only loses its own box.
     """
-    documents = _whole_documents(spark, path)
+    documents = _whole_documents(spark, path, name)
     parsed = documents.select("clip_id", "path", F.from_json("value", _TRACK).alias("tracks"))
     rows = parsed.filter("tracks IS NOT NULL").select(
         "clip_id", F.explode("tracks").alias("track_id", "t")
@@ -81,7 +89,9 @@ def read_tracks(spark: SparkSession, path: str | list[str]) -> dict[str, DataFra
     return {"tracks": tracks, "boxes": boxes, "bad_files": bad}
 
 
-def read_reports(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+def read_reports(
+    spark: SparkSession, paths: str | list[str], name: Callable[[Column], Column] = file_stem
+) -> dict[str, DataFrame]:
     """Prediction reports as tables; unreadable or mistyped files apart.
 
     Returns ``reports``, ``player_predictions``, ``temporal_events`` and
@@ -93,9 +103,12 @@ def read_reports(spark: SparkSession, paths: str | list[str]) -> dict[str, DataF
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(paths)
         .select(
-            file_stem(F.col("_metadata.file_path")).alias("window_id"),
+            name(F.col("_metadata.file_path")).alias("window_id"),
             F.col("_metadata.file_path").alias("path"),
-            "*",
+            "duration_seconds",
+            "player_predictions",
+            "temporal_events",
+            "_corrupt",
         )
     )
     good = raw.filter("_corrupt IS NULL")
