@@ -97,20 +97,12 @@ def read_reports(
     Returns ``reports``, ``player_predictions``, ``temporal_events`` and
     ``bad_files``. List order is kept in ``pos``.
     """
-    raw = (
-        spark.read.schema(REPORT_SCHEMA)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(paths)
-        .select(
-            name(F.col("_metadata.file_path")).alias("window_id"),
-            F.col("_metadata.file_path").alias("path"),
-            "duration_seconds",
-            "player_predictions",
-            "temporal_events",
-            "_corrupt",
-        )
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    raw = _whole_documents(spark, paths, name).select(
+        F.col("clip_id").alias("window_id"),
+        "path",
+        F.from_json("value", REPORT_SCHEMA, options).alias("r"),
+    ).select("window_id", "path", "r.*")
     good = raw.filter("_corrupt IS NULL")
 
     def rows(column: str) -> DataFrame:
