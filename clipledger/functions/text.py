@@ -28,6 +28,15 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def numbered(prefix: Column | str, index: Column | str, digits: int) -> Column:
+    """Prefix and zero-padded number, longer numbers in full.
+
+    Same text as a ``%0Nd`` format, but compiled instead of run by a formatter.
+    """
+    number = (F.col(index) if isinstance(index, str) else index).cast("string")
+    return F.concat(prefix, F.lpad(number, F.greatest(F.lit(digits), F.length(number)), "0"))
+
+
 def normalize_color(value: Column, collapse_inner: bool = True) -> Column:
     """Lower-cased colour or NULL; optionally keep inner white space as it is."""
     lowered = F.lower(value)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.text import collapse, lookup, normalize_color, normalize_jersey_number
+from clipledger.session import cut_lineage
 from clipledger.vocabulary import DIRECT_ACTIONS, SHOT_ACTIONS
 
 ANOMALY = ["scope_id", "code", "severity", "message", "context"]
@@ -239,6 +240,10 @@ def build_annotations(
         normalize_color(F.col("jersey_color")).alias("jersey_color"),
         normalize_jersey_number(F.col("jersey_number")).alias("jersey_number"),
     )
+    # Labels and tracks feed several outputs and the verdict; both are small next
+    # to the actions and boxes they come from and are written once.
+    shaped, labels = cut_lineage(shaped), cut_lineage(labels)
+    mapping_anomalies = cut_lineage(mapping_anomalies)
     players = shaped.filter("track_id <> 'ball'")
     usable = F.col("is_object") & (F.col("n_frames") > 0)
     named = F.col("jersey_color").isNotNull() & F.col("jersey_number").isNotNull()

@@ -8,10 +8,12 @@ from ``samples``.
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipledger.functions.numbers import interval_overlap, ratio
 from clipledger.functions.text import event_name, known_event, report_event_name
 from clipledger.operators.prefix import with_position
+from clipledger.operators.timeline import TIME_BUCKET
 from clipledger.vocabulary import EVENT_LABELS
 
 
@@ -62,45 +64,73 @@ def _alignment(predicted: list, reference: list) -> list[tuple[int, int]]:
     return pairs
 
 
-_PAIR_SCHEMA = "sample_id string, kind string, pred_pos bigint, ref_pos bigint, same_actor boolean"
+_INDICES = T.ArrayType(T.IntegerType())
+_PAIRS = T.StructType(
+    [T.StructField(n, _INDICES) for n in ("type_pred", "type_ref", "full_pred", "full_ref")]
+)
 
 
-def _align_sample(rows: pd.DataFrame) -> pd.DataFrame:
-    """Both alignments of one sample: by event, and by event and actor."""
-    rows = rows.sort_values("pos")
-    sides = []
-    for is_prediction in (True, False):
-        side = rows[rows["predicted"] == is_prediction]
-        actors = [a if isinstance(a, str) and a else None for a in side["actor"]]
-        sides.append((side["pos"].tolist(), side["event"].tolist(), actors))
-    (ppos, pevents, pactors), (rpos, revents, ractors) = sides
-    pairs = []
-    for kind in ("type", "full"):
-        left, right = pevents, revents
-        if kind == "full":
-            left = [(e, a) if a else None for e, a in zip(pevents, pactors)]
-            right = [(e, a) if a else None for e, a in zip(revents, ractors)]
-        for i, j in _alignment(left, right):
-            same = pactors[i] is not None and pactors[i] == ractors[j]
-            pairs.append((rows["sample_id"].iloc[0], kind, ppos[i], rpos[j], same))
-    return pd.DataFrame(pairs, columns=["sample_id", "kind", "pred_pos", "ref_pos", "same_actor"])
+@F.pandas_udf(_PAIRS)
+def _align(
+    pred_events: pd.Series, pred_actors: pd.Series, ref_events: pd.Series, ref_actors: pd.Series
+) -> pd.DataFrame:
+    """Both alignments of each sample: by event, and by event and actor."""
+    rows = []
+    for pe, pa, re, ra in zip(pred_events, pred_actors, ref_events, ref_actors):
+        by_type = _alignment(list(pe), list(re))
+        by_both = _alignment(
+            [(e, a) if a else None for e, a in zip(pe, pa)],
+            [(e, a) if a else None for e, a in zip(re, ra)],
+        )
+        rows.append([[pair[k] for pair in pairs] for pairs in (by_type, by_both) for k in (0, 1)])
+    return pd.DataFrame(rows, columns=_PAIRS.names)
 
 
 def lcs_pairs(references: DataFrame, predictions: DataFrame) -> DataFrame:
     """Order-preserving one-to-one alignment per sample, as (position) pairs.
 
     Rows whose event does not occur on the other side of their sample can never
-    be paired and are dropped by semi joins before the grouped step. A sample is
-    one short clip, so its rows fit a task.
+    be paired and are dropped by semi joins. A sample is one short clip: both
+    sides become arrays of one row, and Python aligns whole Arrow batches of
+    samples.
     """
-    cols = ["sample_id", "pos", "event", "actor"]
+    cols = ["sample_id", "pos", "event", _actor().alias("actor")]
     key = ["sample_id", "event"]
     left = predictions.select(*cols).join(references.select(*key), key, "left_semi")
     right = references.select(*cols).join(predictions.select(*key), key, "left_semi")
-    both = left.select(*cols, F.lit(True).alias("predicted")).unionByName(
-        right.select(*cols, F.lit(False).alias("predicted"))
+    both = left.select(*left.columns, F.lit(True).alias("predicted")).unionByName(
+        right.select(*right.columns, F.lit(False).alias("predicted"))
+    )
+    row = F.struct("pos", "event", "actor")
+    sides = both.groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("predicted"), row))).alias("p"),
+        F.array_sort(F.collect_list(F.when(~F.col("predicted"), row))).alias("r"),
+    )
+    aligned = sides.withColumn("a", _align("p.event", "p.actor", "r.event", "r.actor"))
+    pairs = aligned.select(
+        "sample_id",
+        "p",
+        "r",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(kind).alias("kind"),
+                        F.arrays_zip(F.col(f"a.{kind}_pred").alias("i"), F.col(f"a.{kind}_ref").alias("j")).alias("ij"),
+                    )
+                    for kind in ("type", "full")
+                ]
+            )
+        ).alias("k"),
+    ).select("sample_id", "p", "r", "k.kind", F.explode("k.ij").alias("ij"))
+    pred, ref = F.get("p", F.col("ij.i")), F.get("r", F.col("ij.j"))
+    return pairs.select(
+        "sample_id",
+        "kind",
+        pred["pos"].alias("pred_pos"),
+        ref["pos"].alias("ref_pos"),
+        F.coalesce(pred["actor"] == ref["actor"], F.lit(False)).alias("same_actor"),
     )
-    return both.groupBy("sample_id").applyInPandas(_align_sample, _PAIR_SCHEMA)
 
 
 def _prf(prefix: str, matches: Column, predicted: Column, reference: Column) -> list[Column]:
@@ -342,7 +372,7 @@ def product_predictions(events: DataFrame, identities: DataFrame) -> DataFrame:
         shaped,
         ["source_video_id"],
         [F.col("midpoint"), F.col("event_id")],
-        F.floor(F.col("midpoint") / 3600.0),
+        F.floor(F.col("midpoint") / TIME_BUCKET),
         name="pos",
     )
 

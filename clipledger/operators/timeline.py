@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipledger.functions.text import literal_map, strip
+from clipledger.functions.text import literal_map, numbered, strip
 from clipledger.operators.prefix import interval_join, with_position
 from clipledger.session import cut_lineage
 from clipledger.vocabulary import BOUNDARY_METHOD, DEFAULT_PADDING, PADDING_SECONDS
 
-# Seconds per bucket when events of one video are walked in time order.
-TIME_BUCKET = 3600.0
+# Seconds per bucket when events of one video are walked in time order. A video
+# has at most duration / TIME_BUCKET buckets, and one bucket is one task's share.
+TIME_BUCKET = 60.0
 
 GROUP = ["source_video_id", "event"]
 ORDER = ["global_start_seconds", "event", "window_id", "local_track_id", "candidate_id"]
@@ -55,7 +56,7 @@ def collect_candidates(
         F.lit("unknown"),
     )
     mapped = joined.select(
-        F.format_string("%s:event_%04d", "window_id", "pos").alias("candidate_id"),
+        numbered(F.concat("window_id", F.lit(":event_")), "pos", 4).alias("candidate_id"),
         "source_video_id",
         "window_id",
         track.alias("local_track_id"),
@@ -238,7 +239,7 @@ def _summarise(grouped: DataFrame, bucket_seconds: float) -> DataFrame:
         name="event_index",
     )
     return numbered.select(
-        F.format_string("%s:event_%05d", "source_video_id", "event_index").alias("event_id"),
+        numbered(F.concat("source_video_id", F.lit(":event_")), "event_index", 5).alias("event_id"),
         "source_video_id",
         "event_index",
         "event",
@@ -278,7 +279,7 @@ def material_drafts(events: DataFrame, videos: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0.0), F.col("evidence_start_seconds") - F.col("pre_roll_seconds"))
     end = F.least(F.col("__duration"), F.col("evidence_end_seconds") + F.col("post_roll_seconds"))
     return padded.select(
-        F.format_string("%s:material_%05d", "source_video_id", "event_index").alias("material_id"),
+        numbered(F.concat("source_video_id", F.lit(":material_")), "event_index", 5).alias("material_id"),
         "source_video_id",
         start.alias("start_seconds"),
         end.alias("end_seconds"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger.functions.boxes import is_box
 from clipledger.functions.numbers import spread_positions
+from clipledger.functions.text import numbered
 from clipledger.operators.prefix import with_position
 
 # Frames per bucket when positions are counted along a track.
@@ -57,7 +58,7 @@ def plan_windows(
     joined_tail = is_last & (natural_end < F.col("duration"))
     end = F.when(is_last, F.col("duration")).otherwise(natural_end)
     rows = rows.select(
-        F.format_string("%s_%05d", "source_video_id", "index").alias("segment_id"),
+        numbered(F.concat("source_video_id", F.lit("_")), "index", 5).alias("segment_id"),
         "source_video_id",
         F.col("index").cast("int").alias("index"),
         start.alias("start_seconds"),
@@ -101,7 +102,7 @@ def assign_windows(
     start = F.col("window_index") * F.lit(step)
     return rows.select(
         *points.columns,
-        F.format_string("%s_%05d", "video_id", "window_index").alias("window_id"),
+        numbered(F.concat("video_id", F.lit("_")), "window_index", 5).alias("window_id"),
         F.col("window_index").cast("int").alias("window_index"),
         start.alias("window_start"),
         (t - start).alias("local_seconds"),
