@@ -16,8 +16,8 @@ def lookup(values: dict, key: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    """Trim every kind of ASCII white space, not only blanks."""
+    return F.btrim(value, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def collapse(value: Column) -> Column:

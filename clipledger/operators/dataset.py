@@ -18,10 +18,10 @@ CLIP_FILES = {
     "pbp": ("description/PBP", "json"),
     "action": ("description/action", "json"),
     "gt_caption": ("description/GT caption", "txt"),
-    "basket_event_annotation": ("label", "json"),
+    "annotation": ("label", "json"),
 }
 ROSTER_FILE = "description/players/roster.json"
-RELATED = ["pbp", "action", "gt_caption", "roster", "basket_event_annotation"]
+RELATED = ["pbp", "action", "gt_caption", "roster", "annotation"]
 
 
 def _parts(files: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def clip_manifest(files: DataFrame) -> DataFrame:
         F.col("path") == F.concat_ws("/", "game", F.lit(ROSTER_FILE))
     ).select("game", F.lit(ROSTER_FILE).alias("roster"))
     return clips.join(rosters, "game", "left").select(
-        F.col("game").alias("bard_game"),
+        "game",
         game_id(F.col("game")).alias("game_id"),
         F.col("stem").alias("video_name"),
         "video",
@@ -66,7 +66,7 @@ def clip_manifest(files: DataFrame) -> DataFrame:
 
 def manifest_gaps(manifest: DataFrame) -> DataFrame:
     """Clip count and missing related files per game."""
-    return manifest.groupBy("bard_game").agg(
+    return manifest.groupBy("game").agg(
         F.count(F.lit(1)).alias("clips"),
         *[F.count_if(F.col(f).isNull()).alias(f"missing_{f}") for f in RELATED],
     )
@@ -186,12 +186,12 @@ def export_runtime(
     ``splits`` has ``split, game``; ``videos`` and ``annotations`` have ``game,
     video_name``.
     """
-    games = splits.select("split", F.col("game").alias("bard_game"), game_id(F.col("game")).alias("game_id"))
+    games = splits.select("split", "game", game_id(F.col("game")).alias("game_id"))
     joined = games.join(
-        videos.select(F.col("game").alias("bard_game"), "video_name"), "bard_game"
+        videos.select("game", "video_name"), "game"
     ).join(
-        annotations.select(F.col("game").alias("bard_game"), "video_name", F.lit(True).alias("__ok")),
-        ["bard_game", "video_name"],
+        annotations.select("game", "video_name", F.lit(True).alias("__ok")),
+        ["game", "video_name"],
         "left",
     )
     ok = F.coalesce("__ok", F.lit(False))
@@ -200,7 +200,7 @@ def export_runtime(
     manifest = joined.select(
         F.when(ok, "exported").otherwise("skipped_missing_annotation").alias("status"),
         "split",
-        "bard_game",
+        "game",
         "game_id",
         "video_name",
         F.when(ok, path).alias("video"),
@@ -213,11 +213,11 @@ def export_runtime(
     )
     summary = per_split.join(clip_counts, "split", "left").na.fill(0)
     shared = games.groupBy("game_id").agg(
-        F.min("bard_game").alias("a"), F.max("bard_game").alias("b")
+        F.min("game").alias("a"), F.max("game").alias("b")
     ).filter("a <> b").select(F.lit("shared_game_id").alias("problem"), F.col("game_id").alias("item"))
     empty = games.join(
-        videos.select(F.col("game").alias("bard_game")), "bard_game", "left_anti"
-    ).select(F.lit("no_videos").alias("problem"), F.col("bard_game").alias("item"))
+        videos.select("game"), "game", "left_anti"
+    ).select(F.lit("no_videos").alias("problem"), F.col("game").alias("item"))
     return {"manifest": manifest, "summary": summary, "problems": shared.unionByName(empty)}
 
 

@@ -12,7 +12,7 @@ from clipledger.functions.text import (
 )
 from clipledger.operators.prefix import running, with_previous
 
-# Reasons stored with a decision.
+# Texts stored with a decision.
 REASONS = {
     "identified": "every complete observation supports one colour and number",
     "conflicting": "several jersey identities were seen on one track",

@@ -36,10 +36,8 @@ def anomaly(code: str, severity: str, message: str, **details: Column) -> Column
 
 def anomaly_rows(df: DataFrame, scope: str, *found: Column) -> DataFrame:
     """Explode anomaly structs (NULL where a rule holds) into rows."""
-    present = F.filter(F.array(*found), lambda item: item.isNotNull())
-    return df.select(F.col(scope).alias("scope_id"), F.explode(present).alias("a")).select(
-        "scope_id", "a.*"
-    )
+    rows = df.select(F.col(scope).alias("scope_id"), F.explode(F.array(*found)).alias("a"))
+    return rows.filter("a IS NOT NULL").select("scope_id", "a.*")
 
 
 def map_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +89,8 @@ def map_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
         "clip_id",
         "jersey_color",
         F.col("action_index").alias("source_action_index"),
-        F.explode(F.filter(F.array(primary, assist), lambda e: e.isNotNull())).alias("e"),
-    ).select(
+        F.explode(F.array(primary, assist)).alias("e"),
+    ).filter("e IS NOT NULL").select(
         *ACTOR[:2], "e.jersey_number", "e.label", "source_action_index", "e.role"
     )
     index = F.col("action_index")

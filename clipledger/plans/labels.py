@@ -293,7 +293,7 @@ def clip_manifest_query(v: Views) -> DataFrame:
 
 @query(
     "manifest_gaps",
-    """SELECT bard_game, count(*) AS clips, """ + ", ".join(
+    """SELECT game, count(*) AS clips, """ + ", ".join(
         f"count(*) FILTER (WHERE {f} IS NULL) AS missing_{f}" for f in ds.RELATED
     ) + " FROM manifest GROUP BY 1",
 )
@@ -357,7 +357,7 @@ def _export(v: Views) -> dict[str, DataFrame]:
 
 
 _EXPORT = """(SELECT CASE WHEN o_orderstatus = 'F' AND o_totalprice > 495000 THEN 'exported' ELSE 'skipped_missing_annotation' END AS status, split,
-      o.game AS bard_game, right(o.game, 10) AS game_id, CAST(o_orderkey AS VARCHAR) AS video_name,
+      o.game AS game, right(o.game, 10) AS game_id, CAST(o_orderkey AS VARCHAR) AS video_name,
       CASE WHEN o_orderstatus = 'F' AND o_totalprice > 495000 THEN 'videos/' || right(o.game, 10) || '/' || o_orderkey || '.mp4' END AS video,
       CASE WHEN o_orderstatus = 'F' AND o_totalprice > 495000 THEN split || '/' || right(o.game, 10) || '/' || o_orderkey || '.json' END AS annotation
     FROM game_orders o JOIN splits s ON s.game = o.game)"""
@@ -370,7 +370,7 @@ def export_manifest_query(v: Views) -> DataFrame:
 
 @query(
     "export_summary",
-    f"""SELECT split, count(DISTINCT bard_game) AS games, count(*) AS clips, count(*) FILTER (WHERE status <> 'exported') AS missing_annotations FROM {_EXPORT} GROUP BY 1""",
+    f"""SELECT split, count(DISTINCT game) AS games, count(*) AS clips, count(*) FILTER (WHERE status <> 'exported') AS missing_annotations FROM {_EXPORT} GROUP BY 1""",
 )
 def export_summary_query(v: Views) -> DataFrame:
     return _export(v)["summary"]

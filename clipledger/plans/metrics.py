@@ -206,9 +206,18 @@ def bundle_per_class_query(v: Views) -> DataFrame:
     return _bundle_scores(v)["per_class"].select("game", "event", "matches", "predicted", "reference")
 
 
-@query("bundle_sequence")
+@query(
+    "bundle_sequence",
+    _BUNDLE + """, p AS (SELECT sample_id, list(event ORDER BY pos) AS pe, list(coalesce(event || '/' || actor, 'x' || pos) ORDER BY pos) AS pa FROM kept GROUP BY 1),
+    r AS (SELECT sample_id, game, list(event ORDER BY pos) AS re, list(coalesce(event || '/' || actor, 'y' || pos) ORDER BY pos) AS ra FROM references_ GROUP BY 1, 2),
+    m AS (SELECT game, coalesce(len(pe), 0) AS np, len(re) AS nr, CASE WHEN pe IS NULL THEN 0 ELSE """ + _lcs("pe", "re") + """ END AS t,
+        CASE WHEN pe IS NULL THEN 0 ELSE """ + _lcs("pa", "ra") + """ END AS f FROM r LEFT JOIN p ON p.sample_id = r.sample_id)
+    SELECT game, CAST(sum(np) AS BIGINT) AS predicted, CAST(sum(nr) AS BIGINT) AS reference, CAST(sum(t) AS BIGINT) AS type_matches,
+      CAST(sum(f) AS BIGINT) AS full_matches FROM m GROUP BY GROUPING SETS ((game), ())""",
+)
 def bundle_sequence_query(v: Views) -> DataFrame:
-    return _bundle_scores(v)["sequence"]
+    scores = _bundle_scores(v)["sequence"]
+    return scores.select("game", "predicted", "reference", "type_matches", "full_matches")
 
 
 def _track_inputs(v: Views):
@@ -295,7 +304,18 @@ _STRATA = """strata AS (SELECT game, CAST(o_orderkey AS VARCHAR) AS clip, CAST(f
       FROM game_orders LEFT JOIN contributions ON clip_id = 'o' || o_orderkey GROUP BY game, o_orderkey, o_totalprice)"""
 
 
-@query("sample_bundle")
+@query(
+    "sample_bundle",
+    f"""WITH RECURSIVE {_STRATA},
+    lab AS (SELECT event, row_number() OVER (ORDER BY n, event) AS i FROM (SELECT e.event, count(c.label) AS n FROM event_labels e
+      LEFT JOIN contributions c ON c.label = e.event GROUP BY 1)),
+    lists AS (SELECT i, event, coalesce((SELECT list({{'g': game, 'c': clip, 's': s}} ORDER BY h, game, clip) FROM strata WHERE list_contains(s, event)), []) AS l FROM lab),
+    walk AS (SELECT 0::BIGINT AS i, []::STRUCT(g VARCHAR, c VARCHAR, s VARCHAR[])[] AS sel
+      UNION ALL SELECT n.i, list_concat(sel, list_filter(n.l, lambda x: NOT list_contains(sel, x))[1:greatest(0, 4 - len(list_filter(sel, lambda x: list_contains(x.s, n.event))))])
+      FROM walk w JOIN lists n ON n.i = w.i + 1)
+    SELECT game, clip, size_bytes, coalesce(array_to_string(s, ','), '') AS strata FROM strata WHERE (game, clip) IN
+      (SELECT (x.g, x.c) FROM (SELECT unnest(sel) AS x FROM walk WHERE i = 10))""",
+)
 def sample_bundle_query(v: Views) -> DataFrame:
     chosen = bd.sample_bundle(*_bundle_inputs(v), seed=11, per_class=4)
     return chosen.withColumn("strata", F.array_join("strata", ","))

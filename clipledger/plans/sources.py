@@ -289,7 +289,7 @@ def write_jsonl_query(v: Views) -> DataFrame:
     """The clip manifest written as JSON lines per game and read back."""
     path = shared_folder(v.spark)
     manifest = clip_manifest(v.files)
-    sinks.write_jsonl(manifest, path, by="bard_game")
+    sinks.write_jsonl(manifest, path, by="game")
     return v.spark.read.schema(manifest.schema).json(path)
 
 

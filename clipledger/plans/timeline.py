@@ -65,7 +65,12 @@ def merged_islands_query(v: Views) -> DataFrame:
     return _flat(tl.merge_islands(_candidates(v)))
 
 
-@query("merged_exact")
+@query(
+    "merged_exact",
+    """SELECT printf('%s:event_%05d', source_video_id, event_index) AS event_id, source_video_id, event,
+      global_track_id, confidence, temporal_score, start AS evidence_start_seconds, end_ AS evidence_end_seconds,
+      candidate_ids, track_references FROM exact_events""",
+)
 def merged_exact_query(v: Views) -> DataFrame:
     return _flat(tl.merge_candidates(_candidates(v)))
 
@@ -90,7 +95,15 @@ def material_drafts_query(v: Views) -> DataFrame:
     return drafts.withColumn("event_ids", F.array_join("event_ids", ","))
 
 
-@query("build_timeline")
+@query(
+    "build_timeline",
+    f"""SELECT printf('%s:material_%05d', source_video_id, event_index) AS material_id, source_video_id,
+      greatest(0.0, start - pre) AS start_seconds, least(duration_seconds, end_ + post) AS end_seconds,
+      printf('%s:event_%05d', source_video_id, event_index) AS event_ids,
+      'event_evidence_with_type_padding' AS boundary_method, pre AS pre_roll_seconds, post AS post_roll_seconds,
+      least(duration_seconds, end_ + post) - greatest(0.0, start - pre) AS duration_seconds
+    FROM ({_PADDED.replace("island_events", "exact_events")})""",
+)
 def build_timeline_query(v: Views) -> DataFrame:
     built = tl.build_timeline(v.windows, v.claims, v.videos)
     return built["material_drafts"].withColumn("event_ids", F.array_join("event_ids", ","))

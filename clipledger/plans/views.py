@@ -579,6 +579,37 @@ VIEW_SQL = {
             string_agg(candidate_id, ',' ORDER BY global_start_seconds, window_id, local_track_id, candidate_id) AS candidate_ids,
             string_agg(window_id || '/' || local_track_id, ',' ORDER BY global_start_seconds, window_id, local_track_id, candidate_id) AS track_references
           FROM islands GROUP BY source_video_id, event, island)""",
+    "ordered_candidates": """
+        SELECT *, row_number() OVER (PARTITION BY source_video_id, event
+          ORDER BY global_start_seconds, window_id, local_track_id, candidate_id) AS i FROM candidates""",
+    # The merge rule walked candidate by candidate; the state lists the groups
+    # that can still be joined: name, reach, window=track entries, known person.
+    "greedy_walk": """
+        SELECT source_video_id, event, 0::BIGINT AS i, ''::VARCHAR AS grp,
+          []::STRUCT(n VARCHAR, r DOUBLE, w VARCHAR[], k VARCHAR)[] AS gs
+        FROM (SELECT DISTINCT source_video_id, event FROM ordered_candidates)
+        UNION ALL
+        SELECT source_video_id, event, i, coalesce(hit.n, candidate_id),
+          CASE WHEN hit IS NULL THEN list_append(open, {'n': candidate_id, 'r': e, 'w': [wt], 'k': known})
+          ELSE list_transform(open, lambda g: CASE WHEN g.n = hit.n
+            THEN {'n': g.n, 'r': greatest(g.r, e), 'w': list_append(g.w, wt), 'k': coalesce(g.k, known)} ELSE g END) END
+        FROM (SELECT *, list_last(list_filter(open, lambda g: len(list_filter(g.w, lambda x: starts_with(x, win) AND x <> wt)) = 0
+            AND (known IS NULL OR g.k IS NULL OR g.k = known))) AS hit
+          FROM (SELECT c.source_video_id, c.event, c.i, c.candidate_id, c.global_end_seconds AS e, c.global_track_id AS known,
+              c.window_id || '=' AS win, c.window_id || '=' || c.local_track_id AS wt,
+              list_filter(w.gs, lambda g: c.global_start_seconds <= g.r + 0.5) AS open
+            FROM greedy_walk w JOIN ordered_candidates c ON c.source_video_id = w.source_video_id AND c.event = w.event AND c.i = w.i + 1))""",
+    "exact_events": """
+        SELECT *, CAST(row_number() OVER (PARTITION BY source_video_id
+            ORDER BY start, event, window_id, local_track_id, first_candidate) - 1 AS BIGINT) AS event_index
+        FROM (SELECT source_video_id, event, max(confidence) AS confidence, max(temporal_score) AS temporal_score,
+            max(global_track_id) AS global_track_id,
+            min(global_start_seconds) AS start, max(global_end_seconds) AS end_,
+            arg_min(window_id, i) AS window_id, arg_min(local_track_id, i) AS local_track_id,
+            arg_min(candidate_id, i) AS first_candidate, string_agg(candidate_id, ',' ORDER BY i) AS candidate_ids,
+            string_agg(window_id || '/' || local_track_id, ',' ORDER BY i) AS track_references
+          FROM ordered_candidates JOIN greedy_walk USING (source_video_id, event, i)
+          GROUP BY source_video_id, event, grp)""",
     "boxes": f"""
         SELECT 'c' || l_suppkey AS clip_id, {_TRACK} AS track_id, CAST(l_partkey % 240 AS INTEGER) AS frame,
           max({_HIDDEN.format('l_quantity*10')}) AS x, max({_HIDDEN.format('l_tax*1000')}) AS y,
@@ -723,13 +754,13 @@ VIEW_SQL = {
           printf('t%d-vs-u%d-%010d', (o_custkey // 50) % 7, (o_custkey // 50) % 5, o_custkey // 50) AS game FROM orders""",
     "roster_games": "SELECT game FROM game_orders GROUP BY game HAVING max(o_totalprice) < 499500",
     "manifest": """
-        SELECT o.game AS bard_game, right(o.game, 10) AS game_id, CAST(o_orderkey AS VARCHAR) AS video_name,
+        SELECT o.game AS game, right(o.game, 10) AS game_id, CAST(o_orderkey AS VARCHAR) AS video_name,
           'video/' || o_orderkey || '.mp4' AS video,
           CASE WHEN o_orderstatus <> 'P' THEN 'description/PBP/' || o_orderkey || '.json' END AS pbp,
           CASE WHEN o_orderpriority <> '1-URGENT' THEN 'description/action/' || o_orderkey || '.json' END AS action,
           CASE WHEN o_orderpriority <> '5-LOW' THEN 'description/GT caption/' || o_orderkey || '.txt' END AS gt_caption,
           CASE WHEN o.game IN (SELECT game FROM roster_games) THEN 'description/players/roster.json' END AS roster,
-          CASE WHEN o_orderstatus = 'F' THEN 'label/' || o_orderkey || '.json' END AS basket_event_annotation
+          CASE WHEN o_orderstatus = 'F' THEN 'label/' || o_orderkey || '.json' END AS annotation
         FROM game_orders o""",
     "splits": """
         SELECT game, CASE WHEN pos < n - v - t THEN 'train' WHEN pos < n - t THEN 'valid' ELSE 'test' END AS split, pos
@@ -787,6 +818,7 @@ def oracle(select: str) -> str:
     views = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
     # A query with CTEs of its own gets the views in front of them.
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", select)
+    recursive = "RECURSIVE " if "greedy_walk" in needed or (own and own.group(1)) else ""
     if own:
-        return f"WITH {own.group(1) or ''}{views},\n{select[own.end():]}"
-    return f"WITH {views}\n{select}"
+        return f"WITH {recursive}{views},\n{select[own.end():]}"
+    return f"WITH {recursive}{views}\n{select}"
