@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.numbers import spread_positions
-from clipledger.functions.boxes import is_box
+from clipledger.functions.boxes import box_array, castable_box, is_box, is_finite_box
 from clipledger.operators import tracks as tr
 from clipledger.operators import windows as win
 from clipledger.plans.registry import query
@@ -456,14 +456,21 @@ def spread_positions_query(v: Views) -> DataFrame:
 
 @query(
     "valid_box_variants",
-    """SELECT clip_id, track_id, count(*) FILTER (WHERE w > 0 AND h > 0) AS model_input, count(*) FILTER (WHERE w > 1 AND h > 1) AS sampling
-    FROM boxes GROUP BY 1, 2""",
+    """SELECT clip_id, track_id, count(*) FILTER (WHERE w > 0 AND h > 0) AS model_input, count(*) FILTER (WHERE w > 1 AND h > 1) AS sampling,
+      count(*) FILTER (WHERE w > 1 AND h > 1) AS finite, count(*) FILTER (WHERE w > 0 AND h > 0 AND x > 20) AS castable,
+      count(*) FILTER (WHERE x IS NOT NULL AND h > 3) AS complete FROM boxes GROUP BY 1, 2""",
 )
 def valid_boxes_query(v: Views) -> DataFrame:
     width, height = F.col("w"), F.col("h")
+    shown = F.when(F.col("x") > 20, F.col("x").cast("string")).otherwise("left")
+    texts = F.array(shown, *[F.col(c).cast("string") for c in "ywh"])
+    numbers = F.when(height > 3, F.array(*[F.col(c) for c in "xywh"])).otherwise(F.array("x", "y"))
     return v.boxes.groupBy("clip_id", "track_id").agg(
         F.count_if(is_box(width, height)).alias("model_input"),
         F.count_if(is_box(width, height, 1.0)).alias("sampling"),
+        F.count_if(is_finite_box(F.col("x"), F.col("y"), width, height, 1.0)).alias("finite"),
+        F.count_if(castable_box(texts).isNotNull()).alias("castable"),
+        F.count_if(box_array(numbers).isNotNull()).alias("complete"),
     )
 
 
