@@ -113,7 +113,10 @@ def mark_islands(
         local.groupBy(*bucket)
         .agg(
             F.max("global_end_seconds").alias("__reach"),
-            F.max(F.when(F.col("__opens"), F.struct(*ORDER))).alias("__last"),
+            # Openings have strictly increasing starts, so the start orders them.
+            F.max(
+                F.when(F.col("__opens"), F.struct("global_start_seconds", "candidate_id"))
+            ).alias("__last"),
         )
         .withColumn("__carry", F.max("__reach").over(earlier))
     )
@@ -126,10 +129,10 @@ def mark_islands(
 
     joined = local.join(carried, bucket)
     opens = F.col("__opens") & (F.col("__carry").isNull() | (start > F.col("__carry") + gap))
-    latest = F.max(F.when(opens, F.struct(*ORDER))).over(upto)
-    return joined.withColumn(
-        "island", F.coalesce(latest, F.col("__island"))["candidate_id"]
-    ).drop("__bucket", "__end", "__opens", "__carry", "__island")
+    latest = F.last(F.when(opens, F.col("candidate_id")), ignorenulls=True).over(upto)
+    return joined.withColumn("island", F.coalesce(latest, F.col("__island.candidate_id"))).drop(
+        "__bucket", "__end", "__opens", "__carry", "__island"
+    )
 
 
 def merge_islands(
