@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import packing
+from clipledger.llm import packing, token_store
 from clipledger.llm.base import table
 
 
@@ -12,5 +12,9 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"op5_best_fit_packing": op5_best_fit_packing}
+def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.store_and_read(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_store)}
 ORACLES: dict[str, str] = {}
