@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-SLICE = 1 << 19
+SLICE = 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
@@ -49,6 +50,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def with_columns(schema: StructType, **columns: str) -> StructType:
+    """A new schema with these columns (name=type name) at the end."""
+    return StructType(schema.fields + StructType.fromDDL(", ".join(f"{k} {v}" for k, v in columns.items())).fields)
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as ''."""
     key = F.col(key) if isinstance(key, str) else key
@@ -140,9 +146,11 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.zeros(0, np.uint64)
     size = ends - starts
     first = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    at = place + np.repeat(starts, size)
-    part = _TABLE[((place & 63) << 8) | data[at]]
+    # the letters of all words one after another, with the place of each in its word
+    step = np.arange(int(size.sum()), dtype=np.int32)
+    place = step - np.repeat(first.astype(np.int32), size)
+    letter = data[step + np.repeat((starts - first).astype(np.int32), size)]
+    part = _TABLE[((place & 63) << 8) | letter]
     if int(size.max()) > 64:
         part *= mix((place >> 6).astype(np.uint64)) | _U(1)
     return mix(np.add.reduceat(part, first) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))

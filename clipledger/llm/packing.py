@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import blocks_for, number_rows, save
+from clipledger.llm.base import blocks_for, number_rows, save, with_columns
 from clipledger.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -264,7 +264,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [x for x in names if x != "_rank"] + ["sequence_id", "offset"])
 
     ranked = ranked.select(*pieces.columns, "_rank")
-    return ranked.mapInArrow(place, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(place, with_columns(pieces.schema, sequence_id="long", offset="long"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -4,17 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import packing, token_store
+from clipledger.llm import decontaminate, packing, pii, secrets, sharding, syncmers, token_store, toxicity
 from clipledger.llm.base import table
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def op2_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.fingerprint_documents(table(spark, folder, "documents"))
+
+
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_history(table(spark, folder, "documents").select("doc_id", "text"))[0]
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.detect_all(table(spark, folder, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
+
+
 def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.store_and_read(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_store)}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_syncmers, op3_secrets, op4_pii, op5_best_fit_packing, op7_sharding, op8_token_store, op10_decontamination)}
 ORACLES: dict[str, str] = {}

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import mix, save, working_folder
+from clipledger.llm.base import mix, save, with_columns, working_folder
 from clipledger.llm.tokens import encoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -251,7 +251,7 @@ def look_up(keys: DataFrame, index_parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(column | more)
 
     joined = keys.withColumn("part", index_part(first["parts"])).join(index_parts.drop("parts"), "part", "left").drop("part")
-    schema = keys.schema.add("shard", "integer").add("start", "long").add("n_ids", "long")
+    schema = with_columns(keys.schema, shard="int", start="long", n_ids="long")
     return joined.sortWithinPartitions("index_path").mapInArrow(find, schema)
 
 
