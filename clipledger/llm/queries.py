@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipledger.llm import decontaminate, packing, pii, secrets, sharding, syncmers, token_store, toxicity
+from clipledger.llm import causal_lm, decontaminate, ngram_join, packing, pii, secrets, sharding, syncmers, token_store, toxicity
 from clipledger.llm.base import table
 
 
@@ -30,6 +30,10 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
@@ -38,9 +42,19 @@ def op8_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.store_and_read(table(spark, folder, "documents"))
 
 
+def op9_causal_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return causal_lm.score_documents(table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_syncmers, op3_secrets, op4_pii, op5_best_fit_packing, op7_sharding, op8_token_store, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_syncmers, op3_secrets, op4_pii, op5_best_fit_packing,
+        op6_ngram_join, op7_sharding, op8_token_store, op9_causal_lm, op10_decontamination,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,7 @@
 1. Every labelled training text gives the set of its n-grams (3 to 5 characters of
    the lower-cased text, hashed to 2^20 numbers). Tasks count, per n-gram and class,
    the texts that hold it; sums of these counts over *all* labelled texts give each
-   n-gram's log-count ratio r = log(p / (1-class total)) and the strength z of its evidence.
+   n-gram's log-count ratio r (toxic over clean rate, smoothed) and the gain of its evidence.
 2. The ``FEATURES`` strongest n-grams are the features; a text's value for one is its
    r where the n-gram occurs, else 0.
 3. A logistic regression with ridge penalty is fitted on these values over a bounded
@@ -25,7 +25,7 @@ from clipledger.llm.base import fold, save, strings, with_columns
 
 ORDERS = (3, 4, 5)
 BITS = 20
-FEATURES = 4096
+FEATURES = 2048
 FIT_ROWS = 20_000
 SMOOTH = 1.0
 #: Labels of at most so many rows may be broadcast to the texts (16 bytes each).
@@ -97,6 +97,18 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int")).mapInArrow(count, "part int, counts binary, clean long, toxic long")
 
 
+def likelihood_gain(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """How much better two rates of an n-gram explain its texts than one rate does (G statistic)."""
+    share, held = toxic / (toxic + clean), in_toxic + in_clean
+    gain = np.zeros(len(held))
+    for seen, expected in (
+        (in_toxic, held * share), (in_clean, held * (1 - share)),
+        (toxic - in_toxic, (toxic + clean - held) * share), (clean - in_clean, (toxic + clean - held) * (1 - share)),
+    ):
+        gain += np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-9)), 0.0)
+    return 2 * gain
+
+
 def log_ratios(counted: DataFrame, clean: int, toxic: int, features: int = FEATURES) -> DataFrame:
     """(gram, ratio) of the n-grams with the strongest evidence."""
     wide = (1 << BITS) // _PARTS
@@ -108,7 +120,7 @@ def log_ratios(counted: DataFrame, clean: int, toxic: int, features: int = FEATU
                 total += np.frombuffer(raw.as_buffer(), np.int32).reshape(2, wide)
         p, q = (total[1] + SMOOTH) / (toxic + 2 * SMOOTH), (total[0] + SMOOTH) / (clean + 2 * SMOOTH)
         ratio = np.log(p) - np.log(q)
-        strength = np.abs(ratio) / np.sqrt(1 / (total[1] + SMOOTH) + 1 / (total[0] + SMOOTH))
+        strength = likelihood_gain(total[1], total[0], toxic, clean)
         seen = np.flatnonzero(total.sum(0))
         best = seen[np.argsort(-strength[seen], kind="stable")][:features]
         yield pa.RecordBatch.from_arrays([pa.array(best + key[0].as_py() * wide), pa.array(ratio[best]), pa.array(strength[best])], ["gram", "ratio", "strength"])
@@ -139,7 +151,7 @@ class Model:
             cols.append(pair % max(1, len(self.gram)))
         return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, steps: int = 120, ridge: float = 1e-4) -> None:
+    def fit(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, steps: int = 500, ridge: float = 1e-5) -> None:
         """Full-batch accelerated gradient steps of ridge-penalised logistic regression."""
         n = len(labels)
         value = self.ratio[cols]

@@ -1,19 +1,54 @@
-"""A cleaning pipeline for a text corpus, stage by stage, each written as Parquet."""
+"""A cleaning pipeline for a text corpus: five stages, each written as Parquet and reread.
+
+Toxic documents go, one document of each group of near duplicates stays, documents that
+hold benchmark items go, personal data is masked, and what is left is packed into
+sequences of tokens. All but the last stage return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clipledger.llm import packing
+from clipledger.llm import decontaminate, ngram_join, packing, pii, toxicity
 from clipledger.llm.base import save, table
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the classifier doesn't predict to be toxic."""
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~toxicity.held_out())
+    names = docs.columns
+    return toxicity.score(docs, model).where("predicted = 0").select(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the smallest key of every component; texts without words all stay."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, folder, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Every document, with spans replaced by their kind and ``n_chars`` counted anew where it was known."""
+    masked = pii.mask(docs, pii.train(docs))
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token pieces of what is left, packed into sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", pack_stage)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack_documents),
+]
 
 #: The stages train models and follow links between documents, which SQL can't express.
 ORACLE_SQL = None
