@@ -42,8 +42,8 @@ PERCENT = 80
 RARE = 16
 #: Prefix tokens of a batch and, about, of a block; documents that may be broadcast by key.
 BATCH, BLOCK, SMALL_KEYS = 400_000, 1 << 20, 2_000_000
-#: Pivot rounds before the rest is verified in full, and what rest is worth another round.
-ROUNDS, REST = 6, 4
+#: Pivot rounds before the rest is verified in full.
+ROUNDS = 2
 _U = np.uint64
 _ENTRY = np.dtype([("doc", "<u4"), ("count", "<u4"), ("token", "<u8")])
 
@@ -65,8 +65,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         if n >= WORDS:
             out.append(np.unique(total[at : at + n - WORDS + 1]))
         elif n:
-            own = sum((word[at + k] * factors[k] for k in range(n)), _U(n))
-            out.append(mix(np.array([own], np.uint64)))
+            out.append(mix((word[at : at + n] * np.array(factors[:n])).sum(keepdims=True) + _U(n)))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -188,8 +187,27 @@ def sum_counts(packed: DataFrame) -> DataFrame:
     return packed.groupBy("block").applyInArrow(add, "block long, keys binary, counts binary")
 
 
-def ask_counts(docs: DataFrame, bits: int) -> DataFrame:
-    """Packed prefix tokens per (batch of documents, block); block -1 has a batch's keys and sizes."""
+def prefixes(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key, size, prefix) of the rows of (doc_id, text) that may have a link."""
+    ids = batch.column(0).to_pylist()
+    for first, _, data, offsets in slices(batch.column(1)):
+        for k, own in enumerate(shingle_sets(data, offsets)):
+            if len(own) > 2 and ids[first + k] is not None:
+                yield ids[first + k], len(own), own[: prefix_length(len(own))]
+
+
+def stored(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key, size, tokens) of rows of (doc_id, tokens)."""
+    for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+        own = np.frombuffer(raw.as_buffer(), np.uint64)
+        yield key, len(own), own
+
+
+def ask_counts(rows: DataFrame, bits: int, tokens_of=prefixes) -> DataFrame:
+    """Packed tokens per (batch of documents, block); a block below 0 has a batch's keys and sizes.
+
+    Batches are numbered by task, so the rows must be computed by one shuffle only.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() << 32
@@ -201,7 +219,7 @@ def ask_counts(docs: DataFrame, bits: int) -> DataFrame:
             value, doc = value[order], doc[order]
             edges = np.searchsorted(value, np.arange((1 << bits) + 1, dtype=np.uint64) << _U(32))
             low = (value & _U(0xFFFFFFFF)).astype("<u4")
-            rows = [(-1, np.array(keys, "<i8").tobytes(), np.array(sizes, "<i8").tobytes())]
+            rows = [(-1 - (turn & (1 << bits) - 1), np.array(keys, "<i8").tobytes(), np.array(sizes, "<i8").tobytes())]
             small = "<u2" if len(tokens) < 1 << 16 else "<u4"
             rows += [(k, low[edges[k] : edges[k + 1]].tobytes(), doc[edges[k] : edges[k + 1]].astype(small).tobytes()) for k in np.flatnonzero(np.diff(edges)).tolist()]
             block, left, right = zip(*rows)
@@ -209,31 +227,28 @@ def ask_counts(docs: DataFrame, bits: int) -> DataFrame:
 
         keys, sizes, tokens, held = [], [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, _, data, offsets in slices(batch.column(1)):
-                for k, own in enumerate(shingle_sets(data, offsets)):
-                    if len(own) > 2 and ids[first + k] is not None:
-                        keys.append(ids[first + k])
-                        sizes.append(len(own))
-                        tokens.append(own[: prefix_length(len(own))])
-                        held += len(tokens[-1])
+            for key, size, own in tokens_of(batch):
+                keys.append(key)
+                sizes.append(size)
+                tokens.append(own)
+                held += len(own)
                 if held >= BATCH:
                     yield packed(keys, sizes, tokens)
                     turn, keys, sizes, tokens, held = turn + 1, [], [], [], 0
         if tokens:
             yield packed(keys, sizes, tokens)
 
-    return docs.mapInArrow(ask, "block long, batch long, keys binary, docs binary")
+    return rows.mapInArrow(ask, "block long, batch long, keys binary, docs binary")
 
 
-def answer(asked: DataFrame, counted: DataFrame, bits: int, parts: int) -> DataFrame:
+def answer(asked: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     """Per (batch, block) the entries (document, count, token) of tokens that several prefixes hold.
 
     A block's counts come first in the sorted stream and stay in memory while its
     questions pass by, however many they are.
     """
     first = counted.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("batch"), "keys", F.col("counts").alias("docs"))
-    rest = asked.where("block >= 0").select("block", F.lit(1).alias("kind"), "batch", "keys", "docs")
+    rest = asked.select("block", F.lit(1).alias("kind"), "batch", "keys", "docs")
     merged = first.unionByName(rest).repartition(parts, "block").sortWithinPartitions("block", "kind")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +256,9 @@ def answer(asked: DataFrame, counted: DataFrame, bits: int, parts: int) -> DataF
         for batch in batches:
             out = []
             for block, kind, asker, keys, docs in zip(*(batch.column(k) for k in range(5))):
+                if block.as_py() < 0:
+                    out.append((asker.as_py(), None, keys.as_py(), docs.as_py()))
+                    continue
                 if kind.as_py() == 0:
                     value, count = np.frombuffer(keys.as_buffer(), "<u4"), np.frombuffer(docs.as_buffer(), "<u4")
                     continue
@@ -253,15 +271,11 @@ def answer(asked: DataFrame, counted: DataFrame, bits: int, parts: int) -> DataF
                 entry["doc"], entry["count"] = doc[good], count[at[good]]
                 entry["token"] = (_U(block.as_py()) << _U(32)) | asked[good].astype(np.uint64)
                 if len(entry):
-                    out.append((asker.as_py(), entry.tobytes()))
-            asker, entries = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_pydict({"batch": pa.array(asker, pa.int64()), "entries": pa.array(entries, pa.binary())})
+                    out.append((asker.as_py(), entry.tobytes(), None, None))
+            asker, *rest = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict({"batch": pa.array(asker, pa.int64())} | {x: pa.array(y, pa.binary()) for x, y in zip(("entries", "keys", "docs"), rest)})
 
-    found = merged.mapInArrow(look, "batch long, entries binary")
-    heads = asked.where("block = -1").select("batch", "keys", "docs")
-    return found.select("batch", "entries", *(F.lit(None).cast("binary").alias(x) for x in ("keys", "docs"))).unionByName(
-        heads.select("batch", F.lit(None).cast("binary").alias("entries"), "keys", "docs")
-    )
+    return merged.mapInArrow(look, "batch long, entries binary, keys binary, docs binary")
 
 
 def sign(answers: DataFrame) -> DataFrame:
@@ -299,26 +313,66 @@ def token_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, "doc_id long, tokens binary")
 
 
+def count_tokens(sets: DataFrame, bits: int) -> DataFrame:
+    """Packed counts of the tokens of stored sets."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+
+        def counts() -> pa.RecordBatch:
+            block, keys, n = zip(*_packed_counts(waiting, bits))
+            return pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(n, pa.binary())})
+
+        for batch in batches:
+            for _, size, own in stored(batch):
+                waiting.append(own)
+                held += size
+                if held >= 1 << 20:
+                    yield counts()
+                    waiting, held = [], 0
+        if waiting:
+            yield counts()
+
+    return sets.mapInArrow(read, "block long, keys binary, counts binary")
+
+
+def shared_tokens(sets: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(doc_id, n, shared): how many tokens of a stored set another stored set holds, too."""
+    counted = sum_counts(count_tokens(sets, bits))
+    answers = answer(ask_counts(sets, bits, stored), counted, parts)
+
+    def total(key: tuple, group: pa.Table) -> pa.Table:
+        head = next((i for i, x in enumerate(group.column("keys")) if x.is_valid), None)
+        if head is None:
+            return pa.table({x: pa.array([], pa.int64()) for x in ("doc_id", "n", "shared")})
+        ids, size = (np.frombuffer(group.column(x)[head].as_buffer(), "<i8") for x in ("keys", "docs"))
+        found = [np.frombuffer(x.as_buffer(), _ENTRY)["doc"] for x in group.column("entries") if x.is_valid]
+        shared = np.bincount(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), minlength=len(ids))
+        return pa.table({"doc_id": ids, "n": size, "shared": shared})
+
+    return answers.groupBy("batch").applyInArrow(total, "doc_id long, n long, shared long")
+
+
 # ---- links and components ----------------------------------------------------------
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; a is the pivot, whose set goes to its pairs."""
+    """(a, b, both, linked) of pairs (a, b): their common tokens; a pivot's set is joined last, to all its pairs."""
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("struct<both:long,linked:boolean>")
+    def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        both, linked = [], []
         for x, y in zip(left, right):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             few, many = (x, y) if len(x) <= len(y) else (y, x)
             at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-            both = int((many[at] == few).sum())
-            out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+            both.append(int((many[at] == few).sum()))
+            linked.append(100 * both[-1] >= PERCENT * (len(x) + len(y) - both[-1]))
+        return pd.DataFrame({"both": both, "linked": linked}).astype({"both": "int64", "linked": "bool"})
 
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right")), "b")
     with_a = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left")), "a")
-    return save(with_a.where(linked("left", "right")).select("a", "b"))
+    return save(with_a.select("a", "b", compare("left", "right").alias("_r")).select("a", "b", "_r.both", "_r.linked"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,31 +393,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def fits(a: str, b: str):
-    """Sizes that a link allows."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def reaches(common, a: str, b: str):
+    """Whether so many common tokens make a link of sets of these sizes."""
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (common * (100 + PERCENT) >= (F.col(a) + F.col(b)) * PERCENT)
+
+
+def _order(turn: int):
+    """First the members near the middle of their group, then an order of each round's own."""
+    own = F.xxhash64("doc_id", F.lit(turn)).alias("by")
+    return F.struct((F.col("n") - F.col("shared") if not turn else F.lit(0)).alias("alone"), own, "doc_id", "n", "shared")
 
 
 def link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc_id, comp) of linked documents, given (sig, doc_id, n) of groups of two and more."""
+    """(doc_id, comp) of linked documents, given (sig, doc_id, n, shared) of groups of two and more.
+
+    The first pivot of a group has the fewest tokens of its own: edited copies have
+    some, the text they were made from has none. Common tokens with a pivot also bound
+    the common tokens of two members: at most the fewer of both, plus the fewer of
+    what each shares outside the pivot. So only few pairs are left for the end.
+    """
     labels = save(groups.select("doc_id").distinct().withColumn("comp", F.col("doc_id")))
-    seen = None
+    seen: list[DataFrame] = []
 
-    def take(pairs: DataFrame, labels: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def take(pairs: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
         new = pairs.where("a <> b").distinct()
-        if seen is not None:
-            new = new.join(seen, ["a", "b"], "left_anti")
-        new = save(new)
-        links = verify(new, sets)
+        for old in seen:
+            new = new.join(old.select("a", "b").unionByName(old.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        seen.append(verify(save(new), sets))
+        links = seen[-1].where("linked").select("a", "b")
         ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("comp").alias("_a")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("comp").alias("_b")), "b")
         ends = save(ends.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
-        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        seen = both if seen is None else seen.unionByName(both)
-        if not ends.isEmpty():
-            joined = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
-            labels = save(labels.join(joined, "comp", "left").select("doc_id", F.coalesce("_new", "comp").alias("comp")))
-        return labels, seen
+        if ends.isEmpty():
+            return labels, False
+        joined = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+        return save(labels.join(joined, "comp", "left").select("doc_id", F.coalesce("_new", "comp").alias("comp"))), True
 
+    anchors = None
     for turn in range(ROUNDS):
         placed = groups.join(labels, "doc_id")
         if turn:
@@ -371,27 +436,30 @@ def link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
             mixed = placed.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l < _h").select("sig")
             groups = save(groups.join(mixed, "sig", "left_semi"))
             placed = groups.join(labels, "doc_id")
-            per = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("sig")
-            rest = per.agg((F.sum("m") * (F.sum("m") - F.max("m"))).alias("pairs"), F.sum("m").alias("rows"))
-            pairs, rows = (x or 0 for x in rest.agg(F.sum("pairs"), F.sum("rows")).first())
-            if pairs <= REST * rows:
-                break
-        # the pivot: by a hash that changes from round to round, in the largest component from the second on
-        if turn:
-            held = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("_h"), "doc_id", "n")).alias("_p"))
-            pivots = held.groupBy("sig").agg(F.max(F.struct("m", "comp", "_p")).alias("_x")).select("sig", F.col("_x._p.doc_id").alias("a"), F.col("_x._p.n").alias("_n"), F.col("_x.comp").alias("_c"))
-            stars = placed.join(pivots, "sig").where("comp <> _c")
-        else:
-            pivots = groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("doc_id").alias("_h"), "doc_id", "n")).alias("_p")).select("sig", F.col("_p.doc_id").alias("a"), F.col("_p.n").alias("_n"))
-            stars = groups.join(pivots, "sig")
-        labels, seen = take(stars.where(fits("n", "_n")).select("a", F.col("doc_id").alias("b")), labels, seen)
+        # one pivot per group, of its largest component
+        held = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(_order(turn)).alias("_p"))
+        best = F.struct("m", F.col("_p.alone").alias("alone"), "comp", "_p") if turn else F.struct("m", -F.col("_p.alone"), -F.col("_p.by"), "comp", "_p")
+        pivots = held.groupBy("sig").agg(F.max(best).alias("_x")).select("sig", F.col("_x._p.doc_id").alias("a"), F.col("_x._p.n").alias("_n"), F.col("_x._p.shared").alias("_s"), F.col("_x.comp").alias("_c"))
+        stars = placed.join(pivots, "sig").where(F.col("comp") != F.col("_c"))
+        if turn:  # the first comparison also serves the bound, so it's for everyone
+            stars = stars.where(reaches(F.least("shared", "_s"), "n", "_n"))
+        labels, more = take(stars.select("a", F.col("doc_id").alias("b")), labels)
+        if not turn:
+            # each member's anchor: of the pivots it was compared with, the one of most members
+            told = seen[0].select("a", "b", "both").unionByName(seen[0].join(sets.select(F.col("doc_id").alias("a"), (F.octet_length("tokens") / 8).cast("long").alias("_n")), "a").select("a", F.col("a").alias("b"), F.col("_n").alias("both")).distinct())
+            often = seen[0].groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+            anchors = told.join(often, "a").groupBy("b").agg(F.max(F.struct("m", "a", "both")).alias("_x"))
+            anchors = save(anchors.select(F.col("b").alias("doc_id"), F.col("_x.a").alias("anchor"), F.col("_x.both").alias("within")))
+        if not more:
+            break
     # what is left between components: members outside their group's largest one against all others
-    placed = save(groups.join(labels, "doc_id"))
+    placed = save(groups.join(labels, "doc_id").join(anchors, "doc_id", "left"))
     largest = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("_x")).select("sig", F.col("_x.comp").alias("_c"))
-    few = placed.join(largest, "sig").where("comp <> _c").select("sig", F.col("doc_id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_a"))
-    rest = placed.alias("p").join(few.alias("f"), (F.col("p.sig") == F.col("f.sig")) & (F.col("p.comp") != F.col("f._a")) & fits("p.n", "f._n"))
-    labels, _ = take(rest.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")), labels, seen)
-    return labels
+    few = placed.join(largest, "sig").where("comp <> _c").select("sig", *(F.col(x).alias(f"_{x}") for x in ("doc_id", "n", "shared", "comp", "anchor", "within")))
+    beyond = F.least(F.col("shared") - F.col("within"), F.col("_shared") - F.col("_within"))
+    common = F.when(F.col("anchor") == F.col("_anchor"), F.least("within", "_within") + beyond).otherwise(F.least("shared", "_shared"))
+    rest = placed.join(few, "sig").where(F.col("comp") != F.col("_comp")).where(reaches(common, "n", "_n"))
+    return take(rest.select(F.least("_doc_id", "doc_id").alias("a"), F.greatest("_doc_id", "doc_id").alias("b")), labels)[0]
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -408,7 +476,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     # equal sets are one class, called by its smallest key
     classes = save(sized.where("n > 0 and doc_id is not null").groupBy("n", "lo", "hi").agg(F.min("doc_id").alias("cls")))
     counted = save(sum_counts(read.where("kind = 1").select("block", "keys", "counts")))
-    answers = save(answer(ask_counts(docs, bits), counted, bits, max(1, 1 << bits)))
+    answers = save(answer(ask_counts(docs, bits), counted, max(1, 1 << bits)))
     signed = sign(answers).join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
     signed = save(signed)
     several = signed.groupBy("sig").agg(F.min("doc_id").alias("_l"), F.max("doc_id").alias("_h")).where("_l < _h").select("sig")
@@ -416,6 +484,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     keys = save(groups.select("doc_id").distinct())
     wanted = F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
     sets = save(token_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    # tokens that no other candidate holds can't be in an intersection: many sets need no comparison at all
+    shared = save(shared_tokens(sets, bits, max(1, 1 << bits)))
+    hopeful = shared.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "shared")
+    groups = save(groups.join(hopeful, "doc_id"))
     labels = link_groups(groups, sets).select(F.col("doc_id").alias("cls"), "comp")
     named = save(classes.join(labels, "cls", "left").select("n", "lo", "hi", F.coalesce("comp", "cls").alias("comp")))
     joined = sized.join(named, ["n", "lo", "hi"], "left")
