@@ -2,8 +2,8 @@
 
 1. Words are lower-cased (A-Z) and lose punctuation at their edges. The ``N``-grams of
    the benchmark items are counted over all training texts.
-2. Each item keeps its rarest n-grams as seeds: the ``SHARE`` of them with the fewest
-   occurrences in the training texts, ``LEAST`` at least. Ties go to the earlier place.
+2. Each item keeps its rarest n-grams as seeds: of those that occur, the ``SHARE`` with
+   the fewest occurrences in the training texts, ``LEAST`` at least. Ties go to the earlier place.
 3. Training texts are searched for seeds. Hits of one item that lie within reach of
    each other make a passage; passages with ``HITS`` different seeds are aligned with
    the item by Smith-Waterman over words, many passages at a time.
@@ -91,9 +91,10 @@ class Items:
         return row[whole], at[whole], key[whole]
 
     def keep_rare(self, occurrences: np.ndarray) -> None:
-        """Keep each item's seeds, given the occurrences of every key in the training texts."""
+        """Keep each item's seeds, given the occurrences of every key; n-grams that don't occur can't hit."""
         often = occurrences[np.repeat(np.arange(len(self.keys)), self.many)]
         order = np.lexsort((self.place, often, self.item))
+        order = order[often[order] > 0]
         item = self.item[order]
         size = np.bincount(item, minlength=len(self.ids))
         rank = np.arange(len(order)) - (np.cumsum(size) - size)[item]

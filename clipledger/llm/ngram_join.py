@@ -39,7 +39,7 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Tokens of more prefixes are frequent.
-RARE = 16
+RARE = 256
 #: Prefix tokens of a batch and, about, of a block; documents that may be broadcast by key.
 BATCH, BLOCK, SMALL_KEYS = 400_000, 1 << 20, 2_000_000
 #: Pivot rounds before the rest is verified in full.
@@ -479,8 +479,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     answers = save(answer(ask_counts(docs, bits), counted, max(1, 1 << bits)))
     signed = sign(answers).join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
     signed = save(signed)
-    several = signed.groupBy("sig").agg(F.min("doc_id").alias("_l"), F.max("doc_id").alias("_h")).where("_l < _h").select("sig")
-    groups = save(signed.join(several, "sig", "left_semi"))
+    # signatures of the same members tell the same: one of them stays
+    members = [F.count(F.lit(1)).alias("_m"), F.min("doc_id").alias("_l"), F.max("doc_id").alias("_h")]
+    members += [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"_x{k}") for k in (1, 2)]
+    several = signed.groupBy("sig").agg(*members).where("_l < _h").groupBy("_m", "_l", "_h", "_x1", "_x2").agg(F.min("sig").alias("sig"))
+    groups = save(signed.join(several.select("sig"), "sig", "left_semi"))
     keys = save(groups.select("doc_id").distinct())
     wanted = F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
     sets = save(token_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))

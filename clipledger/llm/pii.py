@@ -37,6 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SHAPES = 1 << 14
 LOOSE, CHAIN, SKIP, ROUNDS = 0.05, 4.0, 256.0, 8
+#: Pairs of alike words with equal labels that are taken as seen before the first document.
+AGREE = 50
 _PLAIN = SHAPES
 _MARK = re.compile(r"[0-9@]")
 _GAP = re.compile(r"[\x20\x09-\x0D]")
@@ -149,12 +151,19 @@ class Field:
 
 
 def count_field(field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label counts by shape, by chain pair and by skip pair; unobserved words count as none."""
+    """Label counts by shape, by chain pair and by skip pair.
+
+    Unobserved words count as none, except in a skip pair with an observed one: whether
+    the patterns missed such a word is what the field is to find out.
+    """
+    known = np.array(field.label, np.int64) > 0
     label = np.maximum(np.array(field.label, np.int64), 0)
     own = np.bincount(np.array(field.shapes, np.int64) * LABELS + label, minlength=(SHAPES + 1) * LABELS)
     pairs = []
     for edges in (field.chain, field.skip):
         e = np.array(edges, np.int64).reshape(-1, 2)
+        if edges is field.skip:
+            e = e[known[e[:, 0]] == known[e[:, 1]]]
         pairs.append(np.bincount(label[e[:, 0]] * LABELS + label[e[:, 1]], minlength=LABELS**2) if len(label) else np.zeros(LABELS**2, np.int64))
     return own, *pairs
 
@@ -166,7 +175,7 @@ class Model:
         seen = (own + prior) / (own.sum(1, keepdims=True) + 1)
         # what base patterns left aside may still be of its shape's kind, with small odds
         self.own = np.log(np.concatenate([1 - LOOSE * (1 - seen[:, :1]), LOOSE * seen[:, 1:]], 1))
-        self.chain, self.skip = self._ratio(chain, CHAIN), self._ratio(skip, SKIP)
+        self.chain, self.skip = self._ratio(chain, CHAIN), self._ratio(skip + AGREE * np.eye(LABELS, dtype=np.int64).ravel(), SKIP)
 
     @staticmethod
     def _ratio(counts: np.ndarray, bound: float) -> np.ndarray:
