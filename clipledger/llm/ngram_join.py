@@ -100,12 +100,19 @@ def prefix_length(size: int) -> int:
 
 
 def signatures(token: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """Signatures of a prefix, given how many prefixes hold each token."""
+    """Signatures of a prefix, given how many prefixes hold each token.
+
+    A prefix with fewer than spread + 1 tokens that others hold has no link in the class.
+    """
+    token, count = token[count > 1], count[count > 1]
     often = count > RARE
-    out = [mix(token[~often & (count > 1)])]
-    frequent = np.sort(token[often])
+    frequent, out = np.sort(token[often]), [np.zeros(0, np.uint64)]
+    if len(token) > spread(size, 1):
+        out.append(mix(token[~often]))
     for below in (0, 1):
         buckets = spread(size, below)
+        if len(token) <= buckets:
+            continue
         bucket = (mix(frequent) % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -372,7 +379,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right")), "b")
     with_a = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left")), "a")
-    return save(with_a.select("a", "b", compare("left", "right").alias("_r")).select("a", "b", "_r.both", "_r.linked"))
+    told = with_a.select("a", "b", compare("left", "right").alias("_r")).select("a", "b", "_r.both", "_r.linked")
+    # a key with several rows has several sets: what links one of them links the key
+    return told.groupBy("a", "b").agg(F.max("both").alias("both"), F.max("linked").alias("linked"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -419,7 +428,7 @@ def link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
         new = pairs.where("a <> b").distinct()
         for old in seen:
             new = new.join(old.select("a", "b").unionByName(old.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        seen.append(verify(save(new), sets))
+        seen.append(save(verify(save(new), sets)))
         links = seen[-1].where("linked").select("a", "b")
         ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("comp").alias("_a")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("comp").alias("_b")), "b")
         ends = save(ends.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
@@ -486,10 +495,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     groups = save(signed.join(several.select("sig"), "sig", "left_semi"))
     keys = save(groups.select("doc_id").distinct())
     wanted = F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
-    sets = save(token_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = save(token_sets(docs.join(wanted, "doc_id", "left_semi")))
     # tokens that no other candidate holds can't be in an intersection: many sets need no comparison at all
     shared = save(shared_tokens(sets, bits, max(1, 1 << bits)))
-    hopeful = shared.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("doc_id", "shared")
+    hopeful = shared.where(F.col("shared") * 100 >= F.col("n") * PERCENT).groupBy("doc_id").agg(F.max("shared").alias("shared"))
     groups = save(groups.join(hopeful, "doc_id"))
     labels = link_groups(groups, sets).select(F.col("doc_id").alias("cls"), "comp")
     named = save(classes.join(labels, "cls", "left").select("n", "lo", "hi", F.coalesce("comp", "cls").alias("comp")))
