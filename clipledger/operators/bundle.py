@@ -93,7 +93,7 @@ def class_coverage(bundle: DataFrame) -> DataFrame:
     counts = bundle.select(F.explode("strata").alias("event")).groupBy("event").agg(
         F.count(F.lit(1)).alias("clips")
     )
-    grid = bundle.limit(1).select(
+    grid = bundle.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(name) for name in EVENT_LABELS])).alias("event")
     )
     return grid.join(counts, "event", "left").na.fill(0, ["clips"])

@@ -15,8 +15,9 @@ def score_with(
 ) -> DataFrame:
     """Run ``fn`` on Arrow batches; a failing row becomes an error row.
 
-    ``fn`` returns the columns of ``schema`` for the rows it gets. The result
-    has ``keys`` first, then ``schema`` and ``error``. A failing batch is halved
+    ``fn`` returns the columns of ``schema``, one row per row it gets, in their
+    order. The result has ``keys`` (taken from the input) first, then ``schema``
+    and ``error``. A failing batch is halved
     until the bad rows are found, so one bad row costs no other row its result. Call it after
     ``distinct`` or a semi join: Spark does not move those below the hook.
     """
@@ -30,7 +31,11 @@ def score_with(
 
     def attempt(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         try:
-            yield fn(rows).assign(error=None).reindex(columns=names)
+            got = fn(rows)
+            if len(got) != len(rows):
+                raise ValueError(f"{len(got)} results for {len(rows)} rows")
+            values = got[[f.name for f in out.fields if f.name not in keys]].reset_index(drop=True)
+            yield pd.concat([rows[keys].reset_index(drop=True), values], axis=1).assign(error=None)[names]
         except Exception as problem:
             if len(rows) > 1:
                 # Halve until the bad rows stand alone.

@@ -25,16 +25,17 @@ def _label_grid(df: DataFrame, *keys: str) -> DataFrame:
     """Each distinct key with all ten labels, so absent labels count as zero."""
     labels = F.explode(F.array(*[F.lit(name) for name in EVENT_LABELS])).alias("event")
     if not keys:
-        return df.limit(1).select(labels)
+        return df.sparkSession.range(1).select(labels)
     return df.select(*keys).distinct().select(*keys, labels)
 
 
 def _alignment(predicted: list, reference: list) -> list[tuple[int, int]]:
     """Longest common subsequence as index pairs; None never equals anything.
 
-    Equal heads always pair up; otherwise the prediction is skipped unless that
-    loses length. Each table row is kept as the bit set of positions where the
-    length grows, so a row costs one pass over machine words.
+    A prediction takes the next equal reference if that one is up, or if the
+    length would drop without the prediction; else it goes unpaired. Each table
+    row is kept as the bit set of positions where the length grows (the last
+    reference is bit 0), so a row costs one pass over machine words.
     """
     size = len(reference)
     full = (1 << size) - 1
@@ -48,19 +49,15 @@ def _alignment(predicted: list, reference: list) -> list[tuple[int, int]]:
         state = ((state + hit) | (state - hit)) & full
         rows.append(~state & full)
     rows.reverse()  # rows[i]: growth positions for predicted[i:] against the reference
-
-    def length(i: int, j: int) -> int:
-        return (rows[i] & ((1 << (size - j)) - 1)).bit_count()
-
-    pairs, i, j = [], 0, 0
-    while i < len(predicted) and j < size:
-        if predicted[i] is not None and predicted[i] == reference[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif length(i + 1, j) >= length(i, j + 1):
-            i += 1
-        else:
-            j += 1
+    pairs, left = [], full  # left: the references that are still to come
+    for i, key in enumerate(predicted):
+        equal = where.get(key, 0) & left
+        if not equal:
+            continue
+        spot = equal.bit_length()
+        if spot == left.bit_length() or (rows[i] & left).bit_count() > (rows[i + 1] & left).bit_count():
+            pairs.append((i, size - spot))
+            left = (1 << (spot - 1)) - 1
     return pairs
 
 
@@ -89,15 +86,16 @@ def _align(
 def lcs_pairs(references: DataFrame, predictions: DataFrame) -> DataFrame:
     """Order-preserving one-to-one alignment per sample, as (position) pairs.
 
-    Rows whose event does not occur on the other side of their sample can never
-    be paired and are dropped by semi joins. A sample is one short clip: both
-    sides become arrays of one row, and Python aligns whole Arrow batches of
-    samples.
+    A prediction whose event no reference of its sample has never pairs and
+    changes no length, so it is dropped by a semi join. References all stay: one
+    that nothing equals still decides which prediction is skipped first. A sample
+    is one short clip: both sides become arrays of one row, and Python aligns
+    whole Arrow batches of samples.
     """
     cols = ["sample_id", "pos", "event", _actor().alias("actor")]
     key = ["sample_id", "event"]
     left = predictions.select(*cols).join(references.select(*key), key, "left_semi")
-    right = references.select(*cols).join(predictions.select(*key), key, "left_semi")
+    right = references.select(*cols).join(predictions.select("sample_id"), "sample_id", "left_semi")
     both = left.select(*left.columns, F.lit(True).alias("predicted")).unionByName(
         right.select(*right.columns, F.lit(False).alias("predicted"))
     )
@@ -470,9 +468,10 @@ def score_tracks(samples: DataFrame, references: DataFrame, predictions: DataFra
     ).filter("event <> 'blank'")
     counts = pair_counts(samples, truth, shaped)
     timed = truth.filter("interval_start IS NOT NULL").join(
-        shaped.select(
-            "sample_id", "actor", F.col("event").alias("pred_event"), "gate", F.lit(True).alias("__row")
-        ),
+        # a player's last row counts
+        shaped.groupBy("sample_id", "actor")
+        .agg(F.max_by(F.struct("event", "gate"), "pos").alias("__last"))
+        .select("sample_id", "actor", F.col("__last.event").alias("pred_event"), F.col("__last.gate").alias("gate"), F.lit(True).alias("__row")),
         ["sample_id", "actor"],
         "left",
     )

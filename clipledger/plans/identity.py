@@ -322,7 +322,7 @@ def observer_errors_query(v: Views) -> DataFrame:
     def observe(batch: pd.DataFrame) -> pd.DataFrame:
         if (batch["o_totalprice"] > 495000).any():
             raise ValueError("no usable image")
-        return pd.DataFrame({"track_ref": batch["track_ref"], "observation_count": batch["n"]})
+        return pd.DataFrame({"observation_count": batch["n"]})
 
     results = score_with(inputs, observe, "observation_count bigint", ["track_ref"])
     return idn.with_observer_errors(v.identity_tracks.select("track_ref"), results)

@@ -65,12 +65,12 @@ _WEIGHT = """WITH t AS (SELECT *, max(CASE WHEN valid THEN gate END) OVER (PARTI
 @query(
     "gated_pool",
     _WEIGHT + """ SELECT video_id, person_id, """ + ", ".join(
-        f"round(sum(wt*features[{i + 1}])/sum(wt), 6) AS f{i}" for i in range(4)
+        f"round(sum(wt*features[{i + 1}])/sum(wt), 6) AS f{i}" for i in range(64)
     ) + " FROM w GROUP BY 1, 2 HAVING sum(wt) > 0",
 )
 def gated_pool_query(v: Views) -> DataFrame:
-    return sc.gated_pool(v.clips, 4).select(
-        "video_id", "person_id", *[F.round(F.col("pooled")[i], 6).alias(f"f{i}") for i in range(4)]
+    return sc.gated_pool(v.clips, 64).select(
+        "video_id", "person_id", *[F.round(F.col("pooled")[i], 6).alias(f"f{i}") for i in range(64)]
     )
 
 
@@ -90,14 +90,14 @@ def gate_weights_query(v: Views) -> DataFrame:
 
 @query(
     "topk_pool",
-    """SELECT video_id, person_id, count(*) AS clips_used, """ + ", ".join(f"round(avg(features[{i + 1}]), 6) AS f{i}" for i in range(4)) + """
+    """SELECT video_id, person_id, count(*) AS clips_used, """ + ", ".join(f"round(avg(features[{i + 1}]), 6) AS f{i}" for i in range(64)) + """
     FROM (SELECT *, row_number() OVER (PARTITION BY video_id, person_id ORDER BY CASE WHEN valid THEN gate ELSE -10000 END DESC, clip_index) AS r FROM clips)
     WHERE r <= 2 GROUP BY 1, 2""",
 )
 def topk_pool_query(v: Views) -> DataFrame:
-    return sc.topk_pool(v.clips, 4, 2).select(
+    return sc.topk_pool(v.clips, 64, 2).select(
         "video_id", "person_id", "clips_used",
-        *[F.round(F.col("pooled")[i], 6).alias(f"f{i}") for i in range(4)],
+        *[F.round(F.col("pooled")[i], 6).alias(f"f{i}") for i in range(64)],
     )
 
 

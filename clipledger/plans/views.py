@@ -204,7 +204,7 @@ class Views:
             F.abs(F.get(vector, F.lit(CLASSES))).alias("gate"),
             F.abs(F.get(vector, F.lit(CLASSES))).alias("score"),
             (F.get(vector, F.lit(CLASSES + 1)) > -0.1).alias("valid"),
-            F.slice(vector, 1, 4).alias("features"),
+            vector.alias("features"),
             F.array(index * 10, index * 10 + 7, index * 10 + 19).alias("frames"),
             "label",
         )
@@ -631,7 +631,7 @@ VIEW_SQL = {
           CAST(vec_id % 50 AS INTEGER) AS clip_index,
           list_transform(embedding[1:11], lambda v: CAST(v AS DOUBLE)*10) AS logits,
           abs(CAST(embedding[12] AS DOUBLE)) AS gate, CAST(embedding[13] AS DOUBLE) > -0.1 AS valid,
-          list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE)) AS features, label
+          list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS features, label
         FROM embeddings""",
     "persons": """
         SELECT video_id, person_id, arg_min(logits, clip_index) AS logits, bool_or(valid) AS valid,

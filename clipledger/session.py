@@ -1,5 +1,6 @@
 """Session settings the operators rely on, and the shared working folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,13 @@ def build_session(master: str = "local[*]", app: str = "clipledger", **extra) ->
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint directory.
 
-    On a cluster ``spark.checkpoint.dir`` names storage every executor can see.
-    Only when it is unset (local tests) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` names storage every executor can see. Only a session
+    within one process (local tests) may leave it unset; a folder is then made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/clipledger-{uuid.uuid4().hex}"
