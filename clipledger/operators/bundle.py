@@ -1,9 +1,9 @@
 """Evaluation bundles: which clips to evaluate, and what they cover."""
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipledger.session import cut_lineage
 from clipledger.vocabulary import DEVELOPMENT_GAME, EVENT_LABELS
 
 _CLIP = ["game", "clip"]
@@ -24,29 +24,6 @@ def pick_games(
     return pool.orderBy(seeded_order(seed, "game"), "game").limit(count).select("game")
 
 
-def _greedy(per_class: int):
-    """Selection step over a bounded shortlist, rarest label first."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order_hash", "game", "clip"])
-        labels = {
-            (g, c): set(s) for g, c, s in zip(rows["game"], rows["clip"], rows["strata"])
-        }
-        rarity = dict(zip(rows["label"], rows["available"]))
-        selected: list = []
-        for label in sorted(EVENT_LABELS, key=lambda name: (rarity.get(name, 0), name)):
-            have = sum(label in labels[key] for key in selected)
-            for key, own in labels.items():
-                if have >= per_class:
-                    break
-                if key not in selected and label in own:
-                    selected.append(key)
-                    have += 1
-        return pd.DataFrame(selected, columns=_CLIP)
-
-    return choose
-
-
 def clip_strata(clips: DataFrame, events: DataFrame) -> DataFrame:
     """Clips with their distinct labels (possibly none)."""
     strata = events.groupBy(*_CLIP).agg(F.array_sort(F.collect_set("event")).alias("strata"))
@@ -62,9 +39,9 @@ def sample_bundle(
 
     At most ``per_class`` clips are added per label, so no label can look at
     more than ``10 * per_class`` clips of its own in seeded order. That shortlist
-    is cut per label by a limited rank (before the shuffle) and has at most
-    ``100 * per_class`` rows; the dependent choice runs on it alone and the
-    chosen keys are joined back.
+    is cut per label by a limited rank (before the shuffle). Then each label in
+    turn adds the first clips it lacks: an anti join with what is chosen already
+    and an ordered limit, ten small steps however many clips there are.
     """
     described = clip_strata(clips, events)
     if all_clips:
@@ -72,20 +49,24 @@ def sample_bundle(
     available = events.join(clips.select(*_CLIP), _CLIP, "left_semi").groupBy("event").agg(
         F.count(F.lit(1)).alias("available")
     )
+    rarity = {r["event"]: r["available"] for r in available.filter(F.col("event").isin(*EVENT_LABELS)).collect()}
     exploded = described.withColumn("order_hash", seeded_order(seed, *_CLIP)).select(
         *_CLIP, "strata", "order_hash", F.explode("strata").alias("label")
     )
     order = Window.partitionBy("label").orderBy("order_hash", *_CLIP)
-    shortlist = (
+    shortlist = cut_lineage(
         exploded.withColumn("__rank", F.row_number().over(order))
         .filter(F.col("__rank") <= len(EVENT_LABELS) * per_class)
         .drop("__rank")
-        .join(available.withColumnRenamed("event", "label"), "label")
-    )
-    chosen = shortlist.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
-        _greedy(per_class), "game string, clip string"
     )
-    return described.join(chosen, _CLIP, "left_semi")
+    chosen = shortlist.select(*_CLIP, "strata").limit(0)
+    for label in sorted(EVENT_LABELS, key=lambda name: (rarity.get(name, 0), name)):
+        missing = per_class - chosen.filter(F.array_contains("strata", label)).count()
+        if missing > 0:
+            fresh = shortlist.filter(F.col("label") == label).join(chosen.select(*_CLIP), _CLIP, "left_anti")
+            added = fresh.orderBy("order_hash", *_CLIP).limit(missing).select(*_CLIP, "strata")
+            chosen = cut_lineage(chosen.unionByName(added))
+    return described.join(chosen.select(*_CLIP), _CLIP, "left_semi")
 
 
 def class_coverage(bundle: DataFrame) -> DataFrame:
