@@ -6,26 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TRACK = (
-    "map<string, struct<trajectory: array<string>, source_track_id: string, "
-    "jersey_color: string, jersey_number: string, player_name: string, "
-    "participant_id: string, identity_status: string>>"
+    "trajectory array<string>, source_track_id string, jersey_color string, jersey_number string, "
+    "player_name string, participant_id string, identity_status string"
 )
 
-REPORT_SCHEMA = """
-    duration_seconds double,
-    player_predictions array<struct<player_id: string, participant_id: string,
-        source_track_id: string, jersey_color: string, jersey_number: string,
-        player_name: string, identity_status: string, label_id: int, event: string,
-        confidence: double, class_probabilities: map<string, double>,
-        paper_gate_segment: struct<clip_index: int, gate_weight: double,
-            start_time: double, end_time: double>>>,
-    temporal_events array<struct<player_id: string, participant_id: string,
-        source_track_id: string, global_track_id: string, identity_status: string,
-        event: string, confidence: double, temporal_score: double,
-        start_time: double, end_time: double>>,
-    _corrupt string
+_PREDICTION = """
+    player_id string, participant_id string, source_track_id string, jersey_color string,
+    jersey_number string, player_name string, identity_status string, label_id int, event string,
+    confidence double, class_probabilities map<string, double>,
+    paper_gate_segment struct<clip_index: int, gate_weight: double, start_time: double, end_time: double>
 """
 
+_EVENT = """
+    player_id string, participant_id string, source_track_id string, global_track_id string,
+    identity_status string, event string, confidence double, temporal_score double,
+    start_time double, end_time double
+"""
+
+
+def _members(text: str) -> Column:
+    """The members of a JSON object as texts; NULL for anything else."""
+    whole = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    return F.when(whole, F.from_json(text, "map<string, string>"))
+
 
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
@@ -51,14 +54,15 @@ def read_tracks(
 
     Returns ``tracks`` (one row per key), ``boxes`` (one row per frame, NULL box
     where absent or malformed) and ``bad_files`` (root is not an object). Keys
-    are data, hence a MAP; frame entries stay text until their own row, so one
-    odd entry only loses its own box.
+    are data, hence a MAP; tracks and frame entries stay text until their own
+    row, so an odd track costs itself (``is_object`` is false) and an odd entry
+    its own box.
     """
     documents = _whole_documents(spark, path, name)
-    parsed = documents.select("clip_id", "path", F.from_json("value", _TRACK).alias("tracks"))
+    parsed = documents.select("clip_id", "path", _members("value").alias("tracks"))
     rows = parsed.filter("tracks IS NOT NULL").select(
-        "clip_id", F.explode("tracks").alias("track_id", "t")
-    )
+        "clip_id", F.explode("tracks").alias("track_id", "raw")
+    ).select("clip_id", "track_id", F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", _TRACK)).alias("t"))
     tracks = rows.select(
         "clip_id",
         "track_id",
@@ -92,29 +96,33 @@ def read_tracks(
 def read_reports(
     spark: SparkSession, paths: str | list[str], name: Callable[[Column], Column] = file_stem
 ) -> dict[str, DataFrame]:
-    """Prediction reports as tables; unreadable or mistyped files apart.
+    """Prediction reports as tables; files that are no object, or whose lists are none, apart.
 
     Returns ``reports``, ``player_predictions``, ``temporal_events`` and
-    ``bad_files``. List order is kept in ``pos``.
+    ``bad_files``. List order is kept in ``pos``. Each list entry is read on its
+    own row: a mistyped field is NULL there and costs nothing else.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     raw = _whole_documents(spark, paths, name).select(
-        F.col("clip_id").alias("window_id"),
-        "path",
-        F.from_json("value", REPORT_SCHEMA, options).alias("r"),
-    ).select("window_id", "path", "r.*")
-    good = raw.filter("_corrupt IS NULL")
+        F.col("clip_id").alias("window_id"), "path", _members("value").alias("m")
+    )
+    lists = {"player_predictions": _PREDICTION, "temporal_events": _EVENT}
+    fit = F.col("m").isNotNull()
+    for column in lists:
+        fit &= F.coalesce(F.ltrim(F.col("m")[column]).startswith("["), F.lit(True))
+    raw = raw.withColumn("fit", fit)
+    good = raw.filter("fit")
 
     def rows(column: str) -> DataFrame:
-        return good.select(
-            "window_id", F.posexplode(column).alias("pos", "r")
+        entries = F.from_json(F.col("m")[column], "array<string>")
+        return good.select("window_id", F.posexplode(entries).alias("pos", "raw")).select(
+            "window_id", "pos", F.from_json("raw", lists[column]).alias("r")
         ).select("window_id", "pos", "r.*")
 
     return {
-        "reports": good.select("window_id", "path", "duration_seconds"),
+        "reports": good.select("window_id", "path", F.col("m")["duration_seconds"].try_cast("double").alias("duration_seconds")),
         "player_predictions": rows("player_predictions"),
         "temporal_events": rows("temporal_events"),
-        "bad_files": raw.filter("_corrupt IS NOT NULL").select("window_id", "path"),
+        "bad_files": raw.filter("NOT fit").select("window_id", "path"),
     }
 
 

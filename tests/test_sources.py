@@ -42,6 +42,26 @@ def test_reports_and_bad_reports(spark, tmp_path):
     assert [r.window_id for r in read["bad_files"].collect()] == ["w2"]
 
 
+def test_a_bad_track_costs_only_itself(spark, tmp_path):
+    body = {"player_0": {"trajectory": [[1, 2, 3, 4]]}, "player_1": 7, "player_2": None, "player_3": {"trajectory": 5}, "player_4": "{text}"}
+    (tmp_path / "clip.json").write_text(json.dumps(body))
+    (tmp_path / "cut.json").write_text('{"player_0": {"trajectory": [[1,')
+    read = doc.read_tracks(spark, str(tmp_path))
+    assert {r.track_id: (r.is_object, r.n_frames) for r in read["tracks"].collect() if r.track_id != "player_4"} == {
+        "player_0": (True, 1), "player_1": (False, None), "player_2": (False, None), "player_3": (True, None)
+    }
+    assert [r.clip_id for r in read["bad_files"].collect()] == ["cut"]
+
+
+def test_a_mistyped_field_costs_only_itself(spark, tmp_path):
+    entries = [{"player_id": "p", "confidence": "high", "label_id": 2}, {"player_id": "q", "confidence": 0.5}, 3]
+    (tmp_path / "w.json").write_text(json.dumps({"player_predictions": entries, "duration_seconds": "x"}))
+    read = doc.read_reports(spark, str(tmp_path))
+    rows = read["player_predictions"].orderBy("pos").collect()
+    assert [(r.player_id, r.confidence, r.label_id) for r in rows] == [("p", None, 2), ("q", 0.5, None), (None, None, None)]
+    assert read["bad_files"].count() == 0 and read["reports"].first().duration_seconds is None
+
+
 def test_semicolon_files_are_paired_by_row(spark, tmp_path, frame):
     actions = "[{'player': '00', 'action': 'Foul', 'result': None}]"
     (tmp_path / "a.csv").write_bytes("﻿urls;actions\n".encode() + f"http://x/1;{actions}\nhttp://x/2;[]\nhttp://x/3;[]\n".encode())
