@@ -28,13 +28,16 @@ _ACTIONS = T.StructType(
 def read_semicolon_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Semicolon text with a header; every column is a string, a BOM is dropped.
 
-    Give ``columns`` to skip reading the header first.
+    Quoted fields may hold line breaks, so a file is one split: write large
+    tables as many files. Empty fields are empty texts. Give ``columns`` to skip
+    reading the header first.
     """
-    reader = spark.read.option("sep", ";").option("header", True).option("escape", '"')
+    reader = spark.read.option("sep", ";").option("header", True).option("escape", '"').option("multiLine", True)
     if columns:
-        return reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
-    table = reader.csv(path)
-    return table.toDF(*[c.lstrip("﻿") for c in table.columns])
+        table = reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+    else:
+        table = reader.csv(path)
+    return table.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in table.columns])
 
 
 def _with_row_index(table: DataFrame) -> DataFrame:
@@ -59,18 +62,20 @@ def pair_by_position(source: DataFrame, paths: DataFrame) -> tuple[DataFrame, Da
     """Pair two tables read from files row by row, and list what does not fit.
 
     Both have ``urls, actions``; ``paths`` also ``numerosity``. Returns the
-    records and the anomalies (``row_index, code``).
+    records and the anomalies (``row_index, code``): no partner, other actions,
+    or a ``numerosity`` that is no whole number.
     """
     left = _with_row_index(source).select(
-        "row_index", F.col("urls").alias("event_url"), F.col("actions").alias("__a")
+        "row_index", F.col("urls").alias("event_url"), F.col("actions").alias("__a"), F.lit(True).alias("__left")
     )
     right = _with_row_index(paths).select(
-        "row_index", F.col("urls").alias("path"), F.col("actions").alias("__b"), "numerosity"
+        "row_index", F.col("urls").alias("path"), F.col("actions").alias("__b"), "numerosity", F.lit(True).alias("__right")
     )
     joined = left.join(right, "row_index", "full_outer")
     code = (
-        F.when(F.col("__a").isNull() | F.col("__b").isNull(), "ROW_COUNT_MISMATCH")
-        .when(F.col("__a") != F.col("__b"), "ACTION_MISMATCH")
+        F.when(F.col("__left").isNull() | F.col("__right").isNull(), "ROW_COUNT_MISMATCH")
+        .when(~F.col("__a").eqNullSafe(F.col("__b")), "ACTION_MISMATCH")
+        .when(strip(F.col("numerosity").cast("string")).try_cast("int").isNull(), "BAD_NUMEROSITY")
     )
     checked = joined.withColumn("code", code)
     key = normalize_video_key(F.col("path"))
@@ -80,7 +85,7 @@ def pair_by_position(source: DataFrame, paths: DataFrame) -> tuple[DataFrame, Da
         F.split(key, "/")[0].alias("game"),
         "event_url",
         F.col("__b").alias("actions"),
-        F.col("numerosity").try_cast("int").alias("numerosity"),
+        strip(F.col("numerosity").cast("string")).try_cast("int").alias("numerosity"),
     )
     return records, checked.filter("code IS NOT NULL").select("row_index", "code")
 

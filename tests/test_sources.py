@@ -82,6 +82,15 @@ def test_semicolon_files_are_paired_by_row(spark, tmp_path, frame):
     assert parsed.actions[0].player == "00" and parsed.actions[0].result is None
 
 
+def test_line_breaks_empty_fields_and_bad_numbers(spark, tmp_path, frame):
+    (tmp_path / "a.csv").write_text('urls;actions\nu0;"[1,\n2]"\nu1;\nu2;[]\nu3;[]\n')
+    (tmp_path / "b.csv").write_text('urls;actions;numerosity\ng/0.mp4;"[1,\n2]";3\ng/1.mp4;"";2\ng/2.mp4;[];many\n')
+    source, paths = (tb.read_semicolon_csv(spark, str(tmp_path / n)) for n in ("a.csv", "b.csv"))
+    records, anomalies = tb.pair_by_position(source, paths)
+    assert [(r.video_key, r.actions, r.numerosity) for r in records.orderBy("row_index").collect()] == [("g/0.mp4", "[1,\n2]", 3), ("g/1.mp4", "", 2)]
+    assert [tuple(r) for r in anomalies.orderBy("row_index").collect()] == [(2, "BAD_NUMEROSITY"), (3, "ROW_COUNT_MISMATCH")]
+
+
 def test_literals_that_are_not_lists_of_objects(frame):
     texts = ["[1]", "{'a': 1}", "open('x')", "[{'player': 7.0, 'result': True, 'assisted': 1}]"]
     rows = frame([(t,) for t in texts], "t string").select(tb.parse_actions(F.col("t")).alias("p")).collect()
