@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.text import participant_id, participant_label
+from clipledger.operators.guards import stop_unless
 from clipledger.vocabulary import SCHEMA_VERSION
 
 
@@ -414,10 +415,7 @@ def save_participants(
     person = F.col("participant_id")
     if not replace:
         clash = arrives & (exists | (F.col("__n") > 1))
-        person = F.when(
-            clash,
-            F.raise_error(F.concat(F.lit("participant exists: "), "participant_id")).cast("string"),
-        ).otherwise(person)
+        joined = stop_unless(joined, ~F.coalesce(clash, F.lit(False)), F.concat(F.lit("participant exists: "), "participant_id"))
     return joined.select(
         person.alias("participant_id"),
         *[F.when(arrives, F.col(f"new.{f}")).otherwise(F.col(f"old.{f}")).alias(f) for f in fields],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.text import game_id
+from clipledger.operators.guards import stop_unless
 from clipledger.operators.prefix import with_position
 from clipledger.operators.windows import bag_starts
 from clipledger.vocabulary import LABELS, SPLITS
@@ -100,10 +101,8 @@ def select_games(
         spark = games.sparkSession
         wanted = spark.createDataFrame(list(order.items()), "game string, pos int")
         joined = wanted.join(names.withColumn("__found", F.lit(True)), "game", "left")
-        known = F.when(F.col("__found"), F.col("game")).otherwise(
-            F.raise_error(F.concat(F.lit("unknown game: "), "game")).cast("string")
-        )
-        return joined.select(known.alias("game"), "pos").orderBy("pos").select("game")
+        known = stop_unless(joined, F.col("__found"), F.concat(F.lit("unknown game: "), "game"))
+        return known.orderBy("pos").select("game")
     if all_games:
         return names.orderBy("game")
     if limit <= 0:
@@ -278,7 +277,4 @@ def prepare_summary(expected: DataFrame, files: DataFrame, allow_partial: bool =
     )
     if allow_partial:
         return summary
-    checked = F.when(F.col("missing_videos") == 0, F.col("game")).otherwise(
-        F.raise_error(F.concat("game", F.lit(": clips are missing"))).cast("string")
-    )
-    return summary.withColumn("game", checked)
+    return stop_unless(summary, F.col("missing_videos") == 0, F.concat("game", F.lit(": clips are missing")))

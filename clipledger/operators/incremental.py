@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipledger.operators.guards import stop_unless
+
 
 def config_hash(df: DataFrame, result_columns: Sequence[str]) -> DataFrame:
     """Add a hash of the settings that change results.
@@ -37,11 +39,8 @@ def pending_windows(plan: DataFrame, status: DataFrame, strict: bool = False) ->
         return pending
     changed = config_conflicts(plan, status).withColumn("__changed", F.lit(True))
     joined = pending.join(changed, "video_id", "left")
-    guarded = F.when(
-        F.col("__changed"),
-        F.raise_error(F.concat(F.lit("configuration changed for "), "video_id")).cast("string"),
-    ).otherwise(F.col("window_id"))
-    return joined.withColumn("window_id", guarded).drop("__changed")
+    same = F.col("__changed").isNull()
+    return stop_unless(joined, same, F.concat(F.lit("configuration changed for "), "video_id")).drop("__changed")
 
 
 def job_summary(windows: DataFrame, allow_partial: bool = False) -> DataFrame:

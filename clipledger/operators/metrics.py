@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from clipledger.functions.numbers import interval_overlap, ratio
 from clipledger.functions.text import event_name, known_event, report_event_name
+from clipledger.operators.guards import stop_unless
 from clipledger.operators.prefix import with_position
 from clipledger.operators.timeline import TIME_BUCKET
 from clipledger.vocabulary import EVENT_LABELS
@@ -445,14 +446,14 @@ def score_tracks(samples: DataFrame, references: DataFrame, predictions: DataFra
     ``has_required``; a row without the required fields stops the query.
     References with an interval are timed against the player's gate.
     """
-    required = F.when(F.col("has_required"), F.col("event")).otherwise(
-        F.raise_error(F.concat(F.lit("prediction lacks probabilities or gate: "), "sample_id")).cast("string")
+    complete = stop_unless(
+        predictions, F.col("has_required"), F.concat(F.lit("prediction lacks probabilities or gate: "), "sample_id")
     )
-    shaped = predictions.select(
+    shaped = complete.select(
         "sample_id",
         F.col("player_id").alias("actor"),
         "pos",
-        event_name(required).alias("event"),
+        event_name(F.col("event")).alias("event"),
         "class_probabilities",
         "gate",
     )

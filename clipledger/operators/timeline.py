@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipledger.functions.text import literal_map, numbered, strip
+from clipledger.operators.guards import stop_unless
 from clipledger.operators.prefix import interval_join, with_position
 from clipledger.session import cut_lineage
 from clipledger.vocabulary import BOUNDARY_METHOD, DEFAULT_PADDING, PADDING_SECONDS
@@ -72,11 +73,7 @@ def collect_candidates(
     good = F.col("local_end_seconds") > F.col("local_start_seconds")
     rejected = mapped.filter(~good)
     if strict:
-        failure = F.raise_error(F.concat(F.lit("empty event range in "), "candidate_id"))
-        checked = mapped.withColumn(
-            "event", F.when(good, F.col("event")).otherwise(failure.cast("string"))
-        )
-        return checked, rejected
+        return stop_unless(mapped, good, F.concat(F.lit("empty event range in "), "candidate_id")), rejected
     return mapped.filter(good), rejected
 
 
@@ -272,11 +269,10 @@ def material_drafts(events: DataFrame, videos: DataFrame) -> DataFrame:
     )
     lengths = videos.select(
         F.col("video_id").alias("source_video_id"),
-        F.when(F.col("duration_seconds") > 0, F.col("duration_seconds"))
-        .otherwise(F.raise_error(F.lit("video duration must be positive")).cast("double"))
-        .alias("__duration"),
+        F.col("duration_seconds").alias("__duration"),
     )
-    padded = events.join(lengths, "source_video_id").select(
+    joined = stop_unless(events.join(lengths, "source_video_id"), F.col("__duration") > 0, F.lit("video duration must be positive"))
+    padded = joined.select(
         "*", pre_roll.alias("pre_roll_seconds"), post_roll.alias("post_roll_seconds")
     )
     start = F.greatest(F.lit(0.0), F.col("evidence_start_seconds") - F.col("pre_roll_seconds"))

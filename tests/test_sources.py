@@ -129,6 +129,14 @@ def test_failed_rows_of_a_hook_stay(frame):
     assert rows[8].score == 16.0 and rows[8].error is None
 
 
+def test_a_hook_may_return_its_results_alone(frame):
+    df = frame([(i,) for i in range(9)], "k int")
+    rows = score_with(df, lambda b: pd.DataFrame({"score": b["k"].to_numpy() * 2.0}), "score double", ["k"]).collect()
+    assert {r.k: (r.score, r.error) for r in rows} == {k: (2.0 * k, None) for k in range(9)}
+    rows = score_with(df, lambda b: pd.DataFrame({"score": [1.0] * 50}), "score double", ["k"]).collect()
+    assert len(rows) == 9 and all(r.error == "ValueError: 50 results for 1 rows" for r in rows)
+
+
 def test_new_files_are_processed_once(spark, tmp_path, frame):
     schema = "video_id string, duration_seconds double, fps double, frame_count bigint"
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
