@@ -461,14 +461,24 @@ def link_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
             anchors = save(anchors.select(F.col("b").alias("doc_id"), F.col("_x.a").alias("anchor"), F.col("_x.both").alias("within")))
         if not more:
             break
-    # what is left between components: members outside their group's largest one against all others
+    # what is left between components: members outside their group's largest one against all others;
+    # members of one anchor meet there once, whatever number of signatures they share
     placed = save(groups.join(labels, "doc_id").join(anchors, "doc_id", "left"))
-    largest = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("sig").agg(F.max(F.struct("m", "comp")).alias("_x")).select("sig", F.col("_x.comp").alias("_c"))
-    few = placed.join(largest, "sig").where("comp <> _c").select("sig", *(F.col(x).alias(f"_{x}") for x in ("doc_id", "n", "shared", "comp", "anchor", "within")))
+    facts = ["doc_id", "n", "shared", "comp", "anchor", "within"]
+
+    def outsiders(rows: DataFrame, key: str) -> DataFrame:
+        per = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("m")).groupBy(key)
+        largest = per.agg(F.max(F.struct("m", "comp")).alias("_x")).select(key, F.col("_x.comp").alias("_c"))
+        return rows.join(largest, key).where("comp <> _c").select(key, *(F.col(x).alias(f"_{x}") for x in facts if x != key))
+
+    apart = F.col("comp") != F.col("_comp")
     beyond = F.least(F.col("shared") - F.col("within"), F.col("_shared") - F.col("_within"))
-    common = F.when(F.col("anchor") == F.col("_anchor"), F.least("within", "_within") + beyond).otherwise(F.least("shared", "_shared"))
-    rest = placed.join(few, "sig").where(F.col("comp") != F.col("_comp")).where(reaches(common, "n", "_n"))
-    return take(rest.select(F.least("_doc_id", "doc_id").alias("a"), F.greatest("_doc_id", "doc_id").alias("b")), labels)[0]
+    members = placed.select(*facts).distinct()
+    same = members.join(outsiders(members, "anchor"), "anchor").where(apart).where(reaches(F.least("within", "_within") + beyond, "n", "_n"))
+    other = placed.join(outsiders(placed, "sig"), "sig").where(apart & ~F.col("anchor").eqNullSafe(F.col("_anchor")))
+    other = other.where(reaches(F.least("shared", "_shared"), "n", "_n"))
+    pair = [F.least("_doc_id", "doc_id").alias("a"), F.greatest("_doc_id", "doc_id").alias("b")]
+    return take(same.select(*pair).unionByName(other.select(*pair)), labels)[0]
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
