@@ -1,17 +1,21 @@
 """Benchmark items that stand in training texts, also in edited form.
 
-1. Words are lower-cased (A-Z) and lose punctuation at their edges. The ``N``-grams of
-   the benchmark items are counted over all training texts.
-2. Each item keeps its rarest n-grams as seeds: of those that occur, the ``SHARE`` with
-   the fewest occurrences in the training texts, ``LEAST`` at least. Ties go to the earlier place.
-3. Training texts are searched for seeds. Hits of one item that lie within reach of
-   each other make a passage; passages with ``HITS`` different seeds are aligned with
-   the item by Smith-Waterman over words, many passages at a time.
+1. Words are lower-cased (A-Z) and lose punctuation at their edges. An item of at least
+   ``N`` words is known by its pairs of words: neighbours, and those with one word between.
+2. The pairs of a training text are looked up. A pair of neighbours in both counts 2, any
+   other hit 1, for an alignment's next match costs no error or one.
+3. An alignment of M matches scores at most 2 M - 2 (M - 1) + its hits' counts, and ends
+   within ``reach`` words of its first match. So only passages whose hits count ``need`` can
+   reach the limit, and all of these are aligned with the item by Smith-Waterman over
+   words, many passages at a time. How often a pair occurs in the texts plays no part.
 4. The likeness is the alignment's score over that of the whole item with itself; from
    ``LIKENESS`` on, the text is contaminated by the item.
 
-The benchmark is cut into blocks of at most ``BLOCK`` n-grams, each small enough to go
-to all tasks; a larger benchmark takes more passes over the texts, not more memory.
+Places whose pairs stand in more than ``COMMON`` places of the block aren't looked up, up
+to a quarter of what an item needs; ``need`` falls by what they could count, so that
+nothing is lost. The benchmark is cut into blocks of at most ``BLOCK`` words, each small
+enough to go to all tasks; a larger benchmark takes more passes over the texts, not more
+memory.
 """
 
 from __future__ import annotations
@@ -20,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import hash_words, lower_bytes, mix, slices, with_columns, word_bounds
+from clipledger.llm.base import hash_words, lower_bytes, mix, row_starts, runs, slices, with_columns, word_bounds
 
-N, SHARE, LEAST, HITS = 3, 0.5, 8, 2
+N, COMMON = 3, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 LIKENESS = 0.4
 BLOCK = 1 << 20
+#: Hits that are looked at together, or those of one text.
+ROOM = 1 << 21
 _SIEVE = 20
 _U = np.uint64
 _MARK = np.zeros(256, bool)
@@ -48,58 +53,70 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hash_words(lower_bytes(data), starts, ends), np.searchsorted(starts, offsets)
 
 
-def ngrams(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of N consecutive words; rows' ends are the caller's matter."""
-    total = np.zeros(max(0, len(hashes) - N + 1), np.uint64)
-    for k in range(N):
-        total += hashes[k : k + len(total)] * _U((0x9E3779B97F4A7C15 * (2 * k + 3)) & (1 << 64) - 1 | 1)
-    return mix(total)
+def pairs(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of each word with the one ``apart`` words later; rows' ends are the caller's matter."""
+    left = hashes[: max(0, len(hashes) - apart)]
+    return mix(left * _U(0xDAA66D2C7DDF743F) + hashes[apart:][: len(left)] * _U(0x18655C4E2AB5A069 | 1))
 
 
 class Items:
-    """A block of benchmark items: their words, and the places of their n-grams."""
+    """A block of benchmark items: their words, and the places of their pairs."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.words, grams, item, place = ids, [], [], [], []
+    def __init__(self, ids: list[int], texts: list[str], likeness: float = LIKENESS):
+        if N * likeness <= 1:
+            raise ValueError(f"one common word makes a likeness of {likeness}: no pair need be there")
+        self.ids, self.words, pair, item, place, near = ids, [], [], [], [], []
         for first, last, data, offsets in slices(pa.array(texts, pa.string())):
             found, begin = words(data, offsets)
             for k in range(last - first):
                 own = found[begin[k] : begin[k + 1]]
                 self.words.append(own)
-                grams.append(ngrams(own))
-                item.append(np.full(len(grams[-1]), first + k))
-                place.append(np.arange(len(grams[-1])))
-        self._set(*(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((grams, np.uint64), (item, np.int64), (place, np.int64))))
-
-    def _set(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
-        order = np.lexsort((place, item, gram))
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
-        self.keys, self.first = np.unique(self.gram, return_index=True)
-        self.many = np.diff(np.append(self.first, len(self.gram)))
+                for apart in (1, 2) if len(own) >= N else ():
+                    pair.append(pairs(own, apart))
+                    item.append(np.full(len(pair[-1]), first + k, np.int32))
+                    place.append(np.arange(len(pair[-1]), dtype=np.int32))
+                    near.append(np.full(len(pair[-1]), apart == 1))
+        size = np.array([len(x) for x in self.words], np.int64)
+        self.need = np.ceil(MATCH * likeness * size - 2 - 1e-9).astype(np.int64)
+        self.reach = np.floor((3 - 2 * likeness) * size + 1e-9).astype(np.int64)
+        columns = zip((pair, item, place, near), (np.uint64, np.int32, np.int32, bool))
+        self._set(*(np.concatenate(x) if x else np.zeros(0, t) for x, t in columns))
+
+    def _set(self, pair: np.ndarray, item: np.ndarray, place: np.ndarray, near: np.ndarray) -> None:
+        _, which, many = np.unique(pair, return_inverse=True, return_counts=True)
+        base = row_starts(np.array([len(x) for x in self.words], np.int64))
+        often = np.zeros(int(base[-1]), np.int64)  # by place: the more frequent of its two pairs
+        at = base[item] + place
+        np.maximum.at(often, at, many[which])
+        owner = np.repeat(np.arange(len(self.words)), np.diff(base))
+        order = np.lexsort((-often, owner))
+        rank = np.arange(len(order)) - base[owner[order]]
+        left = order[(often[order] > COMMON) & (rank < self.need[owner[order]] // 4)]
+        self.need -= 2 * np.bincount(owner[left], minlength=len(self.words))
+        kept = np.ones(len(often), bool)
+        kept[left] = False
+        kept = np.flatnonzero(kept[at])
+        order = kept[np.lexsort((place[kept], item[kept], pair[kept]))]
+        self.item, self.place, self.near = item[order], place[order], near[order]
+        self.keys, self.first, self.many = np.unique(pair[order], return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << _SIEVE, bool)
         self.sieve[(self.keys >> _U(64 - _SIEVE)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place of the n-gram, number of the key) of every known n-gram of a slice."""
-        gram = ngrams(hashes)
-        at = np.flatnonzero(self.sieve[(gram >> _U(64 - _SIEVE)).astype(np.int64)])
-        key = np.minimum(np.searchsorted(self.keys, gram[at]), max(0, len(self.keys) - 1))
-        good = self.keys[key] == gram[at] if len(self.keys) else np.zeros(0, bool)
-        at, key = at[good], key[good]
-        row = np.searchsorted(begin, at, "right") - 1
-        whole = at + N <= begin[np.minimum(row + 1, len(begin) - 1)]
-        return row[whole], at[whole], key[whole]
-
-    def keep_rare(self, occurrences: np.ndarray) -> None:
-        """Keep each item's seeds, given the occurrences of every key; n-grams that don't occur can't hit."""
-        often = occurrences[np.repeat(np.arange(len(self.keys)), self.many)]
-        order = np.lexsort((self.place, often, self.item))
-        order = order[often[order] > 0]
-        item = self.item[order]
-        size = np.bincount(item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - (np.cumsum(size) - size)[item]
-        kept = order[rank < np.maximum(LEAST, np.ceil(SHARE * size))[item]]
-        self._set(self.gram[kept], self.item[kept], self.place[kept])
+    def hits(self, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place of the pair, number of the key, neighbours or not) of every known pair of a slice, by row."""
+        found = []
+        for apart in (1, 2):
+            pair = pairs(hashes, apart)
+            at = np.flatnonzero(self.sieve[(pair >> _U(64 - _SIEVE)).astype(np.int64)])
+            key = np.minimum(np.searchsorted(self.keys, pair[at]), max(0, len(self.keys) - 1))
+            good = self.keys[key] == pair[at] if len(self.keys) else np.zeros(0, bool)
+            at, key = at[good], key[good]
+            row = np.searchsorted(begin, at, "right") - 1
+            whole = at + apart < begin[np.minimum(row + 1, len(begin) - 1)]
+            found.append((row[whole], at[whole], key[whole], np.full(int(whole.sum()), apart == 1)))
+        row, at, key, near = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(row, kind="stable")
+        return row[order], at[order], key[order], near[order]
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -144,25 +161,49 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
 
 
 def passages(items: Items, hashes: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """(row, item, seeds, first word, words) of the passages of a slice that are worth an alignment."""
-    row, at, key = items.hits(hashes, begin)
-    if not len(row):
-        return []
+    """(row, item, places hit, first word, words) of the passages of a slice that can reach the limit."""
+    hits = items.hits(hashes, begin)
+    sums = row_starts(items.many[hits[2]]) if len(hits[0]) else np.zeros(1, np.int64)
+    out, a = [], 0
+    while a < len(hits[0]):
+        b = max(a + 1, int(np.searchsorted(sums, sums[a] + ROOM, "right")) - 1)
+        if b < len(hits[0]):  # whole rows only, the first one whatever its size
+            begun = int(np.searchsorted(hits[0], hits[0][b]))
+            b = begun if begun > a else int(np.searchsorted(hits[0], hits[0][b], "right"))
+        out += _passages(items, hashes, begin, *(x[a:b] for x in hits))
+        a = b
+    return out
+
+
+def _passages(items: Items, hashes: np.ndarray, begin: np.ndarray, row: np.ndarray, at: np.ndarray, key: np.ndarray, near: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
     many = items.many[key]
-    spot = np.repeat(items.first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    row, at, item, seed = np.repeat(row, many), np.repeat(at, many), items.item[spot], items.place[spot]
-    order = np.lexsort((at, item, row))
-    row, at, item, seed = row[order], at[order], item[order], seed[order]
-    length = np.array([len(x) for x in items.words])
-    apart = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]])]
-    edges = np.append(np.flatnonzero(apart), len(row))
+    spot = runs(items.first[key], many)
+    row, at, near = np.repeat(row, many), np.repeat(at, many), np.repeat(near, many) & items.near[spot]
+    item, place = items.item[spot].astype(np.int64), items.place[spot]
+    order = np.lexsort((~near, at, item, row))
+    row, at, item, place, near = row[order], at[order], item[order], place[order], near[order]
+    other = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]
+    # a word of the text begins one pair of an alignment at most
+    counts = np.where(other | np.r_[True, at[1:] != at[:-1]], 1 + near, 0)
+    sums = row_starts(counts)
+    reach = items.reach[item]
+    line = (np.cumsum(other) - 1) * (len(hashes) + int(reach.max()) + 1) + at
+    end = np.searchsorted(line, line + reach, "right")
+    first = np.flatnonzero(sums[end] - sums[:-1] >= items.need[item])
+    turns = np.bincount(first, minlength=len(row) + 1) - np.bincount(end[first], minlength=len(row) + 1)
+    inside = np.flatnonzero(np.cumsum(turns)[:-1] > 0)
+    if not len(inside):
+        return []
+    apart = np.r_[True, (np.diff(inside) > 1) | other[inside[1:]] | (np.diff(at[inside]) > reach[inside[1:]])]
+    edges = np.append(np.flatnonzero(apart), len(inside))
     out = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        reach = int(length[item[a]])
-        seeds = len(set(seed[a:b].tolist()))
-        if seeds >= min(HITS, reach - N + 1):
-            lo, hi = max(int(begin[row[a]]), int(at[a]) - reach), min(int(begin[row[a] + 1]), int(at[b - 1]) + N + reach)
-            out.append((int(row[a]), int(item[a]), seeds, lo - int(begin[row[a]]), hashes[lo:hi].copy()))
+    for a, b in zip(inside[edges[:-1]].tolist(), (inside[edges[1:] - 1] + 1).tolist()):
+        # nor does a word of the item begin more than one
+        seeds = len(np.unique(place[a:b]))
+        if seeds + len(np.unique(place[a:b][near[a:b]])) >= items.need[item[a]]:
+            start, stop, far = int(begin[row[a]]), int(begin[row[a] + 1]), int(reach[a])
+            lo, hi = max(start, int(at[a]) - far), min(stop, int(at[b - 1]) + far + N)
+            out.append((int(row[a]), int(item[a]), seeds, lo - start, hashes[lo:hi].copy()))
     return out
 
 
@@ -180,49 +221,26 @@ def contaminations(items: Items, texts: pa.Array, likeness: float) -> list[tuple
     return [(*pair, *rest) for pair, rest in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, likeness: float = LIKENESS, block: int = BLOCK) -> Iterator[Items]:
     """Items in blocks of at most ``block`` words, streamed to the driver one partition at a time."""
     ids, texts, size = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     for x in rows.orderBy("item_id", "text").toLocalIterator():
         n = x.text.count(" ") + 1
         if ids and size + n > block:
-            yield Items(ids, texts)
+            yield Items(ids, texts, likeness)
             ids, texts, size = [], [], 0
         ids.append(x.item_id)
         texts.append(x.text)
         size += n
-    yield Items(ids, texts)
-
-
-def with_seeds(docs: DataFrame, items: Items) -> Broadcast:
-    """The items with the seeds that are rare in ``docs``, for all tasks."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)  # at most BLOCK n-grams
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        seen = np.zeros(len(known.keys), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                np.add.at(seen, known.hits(*words(data, offsets))[2], 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["key", "n"])
-
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    occurrences = np.zeros(len(items.keys), np.int64)
-    for key, n in counted.collect():  # at most BLOCK n-grams
-        occurrences[key] = n
-    items.keep_rare(occurrences)
-    return spark.sparkContext.broadcast(items)
+    yield Items(ids, texts, likeness)
 
 
 def _matches(docs: DataFrame, items: Items, likeness: float) -> DataFrame:
-    seeds = with_seeds(docs, items)
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK words, two pairs each
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = seeds.value
+        known = shared.value
         for batch in batches:
             rows = contaminations(known, batch.column(1), likeness)
             at, item, like, score, hits, begin, end = zip(*rows) if rows else ((),) * 7
@@ -247,7 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENE
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = None
-    for items in item_blocks(benchmark, block):
+    for items in item_blocks(benchmark, likeness, block):
         part = _matches(docs, items, likeness)
         found = part if found is None else found.unionByName(part)
     return found
@@ -256,13 +274,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENE
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENESS, block: int = BLOCK) -> DataFrame:
     """The documents without any contamination, by one pass per block and no shuffle; columns stay."""
     names = docs.columns
-    for items in item_blocks(benchmark, block):
-        seeds = with_seeds(docs, items)
+    for items in item_blocks(benchmark, likeness, block):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in contaminations(seeds.value, batch.column(names.index("text")), likeness)]] = False
+                keep[[x[0] for x in contaminations(shared.value, batch.column(names.index("text")), likeness)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -264,6 +264,38 @@ def test_exact_edited_and_clean_texts(spark, documents):
         assert {r.doc_id for r in decontaminate.drop_contaminated(documents(rows), benchmark, block=block).collect()} == set(range(2, 30))
 
 
+def test_copies_of_an_item_dont_hide_each_other(spark, documents):
+    item = [f"w{k}" for k in range(40)]
+    edited = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    stretched = [x for w in item for x in (w, "so")]  # no two words of the item are neighbours
+    rows = [(0, item), (1, edited), (2, stretched), (3, item[:7]), *((k, item[:20]) for k in range(10, 60))]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = documents([(k, " ".join(["before", *x, "after"])) for k, x in rows])
+    got = {r.doc_id: round(r.likeness, 4) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {0: 1.0, 1: 0.6375, 2: 0.5125, **{k: 0.5 for k in range(10, 60)}}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [3]
+
+
+@pytest.mark.parametrize("common", [decontaminate.COMMON, 1])
+def test_passages_lose_no_alignment(monkeypatch, common):
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 20))) for _ in range(30)]
+    items = decontaminate.Items(list(range(30)), texts)
+    rows = []
+    for _ in range(150):
+        own = []
+        for w in rng.choice(texts).split():
+            own += [[w], [w], [w], ["zz"], [], ["yy", w], [w, "xx"]][rng.randint(0, 6)]
+        rows.append(" ".join([rng.choice("abcdefgh") for _ in range(30)] + own + [rng.choice("abcdefgh") for _ in range(30)]))
+    got = {x[:2]: x[2] for x in decontaminate.contaminations(items, decontaminate.pa.array(rows), 0.4)}
+    whole = [decontaminate.words(*x[2:])[0] for r in rows for x in decontaminate.slices(decontaminate.pa.array([r]))]
+    every = [(r, k) for r in range(150) for k in range(30)]
+    score = decontaminate.align([whole[r] for r, _ in every], [items.words[k] for _, k in every])[:, 0]
+    want = {p: s / (2 * len(items.words[p[1]])) for p, s in zip(every, score.tolist())}
+    assert got == {p: x for p, x in want.items() if x >= 0.4} and len(got) > 100
+
+
 def test_decontamination_of_odd_rows(spark, documents):
     benchmark = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     rows = [*ODD, (None, "one two three four five six"), (8, "one two three four five six"), (8, "one two three four five six")]
