@@ -10,12 +10,14 @@ and phone:
 * chain potential between words that follow each other;
 * skip potential between words of a document that repeat or resemble each other
   (equal without case and edge marks, or the same last digits), each tied to the
-  occurrence before it, so a group of n words has n - 1 ties.
+  occurrence before it, so a group of n words is a path of n - 1 ties.
 
 Both pair potentials are ratios of joint to independent label counts over all
 documents, held within ``CHAIN`` and ``SKIP`` so that messages settle. Loopy sum-product
-messages, all at once and damped, run ``ROUNDS`` times over the candidates of a whole
-batch of documents. A word whose belief in a label is over one half is a new span unless
+messages run over the candidates of a whole batch of documents: in each turn whole paths
+of ties pass theirs from end to end, and the chains theirs to the next word. A document
+is done when none of its messages changes by ``TOLERANCE`` any more (``TURNS`` is only a
+guard; from ``CALM`` turns on messages are damped). A word whose belief in a label is over one half is a new span unless
 a base span covers it.
 """
 
@@ -36,7 +38,8 @@ from clipledger.llm.base import strings, with_columns
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SHAPES = 1 << 14
-LOOSE, CHAIN, SKIP, ROUNDS = 0.05, 4.0, 256.0, 8
+LOOSE, CHAIN, SKIP = 0.05, 4.0, 256.0
+TOLERANCE, CALM, TURNS = 1e-4, 30, 1000
 #: Pairs of alike words with equal labels that are taken as seen before the first document.
 AGREE = 50
 _PLAIN = SHAPES
@@ -50,6 +53,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EDGE = ".,;:!?()[]{}<>\"'"
+_DOTTED = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){2,}")
 _PIECE = re.compile(r"[0-9]+|[A-Za-z]+")
 
 
@@ -97,7 +101,7 @@ def shape(word: str) -> int:
 def tie(word: str) -> str:
     """What makes two words alike; '' for words too short to say so."""
     core = word.strip(_EDGE).lower()
-    if "@" in core:
+    if "@" in core or _DOTTED.fullmatch(core):
         return core
     digits = "".join(c for c in core if c in "0123456789")
     return digits[-7:] if len(digits) >= 7 and len(core) <= 2 * len(digits) else ""
@@ -193,26 +197,80 @@ class Model:
         known = np.flatnonzero(label >= 0)
         own[known] = -30.0
         own[known, label[known]] = 0.0
-        c, s = (np.array(x, np.int64).reshape(-1, 2) for x in (field.chain, field.skip))
-        source = np.concatenate([c[:, 0], s[:, 0], c[:, 1], s[:, 1]])
-        target = np.concatenate([c[:, 1], s[:, 1], c[:, 0], s[:, 0]])
-        half = len(source) // 2
-        back = np.r_[np.arange(half, 2 * half), np.arange(half)]
-        pair = np.concatenate([np.broadcast_to(self.chain, (len(c), LABELS, LABELS)), np.broadcast_to(self.skip, (len(s), LABELS, LABELS))])
-        pair = np.concatenate([pair, pair])
-        message = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
-            total = own.copy()
-            np.add.at(total, target, message)
-            sent = (total[source] - message[back])[:, :, None] + pair
+        chain = np.array(field.chain, np.int64).reshape(-1, 2)
+        root: dict[int, int] = {}
+        for a, b in field.skip:
+            root[b] = root.setdefault(a, a)
+        tied = np.array(list(root.items()), np.int64).reshape(-1, 2)
+        path = tied[np.lexsort((tied[:, 0], tied[:, 1]))]
+        first = np.flatnonzero(np.r_[True, path[1:, 1] != path[:-1, 1]]) if len(path) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(path)))
+        total = self._settled(own, chain, path[:, 0], np.arange(len(path)) - np.repeat(first, size), np.array([x[0] for x in field.words], np.int64))
+        total = np.exp(total - total.max(1, keepdims=True)) if n else total
+        return total / total.sum(1, keepdims=True)
+
+    def _settled(self, own: np.ndarray, chain: np.ndarray, path: np.ndarray, step: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Log-beliefs once the messages of each row's variables have settled.
+
+        ``path`` names the variables of all paths of ties, one path after another, and
+        ``step`` their places in theirs.
+        """
+        out, where = own.copy(), np.arange(len(own))
+        tied, message = np.zeros_like(own), np.zeros((2 * len(chain), LABELS))
+        for turn in range(TURNS):
+            source, target = np.concatenate([chain, chain[:, ::-1]]).T
+            half = len(chain)
+            into = np.zeros_like(own)
+            np.add.at(into, target, message)
+            fresh = np.zeros_like(own)
+            fresh[path] = along(own[path] + into[path], step, self.skip)
+            moved = np.abs(fresh - tied).max(1, initial=0)
+            share = 1.0 if turn < CALM else 0.5
+            tied += share * (fresh - tied)
+            total = own + tied + into
+            sent = (total[source] - message[np.r_[half : 2 * half, :half]])[:, :, None] + self.chain
             top = sent.max(1)
             fresh = top + np.log(np.exp(sent - top[:, None, :]).sum(1))
             fresh -= fresh.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * fresh
-        total = own.copy()
-        np.add.at(total, target, message)
-        total = np.exp(total - total.max(1, keepdims=True)) if n else total
-        return total / total.sum(1, keepdims=True)
+            np.maximum.at(moved, target, np.abs(fresh - message).max(1, initial=0))
+            message += share * (fresh - message)
+            out[where] = total
+            live = np.zeros(int(row.max(initial=-1)) + 1, bool)
+            live[row[moved > TOLERANCE]] = True
+            on = live[row]
+            if not on.any():
+                break
+            if 2 * on.sum() < len(on):  # only the rows that still change go on
+                number = np.cumsum(on) - 1
+                go, stay = on[chain[:, 0]], on[path]
+                message, chain = message[np.r_[go, go]], number[chain[go]]
+                path, step = number[path[stay]], step[stay]
+                own, tied, row, where = own[on], tied[on], row[on], where[on]
+        return out
+
+
+def along(own: np.ndarray, step: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Sums of the two messages that each variable gets along its path, 0 for the likeliest label.
+
+    Paths lie one after another, a ``step`` of 0 begins one. Products of the matrices of
+    2, 4, 8, ... ties carry messages over any length of path in few rounds.
+    """
+    if not len(own):
+        return own
+    size = np.diff(np.append(np.flatnonzero(step == 0), len(step)))
+    out = np.zeros_like(own)
+    for way in (1, -1):
+        place = step if way == 1 else (np.repeat(size, size) - 1 - step)[::-1]
+        mine = np.exp(own - own.max(1, keepdims=True))[::way]
+        carry = np.concatenate([mine[:1], mine[:-1]])[:, :, None] * np.exp(pair if way == 1 else pair.T)
+        reach = 1
+        while reach < int(place.max()):
+            far = np.flatnonzero(place > reach)
+            both = np.matmul(carry[far - reach], carry[far])
+            carry[far] = both / both.max((1, 2), keepdims=True)
+            reach *= 2
+        out += np.where(place[:, None] > 0, np.log(carry.sum(1)), 0.0)[::way]
+    return out - out.max(1, keepdims=True)
 
 
 def _fields(texts: list[str]) -> tuple[Field, list[list[tuple[int, int, int]]]]:

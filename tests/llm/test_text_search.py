@@ -218,6 +218,51 @@ def test_messages_on_a_tree_give_exact_marginals():
     np.testing.assert_allclose(got[2], joint.sum(0), atol=0.02)
 
 
+def test_a_label_reaches_every_repeat():
+    field = pii.Field()
+    field.add(0, "+1-988-555-2485" + " and once more 555-2485 then" * 40, [(0, 3, 15)])
+    model = pii.Model(*(np.zeros(n, int) for n in ((pii.SHAPES + 1) * pii.LABELS, pii.LABELS**2, pii.LABELS**2)))
+    model.own[:, :] = [0, -20, -20, -20, -5.3]
+    model.chain = np.zeros((pii.LABELS, pii.LABELS))
+    model.skip = np.where(np.eye(pii.LABELS) > 0, 5.5, -4.6)
+    model.skip[0, 0] = 0
+    repeats = [k for k, x in enumerate(field.words) if x[1] > 0]
+    assert len(repeats) == 40 and model.beliefs(field)[repeats, 4].min() > 0.9
+    assert pii.tie("(10.0.0.1),") == "10.0.0.1" and pii.tie("1.2.3.4") != pii.tie("1.2.3.5") and pii.tie("12") == ""
+
+
+def test_messages_along_paths_are_exact():
+    rng = np.random.default_rng(5)
+    pair = rng.normal(0, 3, (pii.LABELS, pii.LABELS))
+    pair += pair.T
+    own, step = rng.normal(0, 4, (46, pii.LABELS)), np.concatenate([np.arange(n) for n in (2, 37, 1, 6)])
+    got = pii.along(own, step, pair)
+    for a, b in ((0, 2), (2, 39), (39, 40), (40, 46)):
+        for way in (range(a, b), range(b - 1, a - 1, -1)):
+            before = np.zeros(pii.LABELS)
+            for t in way:
+                got[t] -= before
+                before = np.logaddexp.reduce((own[t] + before)[:, None] + pair, axis=0)
+    np.testing.assert_allclose(got - got.max(1, keepdims=True), 0, atol=1e-9)
+
+
+def test_long_runs_of_ties_and_chains_settle():
+    field = pii.Field()
+    for k in range(400):
+        field._node(k // 200, 1 + k % 3, 4 if k in (0, 250) else -1, 0, 1)
+    field.chain = [(k, k + 1) for k in range(399) if k != 199]
+    field.skip = [(k, k + 5) for k in range(395) if k // 200 == (k + 5) // 200]
+    rng = np.random.default_rng(1)
+    own = np.tile([900, 2, 1, 3, 40], pii.SHAPES + 1)
+    model = pii.Model(own, rng.integers(1, 9, pii.LABELS**2), 30 * np.eye(pii.LABELS, dtype=int).ravel())
+    got = model.beliefs(field)
+    alone = pii.Field()
+    alone.shapes, alone.label, alone.words = field.shapes[:200], field.label[:200], field.words[:200]
+    alone.chain, alone.skip = ([e for e in x if e[1] < 200] for x in (field.chain, field.skip))
+    np.testing.assert_allclose(model.beliefs(alone), got[:200], atol=1e-3)
+    assert np.isfinite(got).all() and np.allclose(got.sum(1), 1)
+
+
 def test_personal_data_of_odd_rows(documents):
     rows = pii.detect_all(documents(ODD, spans="old", n_email=4)).collect()
     assert len(rows) == len(ODD) and {r.spans for r in rows} == {""}
