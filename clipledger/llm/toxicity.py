@@ -4,12 +4,15 @@
    the lower-cased text, hashed to 2^20 numbers). Tasks count, per n-gram and class,
    the texts that hold it; sums of these counts over *all* labelled texts give each
    n-gram's log-count ratio r (toxic over clean rate, smoothed) and the gain of its evidence.
-2. The ``FEATURES`` strongest n-grams are the features; a text's value for one is its
-   r where the n-gram occurs, else 0.
+2. The ``FEATURES`` strongest n-grams are features of their own; a text's value for one
+   is its r where the n-gram occurs, else 0. All other n-grams of the labelled texts
+   make two more features, the sums of their positive and of their negative ratios over
+   the root of the text's number of n-grams. For the fit, a text's own count is taken out
+   of these ratios, or n-grams that only it holds would tell its label.
 3. A logistic regression with ridge penalty is fitted on these values over a bounded
    sample of labelled texts (``FIT_ROWS``, those with the smallest hash of the key).
 
-The model is two small tables, so scoring is one pass over the texts without a shuffle.
+The model is a few tables of fixed size, so scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 def likelihood_gain(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
     """How much better two rates of an n-gram explain its texts than one rate does (G statistic)."""
-    share, held = toxic / (toxic + clean), in_toxic + in_clean
+    share, held = toxic / max(1, toxic + clean), in_toxic + in_clean
     gain = np.zeros(len(held))
     for seen, expected in (
         (in_toxic, held * share), (in_clean, held * (1 - share)),
@@ -109,31 +112,49 @@ def likelihood_gain(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clea
     return 2 * gain
 
 
-def log_ratios(counted: DataFrame, clean: int, toxic: int, features: int = FEATURES) -> DataFrame:
-    """(gram, ratio) of the n-grams with the strongest evidence."""
+def total_counts(counted: DataFrame) -> np.ndarray:
+    """Texts with each n-gram, clean ones and toxic ones: 2^BITS numbers each, whatever the corpus."""
     wide = (1 << BITS) // _PARTS
 
-    def ratios(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, wide), np.int64)
         for batch in batches:
             for raw in batch.column(batch.schema.get_field_index("counts")):
                 total += np.frombuffer(raw.as_buffer(), np.int32).reshape(2, wide)
-        p, q = (total[1] + SMOOTH) / (toxic + 2 * SMOOTH), (total[0] + SMOOTH) / (clean + 2 * SMOOTH)
-        ratio = np.log(p) - np.log(q)
-        strength = likelihood_gain(total[1], total[0], toxic, clean)
-        seen = np.flatnonzero(total.sum(0))
-        best = seen[np.argsort(-strength[seen], kind="stable")][:features]
-        yield pa.RecordBatch.from_arrays([pa.array(best + key[0].as_py() * wide), pa.array(ratio[best]), pa.array(strength[best])], ["gram", "ratio", "strength"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["part", "counts"])
 
-    per_part = counted.groupBy("part").applyInArrow(ratios, "gram long, ratio double, strength double")
-    return per_part.orderBy(F.desc("strength"), "gram").limit(features).select("gram", "ratio")
+    out = np.zeros((2, 1 << BITS), np.int64)
+    for part, raw in counted.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[:, part * wide : (part + 1) * wide] = np.frombuffer(raw, np.int64).reshape(2, wide)
+    return out
+
+
+def log_ratios(total: np.ndarray, clean: int, toxic: int, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams with the strongest evidence and their ratios."""
+    p, q = (total[1] + SMOOTH) / (toxic + 2 * SMOOTH), (total[0] + SMOOTH) / (clean + 2 * SMOOTH)
+    strength = likelihood_gain(total[1], total[0], toxic, clean)
+    seen = np.flatnonzero(total.sum(0))
+    best = seen[np.argsort(-strength[seen], kind="stable")][:features]
+    return best, np.log(p[best]) - np.log(q[best])
+
+
+def rest_ratios(total: np.ndarray, clean: int, toxic: int, gram: np.ndarray, without: int | None = None) -> np.ndarray:
+    """Ratio of every n-gram that isn't in ``gram``, 0 for unseen ones; perhaps without one text of a class."""
+    clean, toxic = clean - (without == 0), toxic - (without == 1)
+    rate = SMOOTH / max(1, clean + toxic)
+    p = np.maximum(total[1] - (without == 1), 0) / max(1, toxic) + rate
+    q = np.maximum(total[0] - (without == 0), 0) / max(1, clean) + rate
+    out = np.append(np.log(p) - np.log(q), 0.0).astype(np.float32)
+    out[gram] = 0
+    return out
 
 
 class Model:
-    """Features, their ratios, weights and the bias; a bounded size whatever the corpus."""
+    """Features, their ratios, weights and the bias, and the ratios of all other n-grams; a bounded size whatever the corpus."""
 
-    def __init__(self, gram: np.ndarray, ratio: np.ndarray):
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray, rest: np.ndarray):
         self.gram, self.ratio, self.weight, self.bias = gram, ratio, np.zeros(len(gram)), 0.0
+        self.rest, self.rest_weight = rest, np.zeros(2)
         self.number = np.full((1 << BITS) + 1, -1, np.int32)
         self.number[gram] = np.arange(len(gram))
         self.known = self.number >= 0
@@ -151,16 +172,37 @@ class Model:
             cols.append(pair % max(1, len(self.gram)))
         return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, steps: int = 500, ridge: float = 1e-5) -> None:
+    def sums(self, texts: list[str], tables: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+        """(positive sum, negative sum) of each text's own table over its n-grams, each once, by the root of their number."""
+        out, last = np.zeros((len(texts), 2)), np.zeros((1 << BITS) + 1, np.int32)
+        for a, b in chunks(texts):
+            found, begin = grams(texts[a:b])
+            for k in range(b - a):
+                own = np.concatenate([x[begin[k] : begin[k + 1]] for x in found])
+                place = np.arange(len(own), dtype=np.int32)
+                last[own] = place
+                once = own[last[own] == place]
+                value = tables[which[a + k]][once]
+                total, size = float(value.sum(dtype=float)), float(np.abs(value).sum(dtype=float))
+                out[a + k] = (size + total) / 2, (total - size) / 2
+                out[a + k] /= np.sqrt(len(once))
+        return out
+
+    def fit(self, rows: np.ndarray, cols: np.ndarray, rest: np.ndarray, labels: np.ndarray, steps: int = 500, ridge: float = 1e-5) -> None:
         """Full-batch accelerated gradient steps of ridge-penalised logistic regression."""
         n = len(labels)
-        value = self.ratio[cols]
+        value, known = self.ratio[cols], len(self.gram)
         positive = (labels.sum() + 0.5) / (n + 2.0)
         self.bias = float(np.log(positive / (1 - positive)))
-        if not n or not len(cols):
+        if not n:
             return
+        # the two sums get the size of the features, so that steps suit both
+        size = np.sqrt((rest**2).mean(0))
+        scale = np.where(size > 0, np.sqrt(np.bincount(rows, value**2, n).mean() or 1.0) / np.where(size > 0, size, 1), 0)
+        rows, cols = np.concatenate([rows, np.tile(np.arange(n), 2)]), np.concatenate([cols, np.repeat([known, known + 1], n)])
+        value = np.concatenate([value, (rest * scale).T.ravel()])
         bound = 0.25 * np.bincount(rows, value**2, n).mean() * 2 + 0.25 + ridge
-        w = v = np.zeros(len(self.gram))
+        w = v = np.zeros(known + 2)
         b = c = self.bias
         for step in range(steps):
             margin = np.bincount(rows, value * v[cols], n) + c
@@ -170,11 +212,12 @@ class Model:
             momentum = step / (step + 3)
             v, c = next_w + momentum * (next_w - w), next_b + momentum * (next_b - b)
             w, b = next_w, next_b
-        self.weight, self.bias = w * self.ratio, float(b)
+        self.weight, self.rest_weight, self.bias = w[:known] * self.ratio, w[known:] * scale, float(b)
 
     def score(self, texts: list[str]) -> np.ndarray:
         rows, cols = self.features(texts)
         margin = np.bincount(rows, self.weight[cols] if len(cols) else None, len(texts)) if len(texts) else np.zeros(0)
+        margin = margin + self.sums(texts, [self.rest], np.zeros(len(texts), int)) @ self.rest_weight
         return 1 / (1 + np.exp(-np.clip(margin + self.bias, -40, 40)))
 
 
@@ -193,24 +236,27 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, features: int = FEAT
     labelled = docs.where(keep).select("doc_id", "text").join(labels, "doc_id")
     counted = save(count_grams(labelled.select("text", "toxic")))
     clean, toxic = (x or 0 for x in counted.agg(F.sum("clean"), F.sum("toxic")).first())
-    chosen = log_ratios(counted, clean, toxic, features).collect() if clean + toxic else []
-    model = Model(np.array([x.gram for x in chosen], np.int64), np.array([x.ratio for x in chosen]))
+    total = total_counts(counted)
+    gram, ratio = log_ratios(total, clean, toxic, features)
+    model = Model(gram, ratio, rest_ratios(total, clean, toxic, gram))
     share = min(1.0, fit_rows / max(1, clean + toxic))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     empty = spark.sparkContext.broadcast(model)
+    apart = spark.sparkContext.broadcast([rest_ratios(total, clean, toxic, gram, k) for k in (0, 1)])  # bounded by 2^BITS
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = empty.value
         for batch in batches:
             texts = strings(batch, "text")
             rows, cols = known.features(texts)
+            rest = known.sums(texts, apart.value, batch.column(1).to_numpy(zero_copy_only=False))
             at = np.searchsorted(rows, np.arange(len(texts) + 1)).tolist()
             cols = cols.astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([cols[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["toxic", "cols"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([cols[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array(rest[:, 0]), pa.array(rest[:, 1])], ["toxic", "cols", "up", "down"])
 
-    rows = sample.select("text", "toxic").mapInArrow(extract, "toxic int, cols binary").collect()  # at most about fit_rows
+    rows = sample.select("text", "toxic").mapInArrow(extract, "toxic int, cols binary, up double, down double").collect()  # at most about fit_rows
     cols = [np.frombuffer(x.cols, "<u2").astype(np.int64) for x in rows]
-    model.fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), np.array([x.toxic for x in rows], float))
+    model.fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), np.array([(x.up, x.down) for x in rows], float).reshape(-1, 2), np.array([x.toxic for x in rows], float))
     return model
 
 

@@ -35,6 +35,21 @@ def test_toxicity_learns_and_holds_out(spark, documents):
     assert all(r.predicted == int(r.doc_id % 4 == 0) == int(r.score >= 0.5) for r in out)
 
 
+def test_evidence_beyond_the_strongest_features_counts(spark, documents):
+    rng = random.Random(6)
+    insults = ["".join(rng.choice("bdfgjkpqvxyz") + rng.choice("aeiou") for _ in range(5)) for _ in range(40)]
+    # one frequent word fills the list of features; the insults of the others are rarer
+    mark = lambda k: "grumblefoo" if k % 8 == 0 else insults[rng.randrange(40)] if k % 4 == 0 else ""
+    rows = [(k, f"{prose(rng, 40)} {mark(k)} {prose(rng, 10)}") for k in range(1600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(1600)], "doc_id long, quality int, toxic int")
+    docs = documents(rows)
+    model = toxicity.train(docs, labels, ~toxicity.held_out(), features=16)
+    got = toxicity.score(docs.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model).where("held_out").collect()
+    hits = [r.predicted for r in got if r.doc_id % 8 == 4]
+    assert sum(hits) >= 0.95 * len(hits) > 30
+    assert all(r.predicted == int(r.doc_id % 8 == 0) for r in got if r.doc_id % 8 != 4)
+
+
 def test_toxicity_scores_ignore_other_columns_and_odd_rows(spark, documents):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = [(k, "bad words here" if k % 2 else "nice words here") for k in range(40)]
