@@ -308,6 +308,31 @@ def test_the_model_is_a_distribution_and_learns():
     assert model.score(ids, begin).sum() > fresh.score(ids, begin).sum() + 10
 
 
+def test_every_id_of_a_short_text_is_learnt_once():
+    model = causal_lm.Model(np.append(np.random.default_rng(3).integers(1, 200, 80), [0, 12]))
+    ids = np.append(np.arange(1, 30), 81)
+    for n in (1, 5, causal_lm.WINDOW, causal_lm.WINDOW + 6):
+        windows = causal_lm.windows_of(model, ids[-n:])
+        nxt = windows[:, 1:].ravel()
+        assert nxt[nxt != causal_lm.PADDING].tolist() == model.klass[ids[-n:]].tolist()
+        assert windows[0, 0] == model.start and (windows[1:, 0] == windows[:-1, -1]).all()
+    before = model.score(ids[-5:], np.array([0, 5]))[0]
+    model.fit(causal_lm.windows_of(model, ids[-5:]), steps=60)
+    assert model.score(ids[-5:], np.array([0, 5]))[0] > before + 1
+
+
+def test_padding_has_no_gradient(monkeypatch):
+    one, two = (causal_lm.Model(np.append(np.random.default_rng(3).integers(1, 200, 60), [0, 12])) for _ in range(2))
+    window = causal_lm.windows_of(one, np.arange(9))
+    one.fit(window, steps=5)
+    real = causal_lm.Model.logits
+    # other classes in place of the padding change nothing
+    monkeypatch.setattr(causal_lm.Model, "logits", lambda self, seen: real(self, np.where(np.arange(causal_lm.WINDOW) > 9, 7, seen)))
+    two.fit(window, steps=5)
+    for k in one.p:
+        np.testing.assert_allclose(one.p[k], two.p[k], atol=1e-6)
+
+
 def test_gradients_agree_with_differences():
     model = causal_lm.Model(np.append(np.random.default_rng(3).integers(1, 200, 60), [0, 12]))
     windows = np.random.default_rng(4).integers(0, causal_lm.CLASSES, (1, causal_lm.WINDOW + 1))
