@@ -40,6 +40,18 @@ def working_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Send Python workers at most 1,000 rows or 4 MB at once, unless the session asks for less.
+
+    Texts differ in length by orders of magnitude, so Spark's 10,000 rows can be a lot of memory.
+    """
+    for name, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 4 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.sub("[bB]$", "", spark.conf.get(name))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to shared storage and read it back: later steps start there."""
     path = working_folder(df.sparkSession)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import hash_words, lower_bytes, mix, row_starts, runs, slices, with_columns, word_bounds
+from clipledger.llm.base import hash_words, lower_bytes, mix, modest_batches, row_starts, runs, slices, with_columns, word_bounds
 
 N, COMMON = 3, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -263,6 +263,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENE
     items of fewer than N words match nothing; repeated items and rows each give
     their own rows; an empty table gives none.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = None
     for items in item_blocks(benchmark, likeness, block):
@@ -273,6 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENE
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENESS, block: int = BLOCK) -> DataFrame:
     """The documents without any contamination, by one pass per block and no shuffle; columns stay."""
+    modest_batches(docs.sparkSession)
     names = docs.columns
     for items in item_blocks(benchmark, likeness, block):
         shared = docs.sparkSession.sparkContext.broadcast(items)

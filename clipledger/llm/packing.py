@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import blocks_for, number_rows, save, with_columns
+from clipledger.llm.base import blocks_for, modest_batches, number_rows, save, with_columns
 from clipledger.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -208,6 +208,7 @@ def plan_runs(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = 1) -> DataFrame:
     """One row per piece of every document: its ids' place, number and checksum."""
+    modest_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path(tokenizer))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import strings, with_columns
+from clipledger.llm.base import modest_batches, strings, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -285,6 +285,7 @@ def _fields(texts: list[str]) -> tuple[Field, list[list[tuple[int, int, int]]]]:
 
 def train(docs: DataFrame) -> Model:
     """Label counts of all documents, summed by Spark; without documents all ratios are one."""
+    modest_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
@@ -321,6 +322,7 @@ def described(spans: list[tuple[int, int, int]]) -> str:
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
     """Counts, checksum and spans for (doc_id, text); a null text is ''."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of fixed size
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,6 +341,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
 
 def mask(docs: DataFrame, model: Model) -> DataFrame:
     """Replace every span by its kind in angle brackets; touching spans become one. Other columns stay."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from clipledger.llm.base import hash_words, lower_bytes, row_starts, runs, slices, word_bounds
 
 #: Ids of the cached chunks; beyond this the cache of a Python worker starts anew.
-CACHE_WORDS, CACHE_IDS = 1 << 21, 1 << 24
+CACHE_WORDS, CACHE_IDS, FIRST_SLOTS = 1 << 20, 1 << 23, 1 << 12
 _TAIL = np.zeros(256, dtype=bool)
 _TAIL[[0x2C, 0x2E]] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -45,12 +45,28 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots = np.zeros(CACHE_WORDS * 2, np.uint64)
-        self.start = np.zeros(CACHE_WORDS * 2, np.int32)
-        self.count = np.zeros(CACHE_WORDS * 2, np.int32)
+        self._slots(FIRST_SLOTS)
         self.pool = np.zeros(1 << 16, self.width)
         self.words = self.used = 0
 
+    def _slots(self, many: int) -> None:
+        self.slots = np.zeros(many, np.uint64)
+        self.start = np.zeros(many, np.int32)
+        self.count = np.zeros(many, np.int32)
+
+    def _claim(self, keys: np.ndarray) -> np.ndarray:
+        """Give each new key a slot; of keys that want the same free one the first gets it."""
+        mask = np.int64(len(self.slots) - 1)
+        at = (keys >> np.uint64(40)).astype(np.int64) & mask
+        left = np.arange(len(keys))
+        while len(left):
+            want = left[self.slots[at[left]] == 0]
+            _, first = np.unique(at[want], return_index=True)
+            self.slots[at[want[first]]] = keys[want[first]]
+            left = left[self.slots[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & mask
+        return at
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it isn't cached (open addressing)."""
         mask = np.int64(len(self.slots) - 1)
@@ -66,19 +82,21 @@ class Encoder:
         return found
 
     def _store(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        mask = len(self.slots) - 1
-        sizes = [len(x) for x in ids]
-        flat = np.fromiter((y for x in ids for y in x), self.width, sum(sizes))
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((y for x in ids for y in x), self.width, int(sizes.sum()))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.width)])
         self.pool[self.used : self.used + len(flat)] = flat
-        for key, size in zip(keys.tolist(), sizes):
-            at = (key >> 40) & mask
-            while self.slots[at]:
-                at = (at + 1) & mask
-            self.slots[at], self.start[at], self.count[at] = key, self.used, size
-            self.used += size
         self.words += len(keys)
+        if 2 * self.words > len(self.slots):
+            held = np.flatnonzero(self.slots)
+            old = self.slots[held], self.start[held], self.count[held]
+            self._slots(1 << (4 * self.words - 1).bit_length())
+            at = self._claim(old[0])
+            self.start[at], self.count[at] = old[1:]
+        at = self._claim(keys)
+        self.start[at], self.count[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(flat)
 
     def _rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, words = word_bounds(data, offsets)
