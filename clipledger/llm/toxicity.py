@@ -1,16 +1,19 @@
 """Toxicity of whole texts: a linear classifier over character n-grams with naive Bayes weights.
 
-1. Every labelled training text gives the set of its n-grams (3 to 5 characters of
+1. Every labelled training text gives the set of its n-grams (4 to 7 characters of
    the lower-cased text, hashed to 2^20 numbers). Tasks count, per n-gram and class,
    the texts that hold it; sums of these counts over *all* labelled texts give each
    n-gram's log-count ratio r (toxic over clean rate, smoothed) and the gain of its evidence.
 2. The ``FEATURES`` strongest n-grams are features of their own; a text's value for one
    is its r where the n-gram occurs, else 0. All other n-grams of the labelled texts
    make two more features, the sums of their positive and of their negative ratios over
-   the root of the text's number of n-grams. For the fit, a text's own count is taken out
-   of these ratios, or n-grams that only it holds would tell its label.
+   the root of the text's number of n-grams. Texts are counted in two halves (by a hash of
+   the key), and a text of the fit takes these ratios from the half that it isn't in,
+   whatever its label; a new text takes the mean of both halves.
 3. A logistic regression with ridge penalty is fitted on these values over a bounded
-   sample of labelled texts (``FIT_ROWS``, those with the smallest hash of the key).
+   sample of labelled texts (``FIT_ROWS``, those with the smallest hash of the key). The
+   weights of the two sums can't be negative, so evidence keeps its direction; a fit on one
+   half, tried on the other, decides whether the sums are used at all.
 
 The model is a few tables of fixed size, so scoring is one pass over the texts without a shuffle.
 """
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import fold, save, strings, with_columns
+from clipledger.llm.base import fold, modest_batches, save, strings, with_columns
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6, 7)
 BITS = 20
-FEATURES = 2048
+FEATURES = 4096
 FIT_ROWS = 20_000
 SMOOTH = 1.0
 #: Labels of at most so many rows may be broadcast to the texts (16 bytes each).
@@ -71,33 +74,39 @@ def chunks(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def half(key: str = "doc_id") -> Column:
+    """0 or 1: the half in which a key's text is counted; a null key is in half 0."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("half")), F.lit(2)).cast("int")
+
+
 def count_grams(labelled: DataFrame) -> DataFrame:
-    """(part, texts with each n-gram of that part by class) over rows of (text, toxic)."""
+    """(half, part, texts with each n-gram of that part by class) over rows of (text, toxic, half)."""
     wide = (1 << BITS) // _PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, (1 << BITS) + 1), np.int32)
+        totals = np.zeros((2, 2, (1 << BITS) + 1), np.int32)
         last = np.zeros((1 << BITS) + 1, np.int32)
-        rows = np.zeros(2, np.int64)
+        rows = np.zeros((2, 2), np.int64)
         for batch in batches:
-            texts, toxic = strings(batch, "text"), batch.column(1).to_pylist()
+            texts, toxic, side = strings(batch, "text"), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 found, begin = grams(texts[a:b])
                 for k in range(b - a):
                     own = np.concatenate([x[begin[k] : begin[k + 1]] for x in found])
                     last[own] = np.arange(len(own), dtype=np.int32)
                     once = own[last[own] == np.arange(len(own))]
-                    totals[toxic[a + k]][once] += 1
-                    rows[toxic[a + k]] += 1
-        if rows.sum():
+                    totals[side[a + k], toxic[a + k]][once] += 1
+                    rows[side[a + k], toxic[a + k]] += 1
+        for side in np.flatnonzero(rows.sum(1)).tolist():
             for part in range(_PARTS):
-                cut = totals[:, part * wide : (part + 1) * wide]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([cut.tobytes()]), pa.array(rows[:1] if not part else [0], pa.int64()), pa.array(rows[1:] if not part else [0], pa.int64())],
-                    ["part", "counts", "clean", "toxic"],
-                )
+                cut = totals[side, :, part * wide : (part + 1) * wide].ravel()
+                at = np.flatnonzero(cut)
+                clean, toxic = rows[side].tolist() if not part else (0, 0)
+                row = {"half": side, "part": part, "place": at.astype("<u2").tobytes(), "counts": cut[at].astype("<i4").tobytes(), "clean": clean, "toxic": toxic}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("half", pa.int32()), ("part", pa.int32()), ("place", pa.binary()), ("counts", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())]))
 
-    return labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int")).mapInArrow(count, "part int, counts binary, clean long, toxic long")
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int"), F.col("half").cast("int"))
+    return rows.mapInArrow(count, "half int, part int, place binary, counts binary, clean long, toxic long")
 
 
 def likelihood_gain(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
@@ -113,19 +122,19 @@ def likelihood_gain(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clea
 
 
 def total_counts(counted: DataFrame) -> np.ndarray:
-    """Texts with each n-gram, clean ones and toxic ones: 2^BITS numbers each, whatever the corpus."""
+    """Texts with each n-gram, by half, clean and toxic: 4 * 2^BITS numbers, whatever the corpus."""
     wide = (1 << BITS) // _PARTS
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, wide), np.int64)
+        total = np.zeros(2 * wide, np.int64)
         for batch in batches:
-            for raw in batch.column(batch.schema.get_field_index("counts")):
-                total += np.frombuffer(raw.as_buffer(), np.int32).reshape(2, wide)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["part", "counts"])
+            for place, n in zip(*(batch.column(batch.schema.get_field_index(x)) for x in ("place", "counts"))):
+                total[np.frombuffer(place.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i4")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()])], ["half", "part", "counts"])
 
-    out = np.zeros((2, 1 << BITS), np.int64)
-    for part, raw in counted.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[:, part * wide : (part + 1) * wide] = np.frombuffer(raw, np.int64).reshape(2, wide)
+    out = np.zeros((2, 2, 1 << BITS), np.int64)
+    for side, part, raw in counted.groupBy("half", "part").applyInArrow(add, "half int, part int, counts binary").toLocalIterator():
+        out[side, :, part * wide : (part + 1) * wide] = np.frombuffer(raw, np.int64).reshape(2, wide)
     return out
 
 
@@ -138,13 +147,11 @@ def log_ratios(total: np.ndarray, clean: int, toxic: int, features: int = FEATUR
     return best, np.log(p[best]) - np.log(q[best])
 
 
-def rest_ratios(total: np.ndarray, clean: int, toxic: int, gram: np.ndarray, without: int | None = None) -> np.ndarray:
-    """Ratio of every n-gram that isn't in ``gram``, 0 for unseen ones; perhaps without one text of a class."""
-    clean, toxic = clean - (without == 0), toxic - (without == 1)
+def rest_ratios(total: np.ndarray, clean: int, toxic: int, gram: np.ndarray) -> np.ndarray:
+    """Ratio of every n-gram that isn't in ``gram``, 0 for unseen ones."""
     rate = SMOOTH / max(1, clean + toxic)
-    p = np.maximum(total[1] - (without == 1), 0) / max(1, toxic) + rate
-    q = np.maximum(total[0] - (without == 0), 0) / max(1, clean) + rate
-    out = np.append(np.log(p) - np.log(q), 0.0).astype(np.float32)
+    out = np.append(np.log(total[1] / max(1, toxic) + rate) - np.log(total[0] / max(1, clean) + rate), 0.0).astype(np.float32)
+    out[:-1][total.sum(0) == 0] = 0
     out[gram] = 0
     return out
 
@@ -188,7 +195,7 @@ class Model:
                 out[a + k] /= np.sqrt(len(once))
         return out
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, rest: np.ndarray, labels: np.ndarray, steps: int = 500, ridge: float = 1e-5) -> None:
+    def fit(self, rows: np.ndarray, cols: np.ndarray, rest: np.ndarray, labels: np.ndarray, with_sums: bool = True, steps: int = 500, ridge: float = 1e-5) -> None:
         """Full-batch accelerated gradient steps of ridge-penalised logistic regression."""
         n = len(labels)
         value, known = self.ratio[cols], len(self.gram)
@@ -197,7 +204,7 @@ class Model:
         if not n:
             return
         # the two sums get the size of the features, so that steps suit both
-        size = np.sqrt((rest**2).mean(0))
+        size = np.sqrt((rest**2).mean(0)) * with_sums
         scale = np.where(size > 0, np.sqrt(np.bincount(rows, value**2, n).mean() or 1.0) / np.where(size > 0, size, 1), 0)
         rows, cols = np.concatenate([rows, np.tile(np.arange(n), 2)]), np.concatenate([cols, np.repeat([known, known + 1], n)])
         value = np.concatenate([value, (rest * scale).T.ravel()])
@@ -209,16 +216,31 @@ class Model:
             error = 1 / (1 + np.exp(-margin)) - labels
             slope = np.bincount(cols, value * error[rows], len(w)) / n + ridge * v
             next_w, next_b = v - slope / bound, c - error.mean() / bound
+            next_w[known:] = np.maximum(next_w[known:], 0)
             momentum = step / (step + 3)
             v, c = next_w + momentum * (next_w - w), next_b + momentum * (next_b - b)
             w, b = next_w, next_b
         self.weight, self.rest_weight, self.bias = w[:known] * self.ratio, w[known:] * scale, float(b)
 
+    def margins(self, rows: np.ndarray, cols: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        own = np.bincount(rows, self.weight[cols], len(rest)) if len(cols) else np.zeros(len(rest))
+        return own + rest @ self.rest_weight + self.bias
+
+    def sums_help(self, rows: np.ndarray, cols: np.ndarray, rest: np.ndarray, labels: np.ndarray, side: np.ndarray) -> bool:
+        """Whether a fit on half 0 explains half 1 better with the sums, and finds as many toxic texts there."""
+        learn, told = side == 0, []
+        number = np.cumsum(learn) - 1
+        mine = learn[rows]
+        for with_sums in (False, True):
+            self.fit(number[rows[mine]], cols[mine], rest[learn], labels[learn], with_sums)
+            margin, truth = self.margins(rows, cols, rest)[~learn], labels[~learn]
+            told.append((np.logaddexp(0, np.where(truth > 0, -margin, margin)).sum(), int(((margin >= 0) & (truth > 0)).sum())))
+        (loss, found), (loss_with, found_with) = told
+        return loss_with < loss and found_with >= found
+
     def score(self, texts: list[str]) -> np.ndarray:
-        rows, cols = self.features(texts)
-        margin = np.bincount(rows, self.weight[cols] if len(cols) else None, len(texts)) if len(texts) else np.zeros(0)
-        margin = margin + self.sums(texts, [self.rest], np.zeros(len(texts), int)) @ self.rest_weight
-        return 1 / (1 + np.exp(-np.clip(margin + self.bias, -40, 40)))
+        rest = self.sums(texts, [self.rest], np.zeros(len(texts), int)) if self.rest_weight.any() else np.zeros((len(texts), 2))
+        return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(texts), rest), -40, 40)))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
@@ -228,40 +250,51 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, features: int = FEAT
     several labels counts as toxic if one of them says so. Without any usable label
     the model knows no n-gram and gives every text 0.25.
     """
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if labels.count() <= SMALL_LABELS:
         labels = F.broadcast(labels)
-    labelled = docs.where(keep).select("doc_id", "text").join(labels, "doc_id")
-    counted = save(count_grams(labelled.select("text", "toxic")))
-    clean, toxic = (x or 0 for x in counted.agg(F.sum("clean"), F.sum("toxic")).first())
-    total = total_counts(counted)
-    gram, ratio = log_ratios(total, clean, toxic, features)
-    model = Model(gram, ratio, rest_ratios(total, clean, toxic, gram))
+    labelled = docs.where(keep).select("doc_id", "text").join(labels, "doc_id").withColumn("half", half())
+    counted = save(count_grams(labelled))
+    texts = np.zeros((2, 2), np.int64)
+    for side, *n in counted.groupBy("half").agg(F.sum("clean"), F.sum("toxic")).collect():  # two rows
+        texts[side] = n
+    total, (clean, toxic) = total_counts(counted), texts.sum(0).tolist()
+    gram, ratio = log_ratios(total.sum(0), clean, toxic, features)
+    halves = [rest_ratios(total[k], *texts[k].tolist(), gram) for k in (0, 1)]
+    model = Model(gram, ratio, (halves[0] + halves[1]) / 2)
     share = min(1.0, fit_rows / max(1, clean + toxic))
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    empty = spark.sparkContext.broadcast(model)
-    apart = spark.sparkContext.broadcast([rest_ratios(total, clean, toxic, gram, k) for k in (0, 1)])  # bounded by 2^BITS
+    empty = spark.sparkContext.broadcast((model, halves))  # bounded by FEATURES and 2^BITS
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = empty.value
+        known, apart = empty.value
         for batch in batches:
             texts = strings(batch, "text")
             rows, cols = known.features(texts)
-            rest = known.sums(texts, apart.value, batch.column(1).to_numpy(zero_copy_only=False))
+            rest = known.sums(texts, apart, 1 - batch.column(2).to_numpy(zero_copy_only=False))
             at = np.searchsorted(rows, np.arange(len(texts) + 1)).tolist()
             cols = cols.astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([cols[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array(rest[:, 0]), pa.array(rest[:, 1])], ["toxic", "cols", "up", "down"])
-
-    rows = sample.select("text", "toxic").mapInArrow(extract, "toxic int, cols binary, up double, down double").collect()  # at most about fit_rows
-    cols = [np.frombuffer(x.cols, "<u2").astype(np.int64) for x in rows]
-    model.fit(np.repeat(np.arange(len(cols)), [len(x) for x in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), np.array([(x.up, x.down) for x in rows], float).reshape(-1, 2), np.array([x.toxic for x in rows], float))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), pa.array([cols[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array(rest[:, 0]), pa.array(rest[:, 1])],
+                ["toxic", "half", "cols", "up", "down"],
+            )
+
+    rows = sample.select("text", "toxic", "half").mapInArrow(extract, "toxic int, half int, cols binary, up double, down double").collect()  # at most about fit_rows
+    empty.destroy()
+    parts = [np.frombuffer(x.cols, "<u2").astype(np.int64) for x in rows]
+    row, col = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate([np.zeros(0, np.int64), *parts])
+    rest = np.array([(x.up, x.down) for x in rows], float).reshape(-1, 2)
+    truth, side = np.array([x.toxic for x in rows], float), np.array([x.half for x in rows], int)
+    model.fit(row, col, rest, truth, model.sums_help(row, col, rest, truth, side))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` to rows with a ``text``; a null text counts as ''."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and 2^BITS
     names = [x for x in docs.columns if x not in ("score", "predicted")]
     docs = docs.select(*names)
