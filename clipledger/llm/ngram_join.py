@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import hash_words, lower_bytes, mix, save, slices, word_bounds
+from clipledger.llm.base import hash_words, lower_bytes, mix, modest_batches, save, slices, word_bounds
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -487,6 +487,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     Texts without a word have no shingle and are linked with nothing. A null key gets
     no component and links nobody. Rows that repeat a key have the key's component.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.count()
     bits = max(0, (rows * 100 // BLOCK).bit_length())
@@ -500,7 +501,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     signed = save(signed)
     # signatures of the same members tell the same: one of them stays
     members = [F.count(F.lit(1)).alias("_m"), F.min("doc_id").alias("_l"), F.max("doc_id").alias("_h")]
-    members += [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"_x{k}") for k in (1, 2)]
+    # sums, because repeated rows cancel out of an exclusive or
+    members += [F.sum(F.shiftright(F.xxhash64("doc_id", F.lit(k)), 24)).alias(f"_x{k}") for k in (1, 2)]
     several = signed.groupBy("sig").agg(*members).where("_l < _h").groupBy("_m", "_l", "_h", "_x1", "_x2").agg(F.min("sig").alias("sig"))
     groups = save(signed.join(several.select("sig"), "sig", "left_semi"))
     keys = save(groups.select("doc_id").distinct())
@@ -518,8 +520,22 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does; null keys stay."""
-    joined = join_documents(docs)
-    gone = save(joined.where("doc_id <> component_id").select("doc_id").distinct())
-    small = gone.count() <= SMALL_KEYS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    """The rows of ``docs`` that stay when one row of each component does; null keys stay.
+
+    Where keys repeat, rows are judged by their own text: one of equal rows stays, and
+    so does a text without a copy whose key also has one with copies.
+    """
+    keys = docs.where("doc_id is not null").groupBy("doc_id").count()
+    if keys.where("count > 1").isEmpty():
+        gone = join_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+        key, rows = "doc_id", docs
+    else:
+        key = next(x for x in (f"_row{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns)
+        rows = save(docs.withColumn(key, F.monotonically_increasing_id()))  # stored, so that it never changes
+        told = join_documents(rows.where("doc_id is not null").select(F.col(key).alias("doc_id"), "text"))
+        told = save(told.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key))
+        first = told.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("_f")).select("component_id", F.col(f"_f.{key}").alias("_first"))
+        gone = told.join(first, "component_id").where(F.col(key) != F.col("_first")).select(key)
+    gone = save(gone)
+    kept = rows.join(F.broadcast(gone) if gone.count() <= SMALL_KEYS else gone, key, "left_anti")
+    return kept.select(*docs.columns)
