@@ -17,8 +17,10 @@ from clipledger.llm.base import save, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier doesn't predict to be toxic."""
     model = toxicity.train(docs, table(spark, folder, "labels"), ~toxicity.held_out())
-    names = docs.columns
-    return toxicity.score(docs, model).where("predicted = 0").select(*names)
+    # columns called like a result keep their values under numbers
+    numbers = [x if x == "text" else f"_{k}" for k, x in enumerate(docs.columns)]
+    kept = toxicity.score(docs.toDF(*numbers), model).where("predicted = 0").select(*numbers)
+    return kept.toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -34,6 +36,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def mask_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document, with spans replaced by their kind and ``n_chars`` counted anew where it was known."""
     masked = pii.mask(docs, pii.train(docs))
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*docs.columns)
 
 
