@@ -1,13 +1,10 @@
 """From per-window event claims to one timeline of merged events per video."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clipledger.functions.text import literal_map, numbered, strip
+from clipledger.operators.conflicts import SEGMENT_SECONDS, assign_groups
 from clipledger.operators.guards import stop_unless
 from clipledger.operators.prefix import interval_join, with_position
 from clipledger.session import cut_lineage
@@ -141,7 +138,7 @@ def merge_islands(
 
 
 def merge_candidates(
-    candidates: DataFrame, gap: float = 0.5, bucket_seconds: float = TIME_BUCKET
+    candidates: DataFrame, gap: float = 0.5, bucket_seconds: float = TIME_BUCKET, segment_seconds: float = SEGMENT_SECONDS
 ) -> DataFrame:
     """Merge repeated claims of overlapping windows into events.
 
@@ -149,10 +146,9 @@ def merge_candidates(
     and that has no other track from the same window and no other global track.
     No group can reach across an island, and an island without any conflict is
     one group, so both are decided natively. Only islands with a conflict need
-    the ordered rule; they are streamed in order through ``mapInPandas``, which
-    holds the open groups only.
+    the ordered rule, which runs over segments of time (``conflicts``).
     """
-    # Read three times below, so it is written once to shared storage.
+    # Read several times below, so it is written once to shared storage.
     marked = cut_lineage(mark_islands(candidates, gap, bucket_seconds))
     keys = [*GROUP, "island"]
     per_window = marked.groupBy(*keys, "window_id").agg(
@@ -164,56 +160,10 @@ def merge_candidates(
         (F.max("clash") | F.coalesce(F.min("lo") != F.max("hi"), F.lit(False))).alias("__conflict")
     )
     flagged = marked.join(state, keys)
-    simple = flagged.filter(~F.col("__conflict")).withColumn("__group", F.col("island"))
-    ordered = (
-        flagged.filter("__conflict")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, *ORDER)
-    )
-    schema = T.StructType([*ordered.schema.fields, T.StructField("__group", T.StringType())])
-    folded = ordered.mapInPandas(lambda batches: _assign_groups(batches, gap), schema)
-    return _summarise(simple.unionByName(folded).drop("__conflict"), bucket_seconds)
-
-
-def _assign_groups(batches: Iterator[pd.DataFrame], gap: float) -> Iterator[pd.DataFrame]:
-    """Name the group of every row of a stream sorted by island and time.
-
-    ``groups`` keeps what can still be joined: newest first, each with its
-    reach, its track per window and its global track.
-    """
-    current, groups = None, []
-    for batch in batches:
-        names = []
-        for video, event, island, start, end, window, track, known, candidate in zip(
-            batch["source_video_id"],
-            batch["event"],
-            batch["island"],
-            batch["global_start_seconds"],
-            batch["global_end_seconds"],
-            batch["window_id"],
-            batch["local_track_id"],
-            batch["global_track_id"],
-            batch["candidate_id"],
-        ):
-            if current != (video, event, island):
-                current, groups = (video, event, island), []
-            known = None if pd.isna(known) else known
-            groups = [g for g in groups if start <= g["reach"] + gap]
-            chosen = None
-            for group in groups:
-                same_window = group["tracks"].get(window, track) == track
-                same_person = known is None or group["known"] in (None, known)
-                if same_window and same_person:
-                    chosen = group
-                    break
-            if chosen is None:
-                chosen = {"name": candidate, "reach": end, "tracks": {}, "known": None}
-                groups.insert(0, chosen)
-            chosen["reach"] = max(chosen["reach"], end)
-            chosen["tracks"][window] = track
-            chosen["known"] = chosen["known"] or known
-            names.append(chosen["name"])
-        yield batch.assign(__group=names)
+    simple = flagged.filter(~F.col("__conflict")).drop("__conflict").withColumn("__group", F.col("island"))
+    ordered = flagged.filter("__conflict").drop("__conflict")
+    folded = assign_groups(ordered, keys, ORDER, gap, segment_seconds)
+    return _summarise(simple.unionByName(folded), bucket_seconds)
 
 
 def _summarise(grouped: DataFrame, bucket_seconds: float) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from clipledger.operators import conflicts
 from clipledger.operators import timeline as tl
 from clipledger.operators.windows import assign_windows, plan_windows
 
@@ -212,3 +213,58 @@ def test_candidate_plan_has_no_nested_loop(spark, frame):
     text = plan._jdf.queryExecution().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert F is not None
+
+
+def crowded_candidates(seed, video, n=40):
+    """Claims of one video whose islands span many segments, with conflicts of both kinds."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        window = rng.randint(0, 12)
+        start = float(window * 8 + rng.randint(0, 20)) / 2
+        known = rng.choice([None, None, None, "a", "b"])
+        rows.append(
+            (f"{video}c{i:03d}", video, f"{video}_{window:05d}", f"player_{rng.randint(0, 2)}", known,
+             "Foul", 0.5, 0.5, 0.0, 1.0, start, start + rng.choice([1, 2, 3, 3, 30]) / 2)
+        )
+    return rows
+
+
+def test_segments_match_the_ordered_rule_on_many_videos(frame):
+    """1,000 videos, each an own random case, cut into segments of five seconds."""
+    rows = [r for k in range(1000) for r in crowded_candidates(k, f"v{k:04d}")]
+    merged = tl.merge_candidates(frame(rows, CAND), 0.5, 7.0, segment_seconds=5.0).collect()
+    assert sorted((r.event_id, tuple(r.candidate_ids)) for r in merged) == sorted(greedy(rows, 0.5))
+
+
+def test_one_island_runs_in_many_tasks(spark, frame):
+    """A group of one name reaches over all segments, others open and close on the way."""
+    rows = []
+    for i in range(600):
+        track = "player_0" if i % 2 else f"player_{1 + i % 3}"
+        rows.append((f"c{i:04d}", "v", f"v_{i // 2:05d}", track, None, "Foul", 0.5, 0.5, 0.0, 1.0, i / 2, i / 2 + 1.0))
+    marked = tl.mark_islands(frame(rows, CAND), 0.5)
+    assert marked.select("island").distinct().count() == 1
+    keys = [*tl.GROUP, "island"]
+    told = conflicts.assign_groups(marked, keys, tl.ORDER, 0.5, 10.0)
+    assert {r["__group"] for r in told.select("__group").collect()} >= {"c0000", "c0001"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit one task
+    try:
+        dealt = conflicts._dealt(marked.withColumn("__part", F.floor(F.col("global_start_seconds") / 10.0)), None, keys, tl.ORDER)
+        assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    merged = tl.merge_candidates(frame(rows, CAND), 0.5, 7.0, segment_seconds=10.0).collect()
+    assert sorted((r.event_id, tuple(r.candidate_ids)) for r in merged) == sorted(greedy(rows, 0.5))
+
+
+def test_frontier_forgets_closed_groups_and_past_windows():
+    groups = conflicts.OpenGroups(0.5)
+    for i in range(1000):
+        groups.place(f"c{i}", f"w{i}", float(i), "p", None, float(i), i + 1.0)
+    state, refs = groups.frontier(1000.0)
+    assert refs == ["c0"] and len(state) < 60 and len(groups.groups[0]["tracks"]) <= 1
+    again = conflicts.OpenGroups(0.5, state)
+    assert again.place("c1000", "w1000", 1000.0, "p", None, 1000.0, 1001.0) == 0
+    assert again.place("x", "w1000", 1000.0, "q", None, 1000.2, 1001.0) == "x"
+    assert again.frontier(1002.0)[1] == []
