@@ -134,7 +134,7 @@ def merge_islands(
 ) -> DataFrame:
     """Merged events when no window holds two tracks of one event (fast form)."""
     marked = mark_islands(candidates, gap, bucket_seconds).withColumn("__group", F.col("island"))
-    return _summarise(marked, bucket_seconds)
+    return summarise(marked, bucket_seconds)
 
 
 def merge_candidates(
@@ -163,11 +163,11 @@ def merge_candidates(
     simple = flagged.filter(~F.col("__conflict")).drop("__conflict").withColumn("__group", F.col("island"))
     ordered = flagged.filter("__conflict").drop("__conflict")
     folded = assign_groups(ordered, keys, ORDER, gap, segment_seconds)
-    return _summarise(simple.unionByName(folded), bucket_seconds)
+    return summarise(simple.unionByName(folded), bucket_seconds)
 
 
-def _summarise(grouped: DataFrame, bucket_seconds: float) -> DataFrame:
-    """One row per group, numbered per video by its first candidate."""
+def summarise(grouped: DataFrame, bucket_seconds: float = TIME_BUCKET) -> DataFrame:
+    """One row per ``__group`` of candidates, numbered per video by its first candidate."""
     first = F.min(F.struct(*ORDER))
     arrival = F.array_sort(
         F.collect_list(F.struct(*ORDER, F.concat_ws("/", "window_id", "local_track_id").alias("ref")))

@@ -328,6 +328,26 @@ def process_new_files_query(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{base}/out")
 
 
+@query(
+    "process_later_files",
+    """SELECT event_id, segment_id AS window_id FROM evidence JOIN windows ON video_id = source_video_id AND t >= start_seconds AND t < end_seconds""",
+)
+def process_later_files_query(v: Views) -> DataFrame:
+    """Three runs over a growing folder: a third of the points, the rest, nothing new."""
+    base = shared_folder(v.spark)
+    points = v.evidence.select("event_id", "video_id", "t")
+    later = F.pmod(F.xxhash64("event_id"), F.lit(3)) > 0
+
+    def assign(rows: DataFrame) -> DataFrame:
+        return assign_windows(rows, v.videos, "t", WINDOW, OVERLAP, TAIL).select("event_id", "window_id")
+
+    for some in (~later, later, None):
+        if some is not None:
+            points.filter(some).write.mode("append").parquet(f"{base}/in")
+        process_new_files(v.spark, f"{base}/in", points.schema, assign, f"{base}/out", f"{base}/checkpoint")
+    return v.spark.read.parquet(f"{base}/out")
+
+
 # ------------------------------------------------------------ text functions
 
 

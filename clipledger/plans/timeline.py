@@ -8,6 +8,8 @@ from clipledger.operators.catalog import Catalog, find_materials
 from clipledger.operators.windows import assign_windows
 from clipledger.plans.registry import query
 from clipledger.plans.views import OVERLAP, TAIL, WINDOW, Views
+from clipledger.session import cut_lineage, shared_folder
+from clipledger.streaming.timeline import close_stream, run_merge
 
 
 @query(
@@ -75,6 +77,27 @@ def merged_exact_query(v: Views) -> DataFrame:
     return _flat(tl.merge_candidates(_candidates(v)))
 
 
+@query(
+    "merged_stream",
+    """SELECT printf('%s:event_%05d', source_video_id, event_index) AS event_id, source_video_id, event,
+      global_track_id, confidence, temporal_score, start AS evidence_start_seconds, end_ AS evidence_end_seconds,
+      candidate_ids, track_references FROM exact_events""",
+)
+def merged_stream_query(v: Views) -> DataFrame:
+    """The exact merge as a stream of six micro-batches; every seventh claim arrives a batch late."""
+    candidates = cut_lineage(_candidates(v))
+    span = (candidates.agg(F.max("global_start_seconds")).first()[0] or 0.0) / 5 + 1
+    late = F.pmod(F.xxhash64("candidate_id"), F.lit(7)) == 0
+    slot = F.floor(F.col("global_start_seconds") / span) + late.cast("int")
+    base = shared_folder(v.spark)
+    for k in range(6):
+        candidates.filter(slot == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for _ in range(2):  # the first moves the watermark, the second is a batch that sees it moved
+        close_stream(candidates).write.mode("append").parquet(f"{base}/in")
+    final = run_merge(v.spark, f"{base}/in", candidates.schema, f"{base}/out", f"{base}/checkpoint", delay_seconds=span)
+    return _flat(tl.summarise(final))
+
+
 _PADDED = """SELECT i.*, duration_seconds,
       CASE WHEN event IN ('Missed Shot','Made Shot') THEN 5.0 WHEN event = 'ast' THEN 7.0 ELSE 4.0 END::DOUBLE AS pre,
       CAST(2.0 AS DOUBLE) AS post
