@@ -180,10 +180,10 @@ def roster_lookup(identities: DataFrame, roster: DataFrame) -> DataFrame:
         .otherwise("matched")
     )
     reason = (
-        F.when(missing_color, "jersey color is missing or invalid")
-        .when(missing_number, "jersey number is missing or invalid")
-        .when(F.col("candidate_names").isNull(), "no roster row matches the exact color-number key")
-        .when(count > 1, "multiple roster rows share the color-number key")
+        F.when(missing_color, "color_missing")
+        .when(missing_number, "number_missing")
+        .when(F.col("candidate_names").isNull(), "not_in_roster")
+        .when(count > 1, "several_in_roster")
     )
     return joined.select(
         *shaped.columns,

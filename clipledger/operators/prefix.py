@@ -155,6 +155,32 @@ def exact_median(
     )
 
 
+#: Intervals from 2^60 widths on, and those without an end, share one level of a single cell.
+_TOP = 61
+#: Parts of a cell that is longer than the width, so that its points don't meet in one task.
+_PARTS = 16
+
+
+def _level_cells(at: Column, level: Column, width: float) -> Column:
+    """The cell of a time on a level; cells of level k are 2^k widths long."""
+    return F.when(level == _TOP, F.lit(0).cast("bigint")).otherwise(F.floor(at / (F.pow(F.lit(2.0), level) * width)))
+
+
+def interval_cells(intervals: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Add ``__level``, ``__cell`` and ``__part``: where an interval is found, in two cells of its level at most.
+
+    An interval's level has the shortest cells that are as long as it. Cells above the
+    lowest level have parts; the interval lies in each of them.
+    """
+    known = intervals.filter(F.col(end) >= F.col(start))
+    widths = (F.col(end) - F.col(start)) / width
+    level = F.when(widths <= 1, F.lit(0)).when(widths < 2.0 ** (_TOP - 1), F.ceil(F.log2(widths))).otherwise(F.lit(_TOP))
+    known = known.withColumn("__level", level.cast("int"))
+    first, last = (_level_cells(F.col(c), F.col("__level"), width) for c in (start, end))
+    parts = F.when(F.col("__level") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
+    return known.withColumn("__cell", F.explode(F.sequence(first, last))).withColumn("__part", F.explode(parts))
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -167,16 +193,18 @@ def interval_join(
 ) -> DataFrame:
     """Inner join of points with the intervals containing them.
 
-    Both sides are cut into time cells of ``width`` and meet on ``(keys, cell)``
-    only, so no nested loop is planned. A point has one cell, hence no
-    duplicates. Pick ``width`` near the usual interval length.
+    Time is cut into cells on levels of 1, 2, 4, ... ``width``, and an interval is put
+    into the cells of the level of its own length, however long it is. A point looks
+    into one cell per level that occurs. Both meet on ``(keys, level, cell, part)``,
+    so no nested loop is planned, and a pair meets once. Pick ``width`` near
+    the usual interval length.
     """
-    cell = F.lit(float(width))
-    left = points.withColumn("__cell", F.floor(F.col(at) / cell))
-    right = intervals.filter(F.col(end) >= F.col(start)).withColumn(
-        "__cell",
-        F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))),
-    )
+    right = interval_cells(intervals, start, end, width)
+    occurring = right.select(F.sort_array(F.collect_set("__level"))).scalar()
+    left = points.withColumn("__level", F.explode(occurring))
+    left = left.withColumn("__cell", _level_cells(F.col(at), F.col("__level"), width))
+    part = F.when(F.col("__level") == 0, F.lit(0)).otherwise(F.pmod(F.floor(F.col(at) / width), F.lit(_PARTS)))
+    left = left.withColumn("__part", part.cast("int"))
     inside = F.col(at) <= F.col(end) if closed_end else F.col(at) < F.col(end)
-    joined = left.join(right, [*keys, "__cell"])
-    return joined.filter((F.col(at) >= F.col(start)) & inside).drop("__cell")
+    joined = left.join(right, [*keys, "__level", "__cell", "__part"])
+    return joined.filter((F.col(at) >= F.col(start)) & inside).drop("__level", "__cell", "__part")

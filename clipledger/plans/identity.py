@@ -382,7 +382,7 @@ def parse_observations_query(v: Views) -> DataFrame:
 
 @query(
     "parse_json_response",
-    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'ok' WHEN role = 'assistant' THEN 'response is valid JSON but not an object' ELSE 'invalid JSON' END AS outcome
+    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'ok' WHEN role = 'assistant' THEN 'not_an_object' ELSE 'not_json' END AS outcome
     FROM conversations""",
 )
 def parse_json_response_query(v: Views) -> DataFrame:
@@ -402,7 +402,7 @@ def _responses(v: Views) -> DataFrame:
     line = F.col("l_linenumber")
     return v.table("lineitem").select(
         (F.col("l_partkey") * 1000000 + F.col("l_orderkey") * 10 + line).alias("response_id"),
-        F.when(F.col("l_tax") == 0.08, "invalid JSON").alias("parse_error"),
+        F.when(F.col("l_tax") == 0.08, "not_json").alias("parse_error"),
         F.when(line < 6, True).when(line == 6, False).alias("is_on_court_player"),
         F.when(F.col("l_linestatus") == "F", F.col("l_quantity") > 25).otherwise(F.lit(True)).alias("number_readable"),
         F.when(F.col("l_returnflag") == "A", "White").when(F.col("l_returnflag") == "N", "green").alias("jersey_color_candidate"),
@@ -417,19 +417,19 @@ _RESP = """WITH r AS (SELECT l_partkey*1000000 + l_orderkey*10 + l_linenumber AS
         CASE l_returnflag WHEN 'A' THEN 'white' WHEN 'N' THEN 'green' END AS color,
         CASE WHEN l_quantity > 20 AND l_suppkey % 120 < 100 THEN CAST(l_suppkey % 120 AS VARCHAR) END AS number,
         CASE WHEN l_discount*12 <= 1 THEN l_discount*12 END AS conf FROM lineitem),
-    q AS (SELECT *, list_filter([CASE WHEN court IS NULL THEN 'is_on_court_player must be boolean' END,
-        CASE WHEN color = 'green' THEN 'jersey color ''green'' is outside the roster vocabulary' END,
-        CASE WHEN conf IS NULL THEN 'number_confidence must be between 0 and 1' END,
-        CASE WHEN NOT readable AND number IS NOT NULL THEN 'number_readable=false conflicts with a number candidate' END,
-        CASE WHEN readable AND number IS NULL THEN 'number_readable=true requires a valid number candidate' END,
-        CASE WHEN NOT readable AND conf <> 0 THEN 'an unreadable number must have zero confidence' END], lambda x: x IS NOT NULL) AS issues FROM r)"""
+    q AS (SELECT *, list_filter([CASE WHEN court IS NULL THEN 'court_flag_type' END,
+        CASE WHEN color = 'green' THEN 'color_not_allowed=green' END,
+        CASE WHEN conf IS NULL THEN 'confidence_range' END,
+        CASE WHEN NOT readable AND number IS NOT NULL THEN 'number_despite_unreadable' END,
+        CASE WHEN readable AND number IS NULL THEN 'number_missing' END,
+        CASE WHEN NOT readable AND conf <> 0 THEN 'confidence_despite_unreadable' END], lambda x: x IS NOT NULL) AS issues FROM r)"""
 
 
 @query(
     "validate_observation",
     _RESP + """ SELECT response_id, CASE WHEN failed THEN 'json_parse' WHEN len(issues) > 0 THEN 'model_output_inconsistency'
         WHEN court AND readable AND number IS NOT NULL THEN 'valid' ELSE 'unresolved' END AS status,
-      CASE WHEN failed THEN 'invalid JSON' ELSE array_to_string(issues, '; ') END AS issues,
+      CASE WHEN failed THEN 'not_json' ELSE array_to_string(issues, '; ') END AS issues,
       CASE WHEN NOT failed AND color = 'white' THEN color END AS jersey_color, CASE WHEN NOT failed THEN number END AS jersey_number FROM q""",
 )
 def validate_observation_query(v: Views) -> DataFrame:
@@ -452,8 +452,8 @@ def _noted(v: Views) -> DataFrame:
 
 
 _NOTED = """(SELECT l_orderkey AS response_id, unnest(list_filter([
-      CASE WHEN l_quantity > 20 AND l_linestatus <> 'F' THEN 'image ' || l_linenumber || ': unreadable flag conflicts with number ' || (l_suppkey % 100) END,
-      CASE WHEN l_quantity <= 20 AND l_discount > 0.05 THEN 'image ' || l_linenumber || ': note mentions number ' || (l_suppkey % 100) || ' but structured number is null' END],
+      CASE WHEN l_quantity > 20 AND l_linestatus <> 'F' THEN 'image=' || l_linenumber || ' number_despite_unreadable=' || (l_suppkey % 100) END,
+      CASE WHEN l_quantity <= 20 AND l_discount > 0.05 THEN 'image=' || l_linenumber || ' number_only_in_note=' || (l_suppkey % 100) END],
       lambda x: x IS NOT NULL)) AS contradiction FROM lineitem)"""
 
 
@@ -474,7 +474,7 @@ def failure_stage_query(v: Views) -> DataFrame:
     joined = v.table("orders").join(found, F.col("response_id") == F.col("o_orderkey"), "left")
     responses = joined.select(
         text("o", F.col("o_orderkey")).alias("response_id"),
-        F.when(F.col("o_totalprice") < 20000, "invalid JSON").alias("parse_error"),
+        F.when(F.col("o_totalprice") < 20000, "not_json").alias("parse_error"),
         F.coalesce("n", F.lit(0)).alias("contradiction_count"),
         (F.col("o_orderstatus") != "P").alias("is_on_court_player"),
         F.when(F.col("o_orderpriority") != "1-URGENT", "white").alias("jersey_color"),

@@ -144,7 +144,7 @@ def test_json_responses(frame):
     df = frame([(t,) for t in texts], "t string").select(obs.parse_json_response(F.col("t")).alias("p"))
     got = [(r.p.document is not None, r.p.error) for r in df.collect()]
     assert [g[0] for g in got] == [True, True, False, False, False]
-    assert got[0][1] is None and got[3][1] == "invalid JSON"
+    assert got[0][1] is None and got[3][1] == "not_json"
 
 
 def test_validation_contradictions_and_stage(frame):
@@ -162,8 +162,8 @@ def test_validation_contradictions_and_stage(frame):
     )
     found = sorted(r.contradiction for r in obs.output_contradictions(notes).collect())
     assert found == [
-        "image 1: note mentions number 13 but structured number is null",
-        "image 2: unreadable flag conflicts with number 5",
+        "image=1 number_only_in_note=13",
+        "image=2 number_despite_unreadable=5",
     ]
     stages = frame(
         [(None, 0, True, "white", None, "no_match"), (None, 0, True, "white", "20", "matched"), (None, 1, True, None, None, None)],

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from clipledger.operators.prefix import exact_median, interval_join, running, with_position, with_previous
+from clipledger.operators.prefix import exact_median, interval_cells, interval_join, running, with_position, with_previous
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])
@@ -48,3 +48,28 @@ def test_interval_join(frame, closed):
     assert got == sorted(
         (p, s) for k, p, t in points for kk, s, a, b in spans if k == kk and a <= t and (t <= b if closed else t < b)
     )
+
+
+def contained(points, intervals, closed):
+    return sorted((p[0], i[0]) for p in points for i in intervals if p[1] == i[1] and i[2] <= p[2] and (p[2] <= i[3] if closed else p[2] < i[3]))
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_interval_join_matches_all_pairs_for_any_length(frame, closed):
+    rng = random.Random(4)
+    points = [(k, f"v{k % 3}", float(rng.choice([rng.randint(-50, 400), rng.randint(0, 10**9)]))) for k in range(300)]
+    lengths = [0.0, 1.0, 59.5, 60.0, 61.0, 120.0, 1000.0, 3.2e7, 1e9, 1e25, float("inf")]
+    intervals = [(k, f"v{k % 3}", float(rng.randint(-60, 300))) for k in range(99)]
+    intervals = [(*x, x[2] + rng.choice(lengths)) for x in intervals] + [(99, "v0", float("-inf"), 5.0), (100, "v0", 9.0, 8.0)]
+    left, right = frame(points, "p int, video string, t double"), frame(intervals, "i int, video string, a double, b double")
+    got = interval_join(left, right, ["video"], "t", "a", "b", 60.0, closed)
+    assert sorted((r.p, r.i) for r in got.select("p", "i").collect()) == contained(points, intervals, closed)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_an_interval_of_years_takes_a_few_cells(frame):
+    rows = [(0, 0.0, 3.2e9), (1, 5.0, 9.0), (2, 50.0, 70.0), (3, 0.0, float("inf"))]
+    cells = interval_cells(frame(rows, "i int, a double, b double"), "a", "b", 60.0).groupBy("i").count().collect()
+    assert all(r["count"] <= 32 for r in cells) and len(cells) == 4
+    assert interval_join(frame([(1, 2.0)], "p int, t double"), frame([], "i int, a double, b double"), [], "t", "a", "b", 60.0, True).count() == 0
