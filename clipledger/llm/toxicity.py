@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import fold, modest_batches, save, strings, with_columns
+from clipledger.llm.base import fold, modest_batches, strings, with_columns
 
 ORDERS = (4, 5, 6, 7)
 BITS = 20
@@ -102,7 +102,8 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 cut = totals[side, :, part * wide : (part + 1) * wide].ravel()
                 at = np.flatnonzero(cut)
                 clean, toxic = rows[side].tolist() if not part else (0, 0)
-                row = {"half": side, "part": part, "place": at.astype("<u2").tobytes(), "counts": cut[at].astype("<i4").tobytes(), "clean": clean, "toxic": toxic}
+                kind = np.min_scalar_type(int(cut.max()))  # the narrowest that holds the counts
+                row = {"half": side, "part": part, "place": at.astype("<u2").tobytes(), "counts": cut[at].astype(kind).tobytes(), "clean": clean, "toxic": toxic}
                 yield pa.RecordBatch.from_pylist([row], pa.schema([("half", pa.int32()), ("part", pa.int32()), ("place", pa.binary()), ("counts", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())]))
 
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int"), F.col("half").cast("int"))
@@ -121,21 +122,27 @@ def likelihood_gain(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clea
     return 2 * gain
 
 
-def total_counts(counted: DataFrame) -> np.ndarray:
-    """Texts with each n-gram, by half, clean and toxic: 4 * 2^BITS numbers, whatever the corpus."""
+def total_counts(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(texts with each n-gram by half, clean and toxic; texts of each half and class): 4 * 2^BITS numbers, whatever the corpus."""
     wide = (1 << BITS) // _PARTS
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * wide, np.int64)
+        total, rows = np.zeros(2 * wide, np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for place, n in zip(*(batch.column(batch.schema.get_field_index(x)) for x in ("place", "counts"))):
-                total[np.frombuffer(place.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()])], ["half", "part", "counts"])
-
-    out = np.zeros((2, 2, 1 << BITS), np.int64)
-    for side, part, raw in counted.groupBy("half", "part").applyInArrow(add, "half int, part int, counts binary").toLocalIterator():
+            place, counts, clean, toxic = (batch.column(batch.schema.get_field_index(x)) for x in ("place", "counts", "clean", "toxic"))
+            for at, n in zip(place, counts):
+                at = np.frombuffer(at.as_buffer(), "<u2")
+                if len(at):
+                    total[at] += np.frombuffer(n.as_buffer(), f"<u{n.as_buffer().size // len(at)}")
+            rows += [sum(clean.to_pylist()), sum(toxic.to_pylist())]
+        yield pa.RecordBatch.from_pydict({"half": [key[0].as_py()], "part": [key[1].as_py()], "counts": [total.tobytes()], "clean": rows[:1], "toxic": rows[1:]}, added)
+
+    added = pa.schema([("half", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())])
+    out, texts = np.zeros((2, 2, 1 << BITS), np.int64), np.zeros((2, 2), np.int64)
+    for side, part, raw, *n in counted.groupBy("half", "part").applyInArrow(add, "half int, part int, counts binary, clean long, toxic long").collect():
         out[side, :, part * wide : (part + 1) * wide] = np.frombuffer(raw, np.int64).reshape(2, wide)
-    return out
+        texts[side] += n
+    return out, texts
 
 
 def log_ratios(total: np.ndarray, clean: int, toxic: int, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -257,11 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, features: int = FEAT
     if labels.count() <= SMALL_LABELS:
         labels = F.broadcast(labels)
     labelled = docs.where(keep).select("doc_id", "text").join(labels, "doc_id").withColumn("half", half())
-    counted = save(count_grams(labelled))
-    texts = np.zeros((2, 2), np.int64)
-    for side, *n in counted.groupBy("half").agg(F.sum("clean"), F.sum("toxic")).collect():  # two rows
-        texts[side] = n
-    total, (clean, toxic) = total_counts(counted), texts.sum(0).tolist()
+    total, texts = total_counts(count_grams(labelled))
+    clean, toxic = texts.sum(0).tolist()
     gram, ratio = log_ratios(total.sum(0), clean, toxic, features)
     halves = [rest_ratios(total[k], *texts[k].tolist(), gram) for k in (0, 1)]
     model = Model(gram, ratio, (halves[0] + halves[1]) / 2)
