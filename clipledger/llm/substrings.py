@@ -37,7 +37,7 @@ from clipledger.llm.base import hash_words, mix, modest_batches, row_starts, run
 
 WINDOW, PHRASE = 20, 7
 #: Bits of the table of repeated phrases, in so many parts.
-MARKS, PARTS = 28, 64
+MARKS, PARTS = 28, 1024
 #: Bytes of a shard of texts, candidate windows of a batch and, about, of a block.
 SHARD, BATCH, BLOCK = 1 << 20, 1 << 19, 1 << 21
 _U = np.uint64
@@ -143,7 +143,7 @@ def mark(phrases: DataFrame) -> tuple[np.ndarray, int]:
 
     part = F.shiftrightunsigned("phrase", 64 - PARTS.bit_length() + 1).alias("part")
     out, total = np.zeros((PARTS, wide // 8), np.uint8), 0
-    for k, bits, n in phrases.select(part, "phrase", "n").groupBy("part").applyInArrow(fill, "part long, bits binary, n long").toLocalIterator():
+    for k, bits, n in phrases.select(part, "phrase", "n").groupBy("part").applyInArrow(fill, "part long, bits binary, n long").collect():
         out[k] = np.frombuffer(bits, np.uint8)
         total += n
     return out.ravel(), total
@@ -311,7 +311,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     # an occurrence anchors up to 14 windows, about half of them
     bits = max(0, (occurrences * (WINDOW - PHRASE) // 2 // BLOCK).bit_length())
     found, shared = candidates(docs, marks, bits)
-    out = save(covered_words(later_places(found)))
+    # rows that are repeated lose the same words: they are told once
+    out = save(covered_words(later_places(found)).dropDuplicates(["doc_id", "sign"]))
     shared.destroy()
     return out
 
