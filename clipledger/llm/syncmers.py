@@ -2,9 +2,10 @@
 
 A k-mer of characters is a closed syncmer if its smallest s-mer (by hash) is its
 first or its last. That depends on the k-mer alone, so equal passages give equal
-anchors wherever they stand. A fingerprint keeps the ``ANCHORS`` anchors with the
-smallest hashes, each with the place of its first occurrence; a text shorter than
-k has one anchor, itself.
+anchors wherever they stand. A fingerprint keeps all anchors with hashes below ``BOUND``
+(a sixteenth of them, about one per 70 characters, however long the text) and the
+``ANCHORS`` smallest at least, each with the place of its first occurrence; a text
+shorter than k has one anchor, itself.
 
 Two fingerprints are compared over the range of hashes both have in full: anchors of
 equal hash are matched, and the longest chain whose places rise in both texts counts.
@@ -28,7 +29,8 @@ from clipledger.llm.toxicity import chunks
 
 #: The steps of ``anchors`` double lengths: s is a power of two, k is s + 8.
 K, S = 16, 8
-ANCHORS = 48
+#: Anchors at least, and the hash below which all are kept.
+ANCHORS, BOUND = 48, 1 << 28
 _U = np.uint64
 #: Rows of one sorted stretch of the corpus, and how many stretches there are at most (beyond, they grow).
 STRETCH, STRETCHES = 1_000, 1 << 16
@@ -65,14 +67,15 @@ def anchors(texts: list[str]) -> list[np.ndarray]:
             mine, place = np.array([int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:4], "little")], np.uint32), np.zeros(1, np.int64)
         room = ANCHORS
         while len(mine) > 4 * room:  # repeated anchors may fill the room: then look further
-            bound = np.partition(mine, 2 * room)[2 * room]
+            bound = max(BOUND, int(np.partition(mine, 2 * room)[2 * room]))
             few = mine <= bound
             if len(np.unique(mine[few])) >= ANCHORS:
                 mine, place = mine[few], place[few]
                 break
             room *= 2
         value, first = np.unique(mine, return_index=True)
-        out.append(np.stack([value[:ANCHORS], place[first[:ANCHORS]].astype(np.uint32)], 1) if len(value) else np.zeros((0, 2), np.uint32))
+        kept = max(ANCHORS, int(np.searchsorted(value, BOUND)))
+        out.append(np.stack([value[:kept], place[first[:kept]].astype(np.uint32)], 1) if len(value) else np.zeros((0, 2), np.uint32))
     return out
 
 
@@ -91,7 +94,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    bound = min(int(x[-1, 0]) if len(x) >= ANCHORS else 1 << 32 for x in (a, b))
+    bound = min(max(BOUND - 1, int(x[-1, 0])) if len(x) >= ANCHORS else 1 << 32 for x in (a, b))
     a, b = a[a[:, 0] <= bound], b[b[:, 0] <= bound]
     _, left, right = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
     ends: list[int] = []
