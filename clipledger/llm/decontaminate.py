@@ -76,6 +76,11 @@ class Items:
                     item.append(np.full(len(pair[-1]), first + k, np.int32))
                     place.append(np.arange(len(pair[-1]), dtype=np.int32))
                     near.append(np.full(len(pair[-1]), apart == 1))
+        # items without a pair of their own: a text is contaminated if it is such an item
+        self.short: dict[bytes, list[int]] = {}
+        for k, own in enumerate(self.words):
+            if 0 < len(own) < N:
+                self.short.setdefault(own.tobytes(), []).append(k)
         size = np.array([len(x) for x in self.words], np.int64)
         self.need = np.ceil(MATCH * likeness * size - 2 - 1e-9).astype(np.int64)
         self.reach = np.floor((3 - 2 * likeness) * size + 1e-9).astype(np.int64)
@@ -209,16 +214,22 @@ def _passages(items: Items, hashes: np.ndarray, begin: np.ndarray, row: np.ndarr
 
 def contaminations(items: Items, texts: pa.Array, likeness: float) -> list[tuple[int, int, float, int, int, int, int]]:
     """(row, item, likeness, score, seeds, first word, end word) for a column of texts."""
-    found = []
+    found, short = [], []
     for first, _, data, offsets in slices(texts):
-        found += [(first + x[0], *x[1:]) for x in passages(items, *words(data, offsets))]
+        hashes, begin = words(data, offsets)
+        found += [(first + x[0], *x[1:]) for x in passages(items, hashes, begin)]
+        many = np.diff(begin)
+        for row in np.flatnonzero((many > 0) & (many < N)).tolist() if items.short else ():
+            n = int(many[row])
+            whole = items.short.get(hashes[begin[row] : begin[row + 1]].tobytes(), ())
+            short += [(first + row, k, 1.0, MATCH * n, 0, 0, n) for k in whole]
     aligned = align([x[4] for x in found], [items.words[x[1]] for x in found]).tolist()
     best: dict[tuple[int, int], tuple] = {}
     for (row, item, seeds, lo, _), (score, first, end) in zip(found, aligned):
         like = score / (MATCH * len(items.words[item]))
         if like >= likeness and (like, seeds) > best.get((row, item), (0, 0))[:2]:
             best[row, item] = (like, score, seeds, lo + first, lo + end)
-    return [(*pair, *rest) for pair, rest in sorted(best.items())]
+    return sorted([(*pair, *rest) for pair, rest in best.items()] + short)
 
 
 def item_blocks(benchmark: DataFrame, likeness: float = LIKENESS, block: int = BLOCK) -> Iterator[Items]:
@@ -259,9 +270,9 @@ def _matches(docs: DataFrame, items: Items, likeness: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, likeness: float = LIKENESS, block: int = BLOCK) -> DataFrame:
     """One row per (doc_id, item_id) whose best alignment reaches ``likeness``.
 
-    Word places count from 0 in the document, the end is exclusive. Null texts and
-    items of fewer than N words match nothing; repeated items and rows each give
-    their own rows; an empty table gives none.
+    Word places count from 0 in the document, the end is exclusive. Null texts match
+    nothing; an item of fewer than N words matches texts of just these words; repeated
+    items and rows each give their own rows; an empty table gives none.
     """
     modest_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
