@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from clipledger.llm.base import blocks_for, number_rows, save
 
-SHARDS, ROUNDS = 24, 4
+SHARDS = 24
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -42,13 +42,16 @@ def _shares(rows: int, shards: int):
     return F.lit(rows // shards) + F.when(F.col("shard") < rows % shards, 1).otherwise(0)
 
 
-def propagate(linked: DataFrame, shards: int, rows: int, rounds: int) -> DataFrame:
-    """Move rows of (row, link, shard) towards their group's shard for some rounds."""
+def propagate(linked: DataFrame, shards: int, rows: int) -> DataFrame:
+    """Move rows of (row, link, shard) towards their group's shard until no quota lets one move.
+
+    Rows in their group's largest shard stay, so each round brings more rows there and the rounds end.
+    """
     blocks = blocks_for(rows)
     spark = linked.sparkSession
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     room = every.select("shard", _shares(rows, shards).alias("share"))
-    for _ in range(rounds):
+    while True:
         held = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("members"))
         pull = F.struct("members", F.xxhash64("link", "shard").alias("_tie"), "shard")
         wanted = held.groupBy("link").agg(F.max(pull).alias("_best")).select("link", F.col("_best.shard").alias("target"))
@@ -68,14 +71,16 @@ def propagate(linked: DataFrame, shards: int, rows: int, rounds: int) -> DataFra
             .withColumn("_used", F.coalesce(F.sum("more").over(earlier), F.lit(0)))
             .select("shard", "target", (F.col("swap") + F.greatest(F.lit(0), F.least("more", F.col("free") - F.col("_used")))).alias("quota"))
         )
+        quota = save(quota.where("quota > 0"))  # at most a row per pair of shards
+        if quota.isEmpty():
+            return linked
         turns = number_rows(moves, "_turn", ["shard", "target"], ["row"], ["link", "row"], blocks)
         moved = turns.join(quota, ["shard", "target"]).where("_turn < quota").select("row", "target")
         new = F.coalesce(F.col("_to.target"), F.col("_at.shard")).alias("shard")
         linked = save(linked.alias("_at").join(moved.alias("_to"), "row", "left").select("row", "_at.link", new))
-    return linked
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document with its ``law``, ``shard``, ``slot`` and ``grown_shard`` (null: the law is ``rows``).
 
     A null text has size 8 and counts as empty; repeated rows and null keys are rows
@@ -89,7 +94,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     shared = numbered.groupBy("link").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("link")
     linked = numbered.join(shared, "link", "left_semi").select("row", "link")
     placed = save(number_rows(save(linked), "_place", [], ["row"], ["row"], blocks).select("row", "link", (F.col("_place") % shards).cast("int").alias("shard")))
-    placed = propagate(placed, shards, rows, rounds)
+    placed = propagate(placed, shards, rows)
     # the rows without links fill what is left: shard s takes the places from its first to its last
     taken = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("here"))
     every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
