@@ -50,6 +50,21 @@ def test_evidence_beyond_the_strongest_features_counts(spark, documents):
     assert all(r.predicted == int(r.doc_id % 8 == 0) for r in got if r.doc_id % 8 != 4)
 
 
+def test_a_counted_text_scores_no_lower_than_the_same_text_not_counted(spark, documents):
+    """Sums of weak evidence over n-grams of both halves never turn against it."""
+    rng = random.Random(21)
+    bad = [f"vile{k}" for k in range(60)]
+    rows = [(k, prose(rng, 40) + (" " + " ".join(rng.sample(bad, 3)) if k % 4 == 0 else "")) for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    docs, key = documents(rows), F.col("doc_id")
+    every = toxicity.train(docs, labels, F.lit(True), features=16)
+    some = toxicity.train(docs, labels, key % 20 != 0, features=16)
+    assert (every.rest_weight >= 0).all() and every.rest_weight.any()
+    of = lambda model: {r.doc_id: r.score for r in toxicity.score(docs.where(key % 20 == 0), model).collect()}
+    counted, left_out = of(every), of(some)
+    assert len(counted) == 30 and all(counted[k] >= left_out[k] - 0.02 for k in counted)
+
+
 def test_toxicity_scores_ignore_other_columns_and_odd_rows(spark, documents):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = [(k, "bad words here" if k % 2 else "nice words here") for k in range(40)]
@@ -76,14 +91,61 @@ def test_grams_stay_inside_their_text():
 
 
 def plain_anchors(text):
-    """Every k-mer judged on its own, as a text of that length."""
-    found = {}
-    for i in range(len(text) - syncmers.K + 1):
-        one = syncmers.anchors([text[i : i + syncmers.K]])[0]
-        whole = int.from_bytes(hashlib.md5(text[i : i + syncmers.K].encode()).digest()[:4], "little")
-        if int(one[0, 0]) != whole:  # a k-mer that is no syncmer falls back to the text's own hash
-            found.setdefault(int(one[0, 0]), i)
-    return sorted(found.items())[: syncmers.ANCHORS]
+    """Every k-mer judged on its own, with hashes spelled out letter by letter."""
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    def rolled(part):
+        if len(part) == 1:
+            return (ord(part) + 1) * 0x9E3779B97F4A7C15 & whole
+        middle, factor = len(part) // 2, 0xD6E8FEB86659FD93
+        for _ in range(middle.bit_length() - 1):
+            factor = factor * factor & whole
+        return (rolled(part[:middle]) * factor + rolled(part[middle:])) & whole
+
+    found, k, s = {}, syncmers.K, syncmers.S
+    for i in range(len(text) - k + 1):
+        inner = [mixed(rolled(text[j : j + s])) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            value = mixed((inner[0] * 0x9E3779B97F4A7C15 + inner[-1]) & whole) >> 32
+            found.setdefault(value, i)
+    kept = sorted(found.items())
+    return kept[: max(syncmers.ANCHORS, sum(x < syncmers.BOUND for x, _ in kept))]
+
+
+def plain_likeness(a, b):
+    """The longest common chain by a table over all pairs of anchors."""
+    def complete(x):
+        return 1 << 32 if len(x) < syncmers.ANCHORS else max(x[-1][0], syncmers.BOUND - 1)
+
+    bound = min(complete(a), complete(b))
+    a, b = ([x for x in y if x[0] <= bound] for y in (a, b))
+    left, right = ([h for h, _ in sorted(x, key=lambda y: y[1])] for x in (a, b))
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    chain = table[-1][-1]
+    return chain / max(1, len(a) + len(b) - chain)
+
+
+def test_likeness_is_the_longest_common_chain_and_anchors_grow():
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (20, 300, 1500)]
+    texts += [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts] + [texts[2][:4000] + texts[1] + texts[2][4000:]]
+    found = syncmers.anchors(texts)
+    plain = [plain_anchors(t) for t in texts]
+    for i, x in enumerate(texts):
+        assert [tuple(p) for p in found[i].tolist()] == plain[i]
+        for j in range(len(texts)):
+            if plain[i] and plain[j]:
+                assert syncmers.likeness(found[i], found[j]) == pytest.approx(plain_likeness(plain[i], plain[j]))
+    long = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(20_000))
+    assert len(syncmers.anchors([long])[0]) > len(long) / 150
 
 
 def test_anchors_depend_on_their_kmer_alone():
@@ -158,7 +220,21 @@ def test_ledger_scans_only_what_it_lacks(spark, documents):
     found, new = secrets.scan_history(later, ledger)
     assert new.count() == 1 and found.count() == 5
     assert {r.doc_id for r in found.where("n_access = 1").collect()} == {5}
-    assert secrets.scan_history(later, ledger, "other rules")[1].count() == 3
+    # a job that appended its rows twice changes nothing
+    found, new = secrets.scan_history(later, ledger.unionByName(ledger))
+    assert new.count() == 1 and found.count() == 5
+
+
+def test_a_changed_rule_scans_alone(monkeypatch, documents):
+    rows = documents([(1, "token = abcdefgh12345 AKIA" + "B" * 16), (2, "nothing")]).select("doc_id", "text")
+    found, ledger = secrets.scan_history(rows)
+    before = {r.doc_id: r.spans for r in found.collect()}
+    monkeypatch.setattr(secrets, "VERSIONS", ["changed", *secrets.VERSIONS[1:]])
+    missing = secrets.unseen_blobs(rows, ledger).collect()
+    assert [r.missing for r in missing] == [["changed"]] * 2
+    found, new = secrets.scan_history(rows, ledger)
+    assert {tuple(r.rules) for r in new.collect()} == {("changed",)}
+    assert {r.doc_id: r.spans for r in found.collect()} == before
 
 
 def test_secrets_of_odd_rows(documents):
@@ -362,6 +438,8 @@ def test_decontamination_of_odd_rows(spark, documents):
     got = decontaminate.contaminated(documents(rows, item_id=4, likeness="old"), benchmark).collect()
     assert sorted(str(r.doc_id) for r in got) == ["8", "8", "None"]
     assert decontaminate.drop_contaminated(documents(rows), benchmark).count() == len(ODD)
+    short = spark.createDataFrame([(1, "X"), (2, "no key."), (3, "no")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.likeness) for r in decontaminate.contaminated(documents(ODD), short).collect()} == {(4, 1, 1.0), (None, 2, 1.0)}
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(documents(rows), empty).count() == 0
     assert decontaminate.contaminated(documents([]), benchmark).count() == 0
