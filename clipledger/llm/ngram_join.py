@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,7 +40,7 @@ PERCENT = 80
 #: Tokens of more prefixes are frequent.
 RARE = 256
 #: Prefix tokens of a batch and, about, of a block; documents that may be broadcast by key.
-BATCH, BLOCK, SMALL_KEYS = 400_000, 1 << 20, 2_000_000
+BATCH, BLOCK, SMALL_KEYS = 200_000, 1 << 20, 2_000_000
 #: Pivot rounds before the rest is verified in full.
 ROUNDS = 2
 _U = np.uint64
@@ -366,20 +365,20 @@ def shared_tokens(sets: DataFrame, bits: int, parts: int) -> DataFrame:
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, linked) of pairs (a, b): their common tokens; a pivot's set is joined last, to all its pairs."""
 
-    @F.pandas_udf("struct<both:long,linked:boolean>")
-    def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        both, linked = [], []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            few, many = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-            both.append(int((many[at] == few).sum()))
-            linked.append(100 * both[-1] >= PERCENT * (len(x) + len(y) - both[-1]))
-        return pd.DataFrame({"both": both, "linked": linked}).astype({"both": "int64", "linked": "bool"})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, linked = [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                few, many = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                both.append(int((many[at] == few).sum()))
+                linked.append(100 * both[-1] >= PERCENT * (len(x) + len(y) - both[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right")), "b")
     with_a = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left")), "a")
-    told = with_a.select("a", "b", compare("left", "right").alias("_r")).select("a", "b", "_r.both", "_r.linked")
+    told = with_a.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, both long, linked boolean")
     # a key with several rows has several sets: what links one of them links the key
     return told.groupBy("a", "b").agg(F.max("both").alias("both"), F.max("linked").alias("linked"))
 
