@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from clipledger.operators import catalog as cat
 from clipledger.plans.registry import query
 from clipledger.plans.views import Views, text
+from clipledger.session import shared_folder
+from clipledger.sources.catalog_store import publish_catalog, read_keyed_catalog, save_keyed, write_keyed_catalog
 
 _M = "material_id, source_video_id, segment_id, video_path, start_seconds, end_seconds"
 
@@ -41,6 +43,18 @@ def find_both_query(v: Views) -> DataFrame:
     return _shown(cat.find_materials(v.catalog, event="Foul", person="p7", minimum_confidence=0.3))
 
 
+@query(
+    "find_both_published",
+    f"""SELECT {_M} FROM materials m WHERE EXISTS (SELECT 1 FROM material_events e WHERE e.material_id = m.material_id
+      AND event_name = 'Foul' AND confidence >= 0.3 AND participant_id = 'p7')""",
+)
+def find_both_published_query(v: Views) -> DataFrame:
+    """The same search on the published catalog: folders and buckets instead of whole tables."""
+    path = shared_folder(v.spark)
+    stored = publish_catalog(v.catalog, path, path.rpartition("/")[2].replace("-", "_"))
+    return _shown(cat.find_materials(stored, event="Foul", person="p7", minimum_confidence=0.3))
+
+
 @query("list_materials", f"SELECT {_M} FROM materials")
 def list_materials_query(v: Views) -> DataFrame:
     return _shown(cat.list_materials(v.catalog))
@@ -144,6 +158,23 @@ def upsert_materials_query(v: Views) -> DataFrame:
     return _shown(cat.save_materials(v.catalog, _incoming(v), replace=True).materials)
 
 
+@query(
+    "upsert_kept",
+    f"""WITH {_INCOMING} SELECT {_M}, (SELECT count(*) FROM material_events e WHERE e.material_id = m.material_id) AS n_events FROM materials m WHERE material_id NOT IN (SELECT material_id FROM inc)
+    UNION ALL SELECT material_id, source_video_id, segment_id, 'media/new.mp4', CAST(1 AS DOUBLE), CASE WHEN o_totalprice < 3000 THEN CAST(0.5 AS DOUBLE) ELSE 2 END, 1 FROM inc""",
+)
+def upsert_kept_query(v: Views) -> DataFrame:
+    """The upsert on tables kept by key, saved twice: the second time changes no folder."""
+    path = shared_folder(v.spark)
+    write_keyed_catalog(v.catalog, path)
+    incoming = _incoming(v)
+    for _ in range(2):
+        save_keyed(path, incoming)
+    kept = read_keyed_catalog(v.spark, path, v.catalog)
+    counts = kept.material_events.groupBy("material_id").agg(F.count(F.lit(1)).alias("n_events"))
+    return _shown(kept.materials).join(counts, "material_id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+
+
 @query(
     "upsert_material_events",
     f"""WITH {_INCOMING} SELECT material_id, event_name, count(*) AS n FROM (SELECT material_id, event_name FROM material_events
