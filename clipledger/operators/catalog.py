@@ -65,26 +65,26 @@ def build_final_materials(
     """Material rows with status, their event tags and participant references.
 
     ``drafts`` has ``material_id, source_video_id, video_path, start_seconds,
-    end_seconds``; a range without length stops the query.
+    end_seconds`` and perhaps ``metadata_json``; a range without length stops the query.
     """
     tags = final_event_tags(events)
     people = participants.filter("participant_id IS NOT NULL").withColumn(
         "track_id", _event_or(F.col("track_id"), "unknown")
     )
     has_event = tags.select("material_id").distinct().withColumn("__event", F.lit(True))
-    end = F.when(F.col("end_seconds") > F.col("start_seconds"), F.col("end_seconds")).otherwise(
-        F.raise_error(F.concat(F.lit("material without length: "), "material_id")).cast("double")
-    )
+    drafts = stop_unless(drafts, F.col("end_seconds") > F.col("start_seconds"), F.concat(F.lit("material without length: "), "material_id"))
+    metadata = F.col("metadata_json") if "metadata_json" in drafts.columns else F.lit(None).cast("string")
     materials = drafts.join(has_event, "material_id", "left").select(
         "material_id",
         "source_video_id",
         F.col("material_id").alias("segment_id"),
         "video_path",
         "start_seconds",
-        end.alias("end_seconds"),
+        "end_seconds",
         F.when(F.col("__event"), "ready").otherwise("ready_without_event").alias(
             "processing_status"
         ),
+        F.coalesce(metadata, F.lit("{}")).alias("metadata_json"),
     )
     return materials, tags, people
 
@@ -307,6 +307,39 @@ def finalize(
     return joined, references.unionByName(fallback)
 
 
+def register_final(
+    catalog: Catalog,
+    exported: DataFrame,
+    events: DataFrame,
+    event_identities: DataFrame,
+    material_references: DataFrame,
+    now: Column,
+) -> Catalog:
+    """What to save for exported materials: rows with metadata, tags, references, and the persons upserted.
+
+    ``exported`` has the columns of drafts for ``finalize`` and ``build_final_materials``.
+    A person's last reference wins, in order of video, material and track. Its ``materials``
+    are the registered ones; pass the result to ``save_materials`` or ``save_keyed``.
+    """
+    tags, references = finalize(exported, events, event_identities, material_references)
+    known = references.select("material_id").distinct().withColumn("__known", F.lit(True))
+    metadata = F.to_json(F.struct(
+        "event_ids", F.lit("event_timeline").alias("boundary_source"),
+        F.coalesce("__known", F.lit(False)).alias("identity_available"),
+    ))
+    drafts = exported.join(known, "material_id", "left").withColumn("metadata_json", metadata)
+    materials, tags, people = build_final_materials(drafts, tags, references.drop("source_video_id"))
+    persons = references.filter("participant_id IS NOT NULL").select(
+        "participant_id",
+        F.struct("source_video_id", "material_id", "track_id").alias("pos"),
+        F.col("player_name").alias("display_name"),
+        "jersey_color",
+        "jersey_number",
+        F.to_json(F.struct("identity_status")).alias("metadata_json"),
+    )
+    return Catalog(save_participants(catalog.participants, persons, now), materials, tags, people)
+
+
 def material_index(exported: DataFrame, drafts: DataFrame, events: DataFrame) -> DataFrame:
     """Exported materials with times falling back to their drafts, events nested."""
     times = drafts.select(

@@ -372,6 +372,43 @@ def finalize_references_query(v: Views) -> DataFrame:
     return cat.finalize(*_final_inputs(v))[1].drop("player_name")
 
 
+_REGISTERED = _FINAL + """,
+    seen AS (SELECT DISTINCT source_video_id FROM j WHERE ln IS NOT NULL),
+    refs AS (SELECT DISTINCT source_video_id, material_id, 'p' || ln AS participant_id, CASE WHEN ln <= 3 THEN 'w/player_' || ln ELSE 't' END AS track_id,
+        'white' AS jersey_color, CAST(ln AS VARCHAR) AS jersey_number, 'identified' AS identity_status FROM j WHERE ln IS NOT NULL
+      UNION ALL SELECT DISTINCT source_video_id, material_id, 'old', 'player_0', NULL, NULL, 'anonymous' FROM j WHERE source_video_id NOT IN (FROM seen))"""
+
+
+def _registered(v: Views) -> cat.Catalog:
+    drafts, events, identities, references = _final_inputs(v)
+    exported = drafts.select("*", F.lit("a.mp4").alias("video_path"), F.lit(0.0).alias("start_seconds"), F.lit(2.0).alias("end_seconds"))
+    return cat.register_final(v.catalog, exported, events, identities, references, F.lit("2024-06-01 00:00:00"))
+
+
+@query(
+    "finalize_materials",
+    _REGISTERED + """ SELECT material_id, source_video_id, 'ready' AS processing_status,
+      to_json({'event_ids': list(event_id ORDER BY event_id), 'boundary_source': 'event_timeline',
+        'identity_available': material_id IN (SELECT material_id FROM refs)})::VARCHAR AS metadata_json
+    FROM e GROUP BY material_id, source_video_id""",
+)
+def finalize_materials_query(v: Views) -> DataFrame:
+    return _registered(v).materials.select("material_id", "source_video_id", "processing_status", "metadata_json")
+
+
+@query(
+    "finalize_participants",
+    _REGISTERED + """, s AS (SELECT participant_id, arg_max({'c': jersey_color, 'n': jersey_number, 's': identity_status}, source_video_id || ' ' || material_id || ' ' || track_id) AS x FROM refs GROUP BY 1)
+    SELECT coalesce(s.participant_id, p.participant_id) AS participant_id, CASE WHEN s.participant_id IS NULL THEN p.jersey_color ELSE x.c END AS jersey_color,
+      CASE WHEN s.participant_id IS NULL THEN p.jersey_number ELSE x.n END AS jersey_number,
+      CASE WHEN s.participant_id IS NOT NULL THEN to_json({'identity_status': x.s})::VARCHAR END AS new_metadata
+    FROM participants p FULL JOIN s ON s.participant_id = p.participant_id""",
+)
+def finalize_participants_query(v: Views) -> DataFrame:
+    saved = F.col("updated_at") == "2024-06-01 00:00:00"
+    return _registered(v).participants.select("participant_id", "jersey_color", "jersey_number", F.when(saved, F.col("metadata_json")).alias("new_metadata"))
+
+
 @query(
     "build_final_materials",
     """SELECT 'm' || o_orderkey AS material_id, CASE WHEN EXISTS (SELECT 1 FROM predictions p WHERE p.material_id = 'm' || o_orderkey

@@ -206,6 +206,38 @@ def bundle_per_class_query(v: Views) -> DataFrame:
     return _bundle_scores(v)["per_class"].select("game", "event", "matches", "predicted", "reference")
 
 
+@query("bundle_failures", _BUNDLE + " SELECT sample_id, game, status FROM st WHERE status NOT LIKE 'completed%'")
+def bundle_failures_query(v: Views) -> DataFrame:
+    return _bundle_scores(v)["failed_or_missing"].select("sample_id", "game", "status")
+
+
+@query(
+    "bundle_identity_statuses",
+    _BUNDLE + " SELECT CASE WHEN actor IS NOT NULL THEN 'identified' ELSE 'missing' END AS identity_status, count(*) AS n FROM kept GROUP BY 1",
+)
+def bundle_identity_statuses_query(v: Views) -> DataFrame:
+    return _bundle_scores(v)["identity_statuses"]
+
+
+@query(
+    "bundle_macro",
+    _BUNDLE + """, u AS (SELECT game, sample_id, actor, event, 1 AS r, 0 AS p, CASE WHEN actor IS NULL THEN pos ELSE 0 END AS u FROM references_
+        UNION ALL SELECT game, sample_id, actor, event, 0, 1, CASE WHEN actor IS NULL THEN -pos - 1 ELSE 0 END FROM kept WHERE event <> 'blank'),
+    d AS (SELECT game, sample_id, actor, event, max(r) AS r, max(p) AS p FROM u GROUP BY game, sample_id, actor, event, u),
+    l AS (SELECT DISTINCT v.game, e.event FROM evaluated v, event_labels e),
+    c AS (SELECT l.game, l.event, coalesce(sum(r*p), 0) AS m, coalesce(sum(p), 0) AS p, coalesce(sum(r), 0) AS r FROM l LEFT JOIN d ON d.game = l.game AND d.event = l.event GROUP BY 1, 2),
+    b AS (SELECT game, event, sum(m) AS matches, sum(p) AS predicted, sum(r) AS reference FROM c GROUP BY GROUPING SETS ((game, event), (event))),
+    f AS (SELECT *, CASE WHEN predicted + reference > 0 THEN 2*matches/(predicted + reference) ELSE 0 END AS f1 FROM b)
+    SELECT game, """ + f"{_d('sum(f1)/10')} AS macro_f1_fixed_10, {_d('avg(CASE WHEN reference > 0 THEN f1 END)')} AS macro_f1_gt_supported" + """,
+      coalesce(string_agg(event, ',' ORDER BY event) FILTER (WHERE reference = 0), '') AS unsupported_classes FROM f GROUP BY game""",
+)
+def bundle_macro_query(v: Views) -> DataFrame:
+    macro = _bundle_scores(v)["macro"]
+    return macro.select(
+        "game", *[F.round(c, 9).alias(c) for c in ("macro_f1_fixed_10", "macro_f1_gt_supported")], "unsupported_classes"
+    )
+
+
 @query(
     "bundle_sequence",
     _BUNDLE + """, p AS (SELECT sample_id, list(event ORDER BY pos) AS pe, list(coalesce(event || '/' || actor, 'x' || pos) ORDER BY pos) AS pa FROM kept GROUP BY 1),
@@ -269,6 +301,21 @@ def score_tracks_hits_query(v: Views) -> DataFrame:
     return hits.select("target_count", F.round("hit_at_0_5", 9).alias("hit_at_0_5"))
 
 
+@query(
+    "score_tracks_recall",
+    """WITH n AS (SELECT ['blank','Missed Shot','Made Shot','Free Throw','Foul','Turnover','Jump Ball','Rebound','steal','block','ast'] AS names),
+    x AS (SELECT video_id, person_id, CAST(regexp_extract(person_id, '([0-9]+)$', 1) AS INTEGER) AS pos, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM person_probabilities WHERE valid),
+    k AS (SELECT video_id, person_id, names[i] AS event, row_number() OVER (PARTITION BY video_id ORDER BY c DESC, pos, i) AS k FROM x, n WHERE i > 1),
+    r AS (SELECT video_id, person_id, names[label + 1] AS event FROM persons, n WHERE label <> 0),
+    q AS (SELECT r.event, k.k FROM r LEFT JOIN k USING (video_id, person_id, event)),
+    c AS (SELECT event, count(*) AS n, """ + ", ".join(f"count(*) FILTER (WHERE k <= {k}) AS f{k}" for k in (1, 3, 5)) + """ FROM q GROUP BY 1)
+    SELECT """ + ", ".join(_d(f"sum(f{k}/n)/10") + f" AS recall_at_{k}" for k in (1, 3, 5)) + " FROM c",
+)
+def score_tracks_recall_query(v: Views) -> DataFrame:
+    recall = mt.score_tracks(*_track_inputs(v))["recall"]
+    return recall.select(*[F.round(c, 9).alias(c) for c in recall.columns])
+
+
 @query(
     "compare_expected",
     """WITH e AS (SELECT 'm' || o_orderkey AS clip_id, 'player_' || (1 + o_custkey % 7) AS player_id, CASE WHEN o_orderstatus = 'F' THEN 'ast' ELSE 'Foul' END AS expected_event FROM orders),

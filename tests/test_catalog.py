@@ -115,3 +115,28 @@ def test_final_material_needs_length(frame):
         cat.build_final_materials(drafts, events, people)[0].collect()
     good, tags, _ = cat.build_final_materials(drafts.withColumn("end_seconds", F.lit(3.0)), events, people)
     assert good.collect()[0].processing_status == "ready_without_event" and tags.count() == 0
+
+
+def test_registered_materials_carry_metadata_and_persons(frame, catalog):
+    exported = frame(
+        [("v", "m7", ["e1", "e2"], "a.mp4", 0.0, 5.0), ("v", "m8", ["gone"], "b.mp4", 5.0, 6.0)],
+        "source_video_id string, material_id string, event_ids array<string>, video_path string, start_seconds double, end_seconds double",
+    )
+    events = frame(
+        [("e1", "v", "Foul", 0.5, None, 0.0, 1.0), ("e2", "v", "blank", 0.5, None, 1.0, 2.0)],
+        "event_id string, source_video_id string, event string, confidence double, global_track_id string, evidence_start_seconds double, evidence_end_seconds double",
+    )
+    identities = frame(
+        [("e1", "white-13", "identified", "white", "13", "Bea", ["w/p1"], None), ("e2", None, "unresolved", None, None, None, None, "t")],
+        "event_id string, participant_id string, status string, jersey_color string, jersey_number string, player_name string, track_references array<string>, track_id string",
+    )
+    none = frame([], "source_video_id string, material_id string, participant_id string, track_id string, jersey_color string, jersey_number string, player_name string, identity_status string")
+    saved = cat.register_final(catalog, exported, events, identities, none, F.lit("t1"))
+    rows = {r.material_id: r for r in saved.materials.collect()}
+    assert (rows["m7"].processing_status, rows["m8"].processing_status) == ("ready", "ready_without_event")
+    assert rows["m7"].metadata_json == '{"event_ids":["e1","e2"],"boundary_source":"event_timeline","identity_available":true}'
+    assert rows["m8"].metadata_json.endswith('"identity_available":false}')
+    (person,) = saved.participants.collect()
+    assert (person.display_name, person.created_at, person.updated_at, person.metadata_json) == ("Bea", "t0", "t1", '{"identity_status":"identified"}')
+    after = cat.save_materials(catalog, saved)
+    assert cat.find_materials(after, "Foul", "white-13").first().material_id == "m7"
