@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.base import mix, save, with_columns, working_folder
+from clipledger.llm.base import mix, modest_batches, save, with_columns, working_folder
 from clipledger.llm.tokens import encoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -129,7 +130,7 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_bytes(path: str, parts: list) -> None:
+def write_bytes(path: str, parts: Iterable) -> None:
     store, place = _place(path)
     if isinstance(store, fs.LocalFileSystem):
         store.create_dir(place.rpartition("/")[0])
@@ -163,28 +164,35 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
     0, 1, .. in order of text; null keys come first, as copies of key 0 below zero.
     ``keys`` has every (doc_id, copy); without rows all three are empty.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.count()
     shards = max(1, -(-rows // shard_rows))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, keys, counts, parts = encoder(tokenizer_path(tokenizer)), [], [], []
-        for batch in batches:
-            keys.append(batch.column(0))
-            for _, _, ids, at in encode.column(batch.column(1)):
-                own = np.diff(at)
-                whole = np.full(len(ids) + len(own), end_id, encode.width)
-                here = np.ones(len(whole), bool)
-                here[np.cumsum(own + 1) - 1] = False
-                whole[here] = ids
-                parts.append(whole)
-                counts.append(own + 1)
-        if not counts:
+        encode, keys, counts = encoder(tokenizer_path(tokenizer)), [], []
+
+        def pieces() -> Iterator[memoryview]:
+            for batch in batches:
+                keys.append(batch.column(0))
+                for _, _, ids, at in encode.column(batch.column(1)):
+                    own = np.diff(at)
+                    whole = np.full(len(ids) + len(own), end_id, encode.width)
+                    here = np.ones(len(whole), bool)
+                    here[np.cumsum(own + 1) - 1] = False
+                    whole[here] = ids
+                    counts.append(own + 1)
+                    yield memoryview(whole).cast("B")
+
+        # ids go to the file as they come; keys and counts are all that a task holds
+        coming = pieces()
+        first = next(coming, None)
+        if first is None:
             return
-        count = np.concatenate(counts)
         path = f"{folder}/ids-{uuid.uuid4().hex}.bin"
-        head = b"TOKIDS1\0" + np.array([parts[0].dtype.itemsize, 0], "<u4").tobytes()
-        write_bytes(path, [head, *(memoryview(x).cast("B") for x in parts)])
+        head = b"TOKIDS1\0" + np.array([np.dtype(encode.width).itemsize, 0], "<u4").tobytes()
+        write_bytes(path, chain([head, first], coming))
+        count = np.concatenate(counts)
         key = pa.chunked_array(keys).combine_chunks()
         key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
         gone, value = np.asarray(key.is_null()), np.asarray(key.fill_null(0))
@@ -250,7 +258,9 @@ def look_up(keys: DataFrame, index_parts: DataFrame) -> DataFrame:
             more = {x: pa.array(records[y].astype(t), mask=~found) for x, y, t in (("shard", "shard", np.int32), ("start", "start", np.int64), ("n_ids", "ids", np.int64))}
             yield pa.RecordBatch.from_pydict(column | more)
 
-    joined = keys.withColumn("part", index_part(first["parts"])).join(index_parts.drop("parts"), "part", "left").drop("part")
+    # keys of one part meet in one task, so an index file is read once
+    dealt = keys.withColumn("part", index_part(first["parts"])).repartition(first["parts"], "part")
+    joined = dealt.join(index_parts.drop("parts"), "part", "left").drop("part")
     schema = with_columns(keys.schema, shard="int", start="long", n_ids="long")
     return joined.sortWithinPartitions("index_path").mapInArrow(find, schema)
 
@@ -279,6 +289,7 @@ def read_store(found: DataFrame, shard_files: DataFrame) -> DataFrame:
             )
 
     rows = found.join(shard_files.select("path", "shard", "before"), "shard").select("path", "doc_id", "before", "start", "n_ids")
+    rows = rows.repartition(max(1, shard_files.count()), "path")  # a file is read by one task, in order
     return rows.sortWithinPartitions("path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
