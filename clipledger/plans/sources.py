@@ -246,11 +246,24 @@ def list_files_query(v: Views) -> DataFrame:
     )
 
 
-@query("read_digests")
+@query(
+    "read_digests",
+    """SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN NULL ELSE strlen(text) + 1 END AS length, CASE WHEN doc_id % 10 = 5 THEN 'missing' WHEN doc_id % 10 = 3 THEN 'mismatch' ELSE 'ok' END AS status
+    FROM documents WHERE text IS NOT NULL""",
+)
 def read_digests_query(v: Views) -> DataFrame:
-    """Digests of the given tables' files, checked against themselves."""
-    digests = fl.read_digests(v.spark, v.folder)
-    return fl.digest_verify(digests, digests).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Texts written as files, some not at all and some changed, and their content checked against the table."""
+    path = shared_folder(v.spark)
+    texts = v.table("documents").filter("text IS NOT NULL").select("doc_id", "text")
+    changed = F.when(F.col("doc_id") % 10 == 3, F.regexp_replace("text", "(?s).$", "~")).otherwise(F.col("text"))
+    texts.filter("doc_id % 10 <> 5").select("doc_id", changed.alias("value")).write.partitionBy("doc_id").text(path)
+    number = F.regexp_extract("path", "doc_id=([0-9]+)/", 1)
+    digests = fl.read_contents(v.spark, path, "*.txt").withColumn("path", number)
+    # the writer ends each text with a line break
+    whole = F.sha2(F.concat(F.col("text"), F.lit("\n")).cast("binary"), 256)
+    checked = fl.digest_verify(texts.select(F.col("doc_id").cast("string").alias("path"), whole.alias("sha256")), digests)
+    lengths = digests.select("path", "length")
+    return checked.join(lengths, "path", "left").select(F.col("path").cast("bigint").alias("doc_id"), "length", "status")
 
 
 @query(

@@ -1,13 +1,23 @@
 """File inventories and digests, from file metadata where possible."""
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.vocabulary import VIDEO_SUFFIXES
 
+#: Bytes that are read at once, and bytes of all files per task.
+PIECE, TASK_BYTES = 8 << 20, 1 << 30
+
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and modification time; file contents are not read."""
+    """Path, size and modification time; file contents are not read. Spark lists no empty files."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -52,10 +62,44 @@ def file_inventory(files: DataFrame, probes: DataFrame) -> tuple[DataFrame, Data
     return good, checked.filter("reason IS NOT NULL").select("path", "reason")
 
 
+def _opened(path: str) -> pa.NativeFile:
+    """A file that Arrow's file systems reach: local and shared mounts, HDFS, S3, GCS."""
+    uri = re.sub("^file:/+", "file:///", path) if "://" in path or path.startswith("file:") else f"file://{path}"
+    store, place = fs.FileSystem.from_uri(quote(uri, safe=":/@?=&+"))
+    return store.open_input_stream(place, compression=None)
+
+
+def read_contents(
+    spark: SparkSession, path: str, pattern: str = "*", piece: int = PIECE, task_bytes: int = TASK_BYTES
+) -> DataFrame:
+    """``path, length, sha256`` of the content of every file below ``path``.
+
+    Tasks read their files piece by piece, so a file may be larger than a cell or a
+    worker's memory; there is a task per ``task_bytes`` of all files. Empty files aren't listed.
+    """
+    files = list_files(spark, path, pattern).select("path", "length")
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // task_bytes))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, digests = [], []
+            for name in batch.column(0).to_pylist():
+                digest, length = hashlib.sha256(), 0
+                with _opened(name) as source:
+                    while content := source.read(piece):
+                        digest.update(content)
+                        length += len(content)
+                lengths.append(length)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())], ["path", "length", "sha256"])
+
+    return files.repartition(tasks, "path").select("path").mapInArrow(read, "path string, length long, sha256 string")
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Content SHA-256 of every file below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    return read_contents(spark, path).select("path", "sha256")
 
 
 def digest_verify(manifest: DataFrame, digests: DataFrame) -> DataFrame:

@@ -171,3 +171,13 @@ def test_text_functions(frame):
     assert one(frame, fn.query_value(lit("http://x/?a=&b=+&a=c%20d+e#z"), "a")) == "c d e"
     assert one(frame, fn.event_name(lit(" ASSIST "))) == "ast"
     assert [one(frame, fn.normalize_jersey_number(lit(s))) for s in ("0", "00", "123", "١")] == ["0", "00", None, None]
+
+
+def test_digests_are_read_in_pieces(spark, tmp_path):
+    import hashlib
+
+    content = {"a b.bin": bytes(range(256)) * 1000, "c%20d.bin": b"x" * 70_001}
+    for name, raw in content.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {os.path.basename(r.path): (r.length, r.sha256) for r in fl.read_contents(spark, str(tmp_path), "*.bin", 7_000, 50_000).collect()}
+    assert {k: v for k, v in got.items()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in content.items()}
