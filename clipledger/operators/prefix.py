@@ -121,19 +121,39 @@ def with_previous(
     return out.withColumn(name, F.col(name)["row"])
 
 
+#: Buckets of a key's values, each of about as many different ones.
+_SHARES = 64
+
+
+def value_buckets(counted: DataFrame, keys: Sequence[str], value: str, shares: int = _SHARES) -> DataFrame:
+    """Add ``__share``: where a value lies among approximate quantiles of its key's values.
+
+    Quantiles follow the values, so buckets are even however narrow or skewed their range
+    is. They only deal out the rows: positions are counted exactly, whatever the cuts.
+    """
+    cuts = counted.groupBy(*keys).agg(
+        F.percentile_approx(value, [k / shares for k in range(1, shares)], 100 * shares).alias("__cuts")
+    )
+    dealt = counted.join(cuts, [*keys])
+    return dealt.withColumn("__share", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+
+
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, bucket: Column, name: str
+    df: DataFrame, keys: Sequence[str], value: str, bucket: Column | None, name: str
 ) -> DataFrame:
     """Exact median per key without holding a key's values in memory.
 
     Equal values are counted first, the counts are accumulated over ordered
-    buckets and the one or two middle values are picked.
+    buckets and the one or two middle values are picked. ``bucket`` must not
+    decrease with the value; without one, buckets are cut at quantiles.
     """
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    if bucket is None:
+        counted, bucket = value_buckets(counted, keys, value), F.col("__share")
     placed = running(
         counted,
         keys,

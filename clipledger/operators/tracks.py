@@ -172,7 +172,7 @@ def ball_statistics(boxes: DataFrame) -> DataFrame:
             / (F.col("frame") - F.col("previous.frame"))
         ).alias("speed"),
     )
-    medians = exact_median(speeds, TRACK, "speed", F.floor(F.col("speed")), "median_speed")
+    medians = exact_median(speeds, TRACK, "speed", None, "median_speed")
     joined = stats.join(medians, TRACK, "left").withColumn(
         "median_speed", F.coalesce("median_speed", F.lit(0.0))
     )

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from clipledger.operators.prefix import exact_median, interval_cells, interval_join, running, with_position, with_previous
+from clipledger.operators.prefix import exact_median, interval_cells, interval_join, running, value_buckets, with_position, with_previous
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])
@@ -73,3 +73,15 @@ def test_an_interval_of_years_takes_a_few_cells(frame):
     cells = interval_cells(frame(rows, "i int, a double, b double"), "a", "b", 60.0).groupBy("i").count().collect()
     assert all(r["count"] <= 32 for r in cells) and len(cells) == 4
     assert interval_join(frame([(1, 2.0)], "p int, t double"), frame([], "i int, a double, b double"), [], "t", "a", "b", 60.0, True).count() == 0
+
+
+def test_median_of_values_below_one_has_even_buckets(frame):
+    rng = random.Random(8)
+    rows = [("a", rng.random() / 1000 + 0.5) for _ in range(4000)] + [("a", 0.5)] * 700 + [("a", 1e9)]
+    rows += [("b", float(rng.randint(0, 3))) for _ in range(101)] + [("c", 0.25), ("d", None)]
+    df = frame(rows, "k string, v double")
+    got = {r.k: r.m for r in exact_median(df, ["k"], "v", None, "m").collect()}
+    assert got == {k: statistics.median([v for x, v in rows if x == k]) for k in "abc"}
+    counted = df.filter("v IS NOT NULL").groupBy("k", "v").count()
+    sizes = [r["count"] for r in value_buckets(counted, ["k"], "v").filter("k = 'a'").groupBy("__share").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 4001 / 64
