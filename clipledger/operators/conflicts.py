@@ -82,36 +82,46 @@ def assign_groups(
     rows: DataFrame, keys: list[str], order: list[str], gap: float, segment_seconds: float = SEGMENT_SECONDS
 ) -> DataFrame:
     """Add ``__group``, the first claim of each row's group. ``rows`` should be stored: every round reads it."""
-    last = F.max("global_start_seconds").over(Window.partitionBy(*keys, "window_id"))
-    part = F.floor(F.col("global_start_seconds") / F.lit(segment_seconds))
-    segments = rows.select(*keys, part.alias("__part")).distinct()
+    start = F.col("global_start_seconds")
+    spans = rows.groupBy(*keys).agg(F.min(start).alias("__begin"), F.max(start).alias("__end"))
+    inner = ["__until", "__part", "__edge", "__number", "__first"]
+    if spans.filter(F.col("__end") - F.col("__begin") >= segment_seconds).isEmpty():
+        # every island is one segment, whose frontier nobody asks for
+        whole = rows.withColumns({"__until": F.lit(float("inf")), "__part": F.lit(0).cast("bigint"), "__edge": F.lit(float("inf"))})
+        return _referred(whole, None, keys, order, gap).withColumn("__group", F.col("__first")).drop(*inner)
+    rows = with_segments(rows, spans, keys, segment_seconds)
+    segments = rows.select(*keys, "__part").distinct()
     segments = segments.withColumn("__before", F.lag("__part").over(Window.partitionBy(*keys).orderBy("__part")))
-    rows = rows.withColumn("__until", last).withColumn("__part", part)
-    inner = ["__until", "__part", "__number", "__first"]
-    if segments.filter("__before IS NOT NULL").isEmpty():
-        return _referred(rows, None, keys, order, gap).withColumn("__group", F.col("__first")).drop(*inner)
-    state = settle(rows, segments, keys, order, gap, segment_seconds)
+    state = settle(rows, segments, keys, order, gap)
     named = _referred(rows, state, keys, order, gap).join(_names(state, keys), [*keys, "__part", "__number"], "left")
     return named.withColumn("__group", F.coalesce("__first", "__name")).drop(*inner, "__name")
 
 
-def settle(
-    rows: DataFrame, segments: DataFrame, keys: list[str], order: list[str], gap: float, segment_seconds: float
-) -> DataFrame:
+def with_segments(rows: DataFrame, spans: DataFrame, keys: list[str], segment_seconds: float) -> DataFrame:
+    """Add each claim's segment, counted from its island's begin, where that ends, and its window's last start."""
+    last = F.max("global_start_seconds").over(Window.partitionBy(*keys, "window_id"))
+    part = F.floor((F.col("global_start_seconds") - F.col("__begin")) / F.lit(segment_seconds))
+    # a microsecond early, so that rounding never puts a claim of the next segment before it
+    edge = F.col("__begin") + (F.col("__part") + 1) * segment_seconds - 1e-6
+    dealt = rows.join(spans.select(*keys, "__begin"), keys).withColumn("__until", last).withColumn("__part", part)
+    return dealt.withColumn("__edge", edge).drop("__begin")
+
+
+def settle(rows: DataFrame, segments: DataFrame, keys: list[str], order: list[str], gap: float) -> DataFrame:
     """(keys, part, before, frontier, handed, names, numbers) per segment of islands with several, once nothing changes."""
     part = [*keys, "__part"]
     several = segments.filter("__before IS NOT NULL").select(*keys).distinct()
     segments = segments.join(several, keys, "left_semi")
-    rows = cut_lineage(rows.select(*dict.fromkeys([*part, *_CLAIM, *order])).join(several, keys, "left_semi"))
+    rows = cut_lineage(rows.select(*dict.fromkeys([*part, "__edge", *_CLAIM, *order])).join(several, keys, "left_semi"))
     empty = segments.withColumn("frontier", F.lit(_EMPTY))
-    state = cut_lineage(empty.join(_handed(rows, None, keys, order, gap, segment_seconds), part))
+    state = cut_lineage(empty.join(_handed(rows, None, keys, order, gap), part))
     while True:
         arrives = state.select(*keys, F.col("__part").alias("__before"), F.col("handed").alias("arrives"))
         met = state.select(*part, "__before", "frontier").join(arrives, [*keys, "__before"]).filter("arrives <> frontier")
         changed = cut_lineage(met.select(*part, "__before", F.col("arrives").alias("frontier")))
         if changed.isEmpty():
             return state
-        again = _handed(rows.join(changed.select(*part), part, "left_semi"), changed, keys, order, gap, segment_seconds)
+        again = _handed(rows.join(changed.select(*part), part, "left_semi"), changed, keys, order, gap)
         kept = state.join(changed.select(*part), part, "left_anti")
         state = cut_lineage(kept.unionByName(changed.join(again, part)))
 
@@ -127,20 +137,21 @@ def _dealt(rows: DataFrame, frontiers: DataFrame | None, keys: list[str], order:
 
 def _fold(batches: Iterator[pa.RecordBatch], keys: list[str], gap: float):
     """Per batch of a dealt stream: (batch, its rows' references, segments that ended with their open groups)."""
-    now, groups = None, None
+    now, groups, edge = None, None, None
     for batch in batches:
-        names = [*keys, "__part", "__kind", "frontier", *_CLAIM]
+        names = [*keys, "__part", "__kind", "frontier", "__edge", *_CLAIM]
         columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in names]
         refs, ended = [], []
-        for *segment, kind, frontier, candidate, window, until, track, known, start, end in zip(*columns):
+        for *segment, kind, frontier, ends, candidate, window, until, track, known, start, end in zip(*columns):
             if segment != now:
                 if now is not None:
-                    ended.append((now, groups))
+                    ended.append((now, edge, groups))
                 now, groups = segment, OpenGroups(gap, frontier or _EMPTY)
+            edge = ends  # a frontier has none, but claims follow it
             refs.append(groups.place(candidate, window, until, track, known, start, end) if kind else None)
         yield batch, refs, ended
     if now is not None:
-        yield None, [], [(now, groups)]
+        yield None, [], [(now, edge, groups)]
 
 
 def _split(refs: list) -> tuple[list, list]:
@@ -148,15 +159,13 @@ def _split(refs: list) -> tuple[list, list]:
     return [x if isinstance(x, str) else None for x in refs], [None if isinstance(x, str) else x for x in refs]
 
 
-def _handed(
-    rows: DataFrame, frontiers: DataFrame | None, keys: list[str], order: list[str], gap: float, segment_seconds: float
-) -> DataFrame:
+def _handed(rows: DataFrame, frontiers: DataFrame | None, keys: list[str], order: list[str], gap: float) -> DataFrame:
     """(keys, part, handed, names, numbers): what each segment hands on."""
     dealt = _dealt(rows, frontiers, keys, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, ended in _fold(batches, keys, gap):
-            out = [(*segment, state, *_split(refs)) for segment, groups in ended for state, refs in [groups.frontier((segment[-1] + 1) * segment_seconds)]]
+            out = [(*segment, state, *_split(refs)) for segment, edge, groups in ended for state, refs in [groups.frontier(edge)]]
             if out:
                 *plain, names, numbers = zip(*out)
                 lists = [pa.array(names, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int64()))]

@@ -250,7 +250,8 @@ def test_one_island_runs_in_many_tasks(spark, frame):
     assert {r["__group"] for r in told.select("__group").collect()} >= {"c0000", "c0001"}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows would fit one task
     try:
-        dealt = conflicts._dealt(marked.withColumn("__part", F.floor(F.col("global_start_seconds") / 10.0)), None, keys, tl.ORDER)
+        spans = marked.groupBy(*keys).agg(F.min("global_start_seconds").alias("__begin"))
+        dealt = conflicts._dealt(conflicts.with_segments(marked, spans, keys, 10.0), None, keys, tl.ORDER)
         assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
