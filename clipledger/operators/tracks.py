@@ -172,7 +172,9 @@ def ball_statistics(boxes: DataFrame) -> DataFrame:
             / (F.col("frame") - F.col("previous.frame"))
         ).alias("speed"),
     )
-    medians = exact_median(speeds, TRACK, "speed", None, "median_speed")
+    # steps of about a hundredth of the value: narrow for slow objects, too
+    step = F.coalesce(F.floor(F.log2("speed") * 64), F.lit(-(1 << 20)))
+    medians = exact_median(speeds, TRACK, "speed", step, "median_speed")
     joined = stats.join(medians, TRACK, "left").withColumn(
         "median_speed", F.coalesce("median_speed", F.lit(0.0))
     )
