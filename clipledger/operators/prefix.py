@@ -226,5 +226,6 @@ def interval_join(
     part = F.when(F.col("__level") == 0, F.lit(0)).otherwise(F.pmod(F.floor(F.col(at) / width), F.lit(_PARTS)))
     left = left.withColumn("__part", part.cast("int"))
     inside = F.col(at) <= F.col(end) if closed_end else F.col(at) < F.col(end)
-    joined = left.join(right, [*keys, "__level", "__cell", "__part"])
+    # Sizes are estimated before rows are exploded, so neither side may be taken for small.
+    joined = left.hint("merge").join(right, [*keys, "__level", "__cell", "__part"])
     return joined.filter((F.col(at) >= F.col(start)) & inside).drop("__level", "__cell", "__part")

@@ -514,6 +514,13 @@ def bbox_at_time(
     containing the instant (both ends included) the one farther from its edges
     wins, the earlier reference on a tie. Instants without a box are kept.
     """
+    best = _best_boxes(times, references, boxes, window_length)
+    instants = times.select("event_id", "t").distinct()
+    return instants.hint("merge").join(best, ["event_id", "t"], "left").select("event_id", "t", "best.*")
+
+
+def _best_boxes(times: DataFrame, references: DataFrame, boxes: DataFrame, window_length: float) -> DataFrame:
+    """The instants that have a box, each with its ``best`` one."""
     usable = references.filter("window_end > window_start AND n_frames > 0")
     hits = interval_join(
         times, usable, ["event_id"], "t", "window_start", "window_end", window_length, True
@@ -533,15 +540,12 @@ def bbox_at_time(
     found = hits.join(valid, ["window_id", "track_id", "frame"]).withColumn(
         "reference", F.concat("window_id", F.lit("/"), "track_id")
     )
-    best = found.groupBy("event_id", "t").agg(
+    return found.groupBy("event_id", "t").agg(
         F.max_by(
             F.struct("reference", "frame", "x", "y", "w", "h"),
             F.struct(F.col("margin"), -F.col("ref_pos")),
         ).alias("best")
     )
-    return times.select("event_id", "t").distinct().join(best, ["event_id", "t"], "left").select(
-        "event_id", "t", "best.*"
-    )
 
 
 def time_grid(materials: DataFrame, fps: float) -> DataFrame:
@@ -563,10 +567,13 @@ def time_grid(materials: DataFrame, fps: float) -> DataFrame:
 def actor_coverage(
     materials: DataFrame, references: DataFrame, boxes: DataFrame, fps: float, window_length: float
 ) -> DataFrame:
-    """Frames of each material and how many of them show the actor's box."""
+    """Frames of each material and how many of them show the actor's box.
+
+    The grid is far larger than the materials it is estimated from, so it is never broadcast.
+    """
     grid = time_grid(materials, fps)
-    shown = bbox_at_time(grid, references, boxes, window_length).filter("reference IS NOT NULL")
-    flagged = grid.join(
+    shown = _best_boxes(grid, references, boxes, window_length).filter("best.reference IS NOT NULL")
+    flagged = grid.hint("merge").join(
         shown.select("event_id", "t", F.lit(1).alias("__hit")), ["event_id", "t"], "left"
     )
     counted = flagged.groupBy("material_id").agg(

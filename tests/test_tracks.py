@@ -164,3 +164,18 @@ def test_farther_from_the_window_edge_wins(frame):
     times = frame([("e", 10.5), ("e", 11.5), ("e", 11.0), ("e", 40.0)], "event_id string, t double")
     got = {r.t: r.reference for r in tr.bbox_at_time(times, refs, raw, 12.0).collect()}
     assert got == {10.5: "w1/player_1", 11.5: "w2/player_2", 11.0: "w1/player_1", 40.0: None}
+
+
+def test_a_grid_of_frames_is_never_broadcast(spark):
+    materials = spark.sql("SELECT 'm' AS material_id, 'e' AS event_id, 0D AS start_seconds, 30D AS end_seconds")
+    references = spark.sql(
+        "SELECT 'e' AS event_id, 0 AS ref_pos, 'w' AS window_id, 'player_1' AS track_id, 10D AS window_start, 20D AS window_end, 20 AS n_frames"
+    )
+    shown = spark.sql("SELECT 'w' AS clip_id, 'player_1' AS track_id, id AS frame, 1D AS x, 1D AS y, 4D AS w, 4D AS h FROM range(10)")
+    covered = tr.actor_coverage(materials, references, shown, 2.0, 60.0)
+    # frames 0 to 9 of 20 lie between seconds 10 and 15
+    assert [tuple(r) for r in covered.collect()] == [("m", 60, 10)]
+    grid = tr.time_grid(materials, 2.0)
+    for joined in (covered, tr.bbox_at_time(grid, references, shown, 60.0).filter("reference IS NOT NULL")):
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=merge") >= 2, plan
