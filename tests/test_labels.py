@@ -170,3 +170,12 @@ def test_runtime_export(frame):
         ("shared_game_id", "0000000001"), ("no_videos", "e-vs-f-0000000002")
     }
     assert {r.split: (r.clips, r.missing_annotations) for r in export["summary"].collect()} == {"train": (2, 1), "test": (1, 1), "valid": (0, 0)}
+
+
+def test_verdicts_of_rosters_read_no_players(frame):
+    games = frame([("g1", ["A", "B"], True), ("g2", ["A", "C"], True), ("g3", None, True)], "game string, teams array<string>, has_players boolean")
+    colors = frame([("g1", "A", "white"), ("g1", "B", "red"), ("g2", "A", "white")], "game string, team string, color string")
+    players = frame([("g1", 0, True, "A", "x", ["1"])], "game string, player_index int, is_object boolean, team string, name string, jersey_numbers array<string>")
+    unread = players.withColumn("name", F.raise_error(F.lit("players were read")).cast("string"))
+    verdicts = ro.convert_roster(games, unread, colors)["verdicts"]
+    assert sorted(map(tuple, verdicts.collect())) == [("g1", "accepted"), ("g2", "excluded"), ("g3", "excluded")]
