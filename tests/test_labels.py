@@ -179,3 +179,16 @@ def test_verdicts_of_rosters_read_no_players(frame):
     unread = players.withColumn("name", F.raise_error(F.lit("players were read")).cast("string"))
     verdicts = ro.convert_roster(games, unread, colors)["verdicts"]
     assert sorted(map(tuple, verdicts.collect())) == [("g1", "accepted"), ("g2", "excluded"), ("g3", "excluded")]
+
+
+def test_players_of_one_team_are_dealt_to_many_tasks(spark, frame):
+    games = frame([(f"aa-vs-bb-{i:010d}",) for i in range(20)], "game string")
+    players = frame([("AA", f"p{i}", "s", "1", "") for i in range(200)], "team string, name string, short_name string, number string, number2 string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        built = ro.build_roster(games, players).withColumn("task", F.spark_partition_id())
+        rows = built.groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in rows) == 4000
+    assert len(rows) == 3 and max(r["count"] for r in rows) < 2500
