@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from clipledger.operators import dataset as ds
 from clipledger.operators import labels as lb
 from clipledger.operators import roster as ro
+from clipledger.plans.labels import _converted
+from clipledger.plans.views import Views
 
 ACT = "clip_id string, action_index int, player string, color string, action string, result boolean, assisted boolean, other_player string"
 DOC = "clip_id string, numerosity bigint, action_count bigint"
@@ -192,3 +194,20 @@ def test_players_of_one_team_are_dealt_to_many_tasks(spark, frame):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(r["count"] for r in rows) == 4000
     assert len(rows) == 3 and max(r["count"] for r in rows) < 2500
+
+
+def test_rosters_of_one_kind_are_converted_once_and_told_for_each_game(spark, frame):
+    counts = frame([("r1", "X", 2), ("r2", "Y", 1)], "scope_id string, code string, n bigint")
+    members = frame([("g1", "r1"), ("g2", "r1"), ("g3", "r2"), ("g4", "r3")], "game string, roster string")
+    told = ro.for_games(counts, members, "scope_id")
+    assert sorted(map(tuple, told.collect())) == [("g1", "X", 2), ("g2", "X", 2), ("g3", "Y", 1)]
+    orders = "SELECT id AS o_orderkey, id * 50 AS o_custkey, 1D AS o_totalprice FROM range(140)"
+    customers = "SELECT id AS c_custkey, cast(id % 25 AS int) AS c_nationkey, 'n' || id AS c_name, 's' AS c_mktsegment, 100D * id AS c_acctbal FROM range(50)"
+
+    class Small(Views):
+        def table(self, name):
+            return spark.sql(orders if name == "orders" else customers)
+
+    converted, games = _converted(Small(spark, ""))
+    assert games.select("game").distinct().count() == 140
+    assert converted["verdicts"].count() == 35
