@@ -1,6 +1,6 @@
 """Queries on the material catalog."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.operators import catalog as cat
@@ -306,10 +306,11 @@ def build_window_materials_query(v: Views) -> DataFrame:
     return materials.select("material_id", "source_video_id", "segment_id", "processing_status")
 
 
-def _final_inputs(v: Views):
+def _final_inputs(v: Views, event_id: Column | None = None):
     """Drafts per order, one event per line, identities for videos of even index."""
     line = v.table("lineitem")
-    event_id = text("e", F.col("l_partkey") * 1000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    if event_id is None:
+        event_id = text("e", F.col("l_partkey") * 1000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     video = text("v", F.expr("l_orderkey div 10"))
     events = line.dropDuplicates(["l_partkey", "l_orderkey", "l_linenumber"]).select(
         event_id.alias("event_id"),
@@ -351,12 +352,18 @@ _FINAL = """WITH e AS (SELECT DISTINCT 'e' || (l_partkey*1000000 + l_orderkey*10
     j AS (SELECT e.*, ln FROM e LEFT JOIN i USING (event_id))"""
 
 
+# Ids that stay apart however many orders there are; a sum of keys meets another's from 100,000 orders on.
+_EVENT_KEYS = ("l_partkey", "l_orderkey", "l_linenumber")
+_FINAL_APART = _FINAL.replace("(l_partkey*1000000 + l_orderkey*10 + l_linenumber)", " || '_' || ".join(_EVENT_KEYS))
+
+
 @query(
     "finalize_events",
-    _FINAL + " SELECT event_id, source_video_id, material_id, 'p' || ln AS participant_id, CASE WHEN ln IS NOT NULL THEN 'identified' END AS identity_status FROM j",
+    _FINAL_APART + " SELECT event_id, source_video_id, material_id, 'p' || ln AS participant_id, CASE WHEN ln IS NOT NULL THEN 'identified' END AS identity_status FROM j",
 )
 def finalize_events_query(v: Views) -> DataFrame:
-    return cat.finalize(*_final_inputs(v))[0].select(
+    apart = F.concat(F.lit("e"), F.concat_ws("_", *[F.col(k).cast("string") for k in _EVENT_KEYS]))
+    return cat.finalize(*_final_inputs(v, apart))[0].select(
         "event_id", "source_video_id", "material_id", "participant_id", "identity_status"
     )
 

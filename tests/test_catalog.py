@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from clipledger.operators import catalog as cat
+from clipledger.plans import all_queries
 from clipledger.sources import sinks
 
 MAT = "material_id string, source_video_id string, segment_id string, video_path string, start_seconds double, end_seconds double, processing_status string, metadata_json string"
@@ -140,3 +142,17 @@ def test_registered_materials_carry_metadata_and_persons(frame, catalog):
     assert (person.display_name, person.created_at, person.updated_at, person.metadata_json) == ("Bea", "t0", "t1", '{"identity_status":"identified"}')
     after = cat.save_materials(catalog, saved)
     assert cat.find_materials(after, "Foul", "white-13").first().material_id == "m7"
+
+
+def test_events_of_large_order_keys_stay_apart(spark, tmp_path):
+    lines = spark.sql(
+        "SELECT * FROM VALUES (100000L, 1L, 1, 0.05D), (0L, 2L, 1, 0.05D), (10L, 3L, 2, 0D) AS t(l_orderkey, l_partkey, l_linenumber, l_tax)"
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries, sql = all_queries()
+    events = queries["finalize_events"](spark, str(tmp_path)).select("event_id", "material_id", "participant_id").collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    expected = db.execute(f"SELECT event_id, material_id, participant_id FROM ({sql['finalize_events']})").fetchall()
+    assert sorted(map(tuple, events), key=str) == sorted(expected, key=str)
+    assert sorted(r.material_id for r in events) == ["m0", "m10", "m100000"]
