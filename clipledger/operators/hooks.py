@@ -29,25 +29,40 @@ def score_with(
     )
     names = full.names
 
-    def attempt(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        try:
-            got = fn(rows)
-            if len(got) != len(rows):
-                raise ValueError(f"{len(got)} results for {len(rows)} rows")
-            values = got[[f.name for f in out.fields if f.name not in keys]].reset_index(drop=True)
-            yield pd.concat([rows[keys].reset_index(drop=True), values], axis=1).assign(error=None)[names]
-        except Exception as problem:
-            if len(rows) > 1:
-                # Halve until the bad rows stand alone.
-                middle = len(rows) // 2
-                yield from attempt(rows.iloc[:middle])
-                yield from attempt(rows.iloc[middle:])
-            else:
-                text = f"{type(problem).__name__}: {problem}"
-                yield rows[keys].assign(error=text).reindex(columns=names)
+    columns = [f.name for f in out.fields if f.name not in keys]
+
+    def results(rows: pd.DataFrame, offset: int, good: list, errors: dict, known_bad: bool = False) -> bool:
+        """Collect results of ``rows`` in order; False when one of them failed.
+
+        ``known_bad``: they must hold a bad row, so they are halved without a try.
+        """
+        if not known_bad or len(rows) == 1:
+            try:
+                got = fn(rows)
+                if len(got) != len(rows):
+                    raise ValueError(f"{len(got)} results for {len(rows)} rows")
+                good.append(got[columns])
+                return True
+            except Exception as problem:
+                if len(rows) == 1:
+                    errors[offset] = f"{type(problem).__name__}: {problem}"
+                    return False
+        middle = len(rows) // 2
+        left = results(rows.iloc[:middle], offset, good, errors)
+        right = results(rows.iloc[middle:], offset + middle, good, errors, known_bad=left)
+        return left and right
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from attempt(batch)
+            # Pieces are put together once per batch, however many were tried.
+            good, errors = [], {}
+            results(batch, 0, good, errors)
+            fine = batch[keys].reset_index(drop=True).drop(index=list(errors))
+            if good:
+                values = pd.concat(good, ignore_index=True).set_index(fine.index)
+                yield pd.concat([fine, values], axis=1).assign(error=None)[names]
+            if errors:
+                failed = batch[keys].iloc[list(errors)]
+                yield failed.assign(error=list(errors.values())).reindex(columns=names)
 
     return df.mapInPandas(run, full)

@@ -195,3 +195,19 @@ def test_changed_texts_have_their_own_length(spark, tmp_path):
     expected = db.execute(f"SELECT doc_id, length, status FROM ({sql['read_digests']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(expected)
     assert dict((r.doc_id, r.length) for r in got)[3] == 5
+
+
+def test_a_half_that_must_hold_the_bad_row_is_not_tried(frame):
+    calls = []
+
+    def model(batch):
+        calls.append(len(batch))
+        if (batch["k"] == 63).any():
+            raise ValueError("no")
+        return pd.DataFrame({"calls": [len(calls)] * len(batch)})
+
+    df = frame([(i,) for i in range(64)], "k int").coalesce(1)
+    rows = {r.k: r for r in score_with(df, model, "calls int", ["k"]).collect()}
+    assert len(rows) == 64 and rows[63].error == "ValueError: no" and all(rows[k].error is None for k in range(63))
+    # the whole batch, then a left half on each of six levels
+    assert max(r.calls for k, r in rows.items() if k != 63) == 7
