@@ -169,7 +169,8 @@ def roster_lookup(identities: DataFrame, roster: DataFrame) -> DataFrame:
         .groupBy("game", *CANDIDATE)
         .agg(F.array_sort(F.collect_set("name")).alias("candidate_names"))
     )
-    joined = shaped.join(names, ["game", *CANDIDATE], "left")
+    # Rows of one identity repeat its names. They are kept together, so that files hold each list once.
+    joined = shaped.hint("merge").join(names, ["game", *CANDIDATE], "left")
     count = F.coalesce(F.size("candidate_names"), F.lit(0))
     missing_color = F.col("jersey_color").isNull()
     missing_number = F.col("jersey_number").isNull()

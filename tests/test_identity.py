@@ -170,3 +170,15 @@ def test_validation_contradictions_and_stage(frame):
         "parse_error string, contradiction_count int, is_on_court_player boolean, jersey_color string, jersey_number string, lookup_status string",
     )
     assert [r.stage for r in obs.failure_stage(stages).collect()] == ["jersey_number", "complete", "model_output_inconsistency"]
+
+
+def test_rows_of_one_identity_stay_together(spark):
+    identities = spark.sql("SELECT 'g' AS game, 'white' AS jersey_color, cast(id % 3 AS string) AS jersey_number, id FROM range(9)")
+    roster = spark.sql("SELECT 'g' AS game, 'white' AS color, cast(id % 2 AS string) AS jersey, 'n' || id AS name FROM range(4)")
+    found = idn.roster_lookup(identities, roster)
+    ids = {}
+    for r in found.collect():
+        ids.setdefault((r.jersey_number, r.lookup_status, tuple(r.candidate_names)), set()).add(r.id)
+    assert ids == {("0", "ambiguous", ("n0", "n2")): {0, 3, 6}, ("1", "ambiguous", ("n1", "n3")): {1, 4, 7}, ("2", "no_match", ()): {2, 5, 8}}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
