@@ -6,8 +6,12 @@ from clipledger.operators.catalog import Catalog
 
 
 def write_jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
-    """One JSON object per line, NULL fields kept, optionally one folder per ``by``."""
-    writer = df.write.option("ignoreNullFields", False).mode("errorifexists")
+    """One JSON object per line, NULL fields kept, optionally one folder per ``by``.
+
+    Rows of a folder are dealt to few tasks first, or every task would open a file in every folder.
+    """
+    out = df.hint("rebalance", by) if by else df
+    writer = out.write.option("ignoreNullFields", False).mode("errorifexists")
     (writer.partitionBy(by) if by else writer).json(path)
 
 

@@ -211,3 +211,12 @@ def test_a_half_that_must_hold_the_bad_row_is_not_tried(frame):
     assert len(rows) == 64 and rows[63].error == "ValueError: no" and all(rows[k].error is None for k in range(63))
     # the whole batch, then a left half on each of six levels
     assert max(r.calls for k, r in rows.items() if k != 63) == 7
+
+
+def test_jsonl_folders_hold_few_files(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 20).cast("string").alias("game"), F.col("id").alias("n")).repartition(8)
+    path = str(tmp_path / "lines")
+    sinks.write_jsonl(rows, path, by="game")
+    files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert len(files) == 20
+    assert spark.read.json(path).count() == 400
