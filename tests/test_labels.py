@@ -211,3 +211,18 @@ def test_rosters_of_one_kind_are_converted_once_and_told_for_each_game(spark, fr
     converted, games = _converted(Small(spark, ""))
     assert games.select("game").distinct().count() == 140
     assert converted["verdicts"].count() == 35
+
+
+def test_players_of_a_shared_roster_are_listed_for_each_game(frame):
+    rosters = frame([("r", ["A"], True)], "game string, teams array<string>, has_players boolean")
+    colors = frame([("r", "A", "white")], "game string, team string, color string")
+    players = frame(
+        [("r", 0, True, "A", "x", ["1", "2"]), ("r", 1, True, "A", "x", ["1"]), ("r", 2, True, "A", "y", ["0"])],
+        "game string, player_index int, is_object boolean, team string, name string, jersey_numbers array<string>",
+    )
+    members = frame([("g1", "r"), ("g2", "r"), ("g3", "none")], "game string, roster string")
+    listed = ro.for_games(ro.convert_roster(rosters, players, colors)["players"].drop("sort_key"), members)
+    one = [("A", "white", "x", "1"), ("A", "white", "x", "2"), ("A", "white", "y", "0")]
+    assert sorted(tuple(r[c] for c in ("game", "team", "color", "name", "jersey")) for r in listed.collect()) == [
+        (g, *row) for g in ("g1", "g2") for row in one
+    ]
