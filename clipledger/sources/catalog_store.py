@@ -12,7 +12,7 @@ rewritten, so saving twice changes nothing and a save that was cut off can be re
 
 from dataclasses import replace as dc_replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipledger.operators.catalog import Catalog
@@ -110,17 +110,30 @@ def replace_keyed(path: str, keys: DataFrame, rows: DataFrame, parts: int = 64)
     columns = [c for c in stored.columns if c != "__part"]
     old = stored.filter(F.col("__part").isin(touched))
     fresh = rows.select(*columns).withColumn("__part", _part(parts))
-    after = cut_lineage(old.join(keys.select(KEY), KEY, "left_anti").select(*columns, "__part").unionByName(fresh))
 
     def signature(df: DataFrame, name: str) -> DataFrame:
-        whole = F.xxhash64(*columns)
-        return df.groupBy("__part").agg(F.struct(F.count(F.lit(1)), F.sum(F.shiftright(whole, 24)), F.bit_xor(whole)).alias(name))
-
-    both = signature(old, "before").join(signature(after, "after"), "__part", "full_outer")
-    changed = both.filter(~F.col("before").eqNullSafe(F.col("after"))).select("__part", F.col("after").isNull().alias("empty")).collect()
+        whole = F.col("__whole")
+        return df.groupBy("__part").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(whole, 24)), F.bit_xor(whole)).alias(name))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.select(KEY, "__part", F.xxhash64(*columns).alias("__whole"))
+
+    # All other rows stay, so a folder changes if those of the keys do; only hashes travel to tell.
+    before = signature(hashed(old).join(keys.select(KEY), KEY, "left_semi"), "before")
+    both = before.join(signature(hashed(fresh), "after"), "__part", "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    held = old.groupBy("__part").agg(F.count(F.lit(1)).alias("__held"))
+    left = sum(F.coalesce(c, F.lit(0)) * sign for c, sign in ((F.col("__held"), 1), (F.col("before.n"), -1), (F.col("after.n"), 1)))
+    changed = both.join(held, "__part", "left").select("__part", (left == 0).alias("empty")).collect()
     filled = [r[0] for r in changed if not r.empty]
     if filled:
-        new = after.filter(F.col("__part").isin(filled)).repartition("__part")
+        # Keys meet the rows of their folder in the one shuffle that brings these to their writer.
+        tagged = old.select(*columns, "__part", F.lit(False).alias("__fresh"), F.lit(False).alias("__key"))
+        tagged = tagged.unionByName(fresh.select(*columns, "__part", F.lit(True).alias("__fresh"), F.lit(False).alias("__key")))
+        marks = keys.filter(F.col(KEY).isNotNull()).select(KEY, "__part", F.lit(False).alias("__fresh"), F.lit(True).alias("__key"))
+        tagged = tagged.unionByName(marks, allowMissingColumns=True).filter(F.col("__part").isin(filled)).repartition("__part")
+        replaced = F.max("__key").over(Window.partitionBy("__part", KEY))
+        new = tagged.withColumn("__replaced", replaced).filter(~F.col("__key") & (F.col("__fresh") | ~F.col("__replaced")))
+        new = new.select(*columns, "__part")
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part").parquet(path)
     for part in [r[0] for r in changed if r.empty]:  # an overwrite can't leave a folder empty
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/__part={part}")

@@ -107,3 +107,17 @@ def test_a_folder_that_loses_all_rows_goes(spark, frame, tmp_path):
     assert store.replace_keyed(path, rows.filter("n = 1"), rows.limit(0), 1000) == 1
     assert [r.material_id for r in store.read_keyed(spark, path).collect()] == ["b"]
     assert store.replace_keyed(path, rows.filter("n = 1"), rows.limit(0), 1000) == 0
+
+
+def test_a_save_sets_only_its_keys_aside(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    store.write_keyed(frame([(f"m{k % 9}", k) for k in range(30)] + [(None, 99)], "material_id string, n int"), path, 4)
+    aside, cut = [], store.cut_lineage
+    monkeypatch.setattr(store, "cut_lineage", lambda df: aside.append(df.columns) or cut(df))
+    keys = frame([("m1",), ("m2",), ("x",)], "material_id string")
+    fresh = frame([("m1", -1), ("m1", -1), ("x", -2)], "material_id string, n int")
+    assert store.replace_keyed(path, keys, fresh, 4) > 0
+    assert store.replace_keyed(path, keys, fresh, 4) == 0
+    assert aside == [["material_id", "__part"]] * 2
+    kept = sorted((r.material_id or "", r.n) for r in store.read_keyed(spark, path).collect())
+    assert kept == sorted([("", 99), ("m1", -1), ("m1", -1), ("x", -2)] + [(f"m{k % 9}", k) for k in range(30) if k % 9 not in (1, 2)])
