@@ -1,8 +1,9 @@
 """Delimited metadata, captions and action literals."""
 
 import ast
+import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ _ACTION = T.StructType(
         T.StructField("other_player", T.StringType()),
     ]
 )
+_FLAGS = {"result", "assisted"}
 _ACTIONS = T.StructType(
     [T.StructField("actions", T.ArrayType(_ACTION)), T.StructField("error", T.StringType())]
 )
@@ -122,38 +124,76 @@ def load_metadata(source: DataFrame, paths: DataFrame, captions: DataFrame) -> d
     }
 
 
-def _literal(raw: str) -> list[dict]:
+_ARROW = [pa.field(f.name, pa.bool_() if f.dataType == T.BooleanType() else pa.string()) for f in _ACTION]
+
+# The usual literal: one line, objects of plain texts, small whole numbers and constants.
+_TEXT = r"""(?:'[^'\\\r\n\0]*+'|"[^"\\\r\n\0]*+")"""
+_PAIR = rf"{_TEXT}: *+(?:{_TEXT}|True|False|None|0|[1-9][0-9]{{0,17}}+)"
+_OBJECT = rf"\{{(?:{_PAIR}(?:, *+{_PAIR})*+)?+\}}"
+_PLAIN = re.compile(rf"\[(?:{_OBJECT}(?:, *+{_OBJECT})*+)?+\]")
+_PART = re.compile(r"""(?:'([^']*+)'|"([^"]*+)"): *+(?:'([^']*+)'|"([^"]*+)"|(True|False)|(None)|([0-9]++))|(\})""")
+
+
+def _plain_literal(raw: str) -> list[tuple] | None:
+    """What ``_literal`` gives for a usual literal; None for any other text."""
+    if not _PLAIN.fullmatch(raw):
+        return None
+    rows, row = [], {}
+    for single, double, one, two, flag, nothing, number, end in _PART.findall(raw):
+        if end:
+            rows.append(tuple(map(row.get, _ACTION.names)))
+            row = {}
+            continue
+        name = single or double
+        if name in _FLAGS:
+            row[name] = flag == "True" if flag else None
+        else:
+            row[name] = None if nothing else one or two or flag or number
+    return rows
+
+
+def _literal(raw: str) -> list[tuple]:
     value = ast.literal_eval(raw)
     if not isinstance(value, list) or not all(isinstance(item, dict) for item in value):
         raise ValueError("actions must be a list of objects")
     rows = []
     for item in value:
-        row = {}
+        row = []
         for name in _ACTION.names:
             field = item.get(name)
-            if name in ("result", "assisted"):
-                row[name] = field if isinstance(field, bool) else None
+            if name in _FLAGS:
+                row.append(field if isinstance(field, bool) else None)
             elif isinstance(field, float) and field.is_integer():
-                row[name] = str(int(field))
+                row.append(str(int(field)))
             else:
-                row[name] = None if field is None else str(field)
-        rows.append(row)
+                row.append(None if field is None else str(field))
+        rows.append(tuple(row))
     return rows
 
 
-@F.pandas_udf(_ACTIONS)
-def _parse_literals(texts: pd.Series) -> pd.DataFrame:
-    actions, errors = [], []
-    for text in texts:
+@F.arrow_udf(_ACTIONS)
+def _parse_literals(texts: pa.Array) -> pa.Array:
+    """All actions of a batch as one column per field, cut into lists by text."""
+    rows, ends, errors = [], [0], []
+    for text in texts.to_pylist():
         try:
-            actions.append(_literal(text))
+            found = None if text is None else _plain_literal(text)
+            rows += _literal(text) if found is None else found
             errors.append(None)
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as problem:
-            actions.append(None)
             errors.append(f"{type(problem).__name__}: {problem}")
-    return pd.DataFrame({"actions": actions, "error": errors})
+        ends.append(len(rows))
+    columns = zip(*rows) if rows else [()] * len(_ARROW)
+    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], fields=_ARROW)
+    failed = pa.array([e is not None for e in errors])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=failed)
+    return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], names=_ACTIONS.names)
+
+
+# Spark runs a deterministic function again for each filter on its result.
+_parse_once = _parse_literals.asNondeterministic()
 
 
 def parse_actions(raw: Column) -> Column:
     """Struct (actions, error) from a Python-literal list of objects."""
-    return _parse_literals(raw)
+    return _parse_once(raw)
