@@ -26,7 +26,8 @@ _EVENT = """
 
 def _members(text: str) -> Column:
     """The members of a JSON object as texts; NULL for anything else."""
-    whole = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    # valid JSON that begins with a brace is an object
+    whole = F.col(text).rlike(r"^\x{FEFF}?\s*\{") & F.try_parse_json(text).isNotNull()
     return F.when(whole, F.from_json(text, "map<string, string>"))
 
 
@@ -45,12 +46,23 @@ def _whole_documents(
     )
 
 
+def _packed_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    line = F.col("value")
+    return spark.read.text(path).select(
+        F.substring_index(line, "\t", 1).alias("clip_id"),
+        F.col("_metadata.file_path").alias("path"),
+        F.when(line.contains("\t"), F.substring(line, F.instr(line, "\t") + 1, F.length(line))).alias("value"),
+    )
+
+
 def read_tracks(
-    spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] = file_stem
+    spark: SparkSession, path: str | list[str], name: Callable[[Column], Column] = file_stem, packed: bool = False
 ) -> dict[str, DataFrame]:
     """Track documents with one key per track, as tables.
 
-    ``name`` derives the clip id from the file path.
+    ``name`` derives the clip id from the file path. With ``packed`` a file holds many
+    documents, each on a line after its clip id and a tab: hundreds of thousands of small
+    files cost more to create and list than to read.
 
     Returns ``tracks`` (one row per key), ``boxes`` (one row per frame, NULL box
     where absent or malformed) and ``bad_files`` (root is not an object). Keys
@@ -58,10 +70,11 @@ def read_tracks(
     row, so an odd track costs itself (``is_object`` is false) and an odd entry
     its own box.
     """
-    documents = _whole_documents(spark, path, name)
+    documents = _packed_documents(spark, path) if packed else _whole_documents(spark, path, name)
     parsed = documents.select("clip_id", "path", _members("value").alias("tracks"))
-    rows = parsed.filter("tracks IS NOT NULL").select(
-        "clip_id", F.explode("tracks").alias("track_id", "raw")
+    # An outer explode, as Spark would read each document a second time to leave empty ones out before.
+    rows = parsed.select("clip_id", F.explode_outer("tracks").alias("track_id", "raw")).filter(
+        "track_id IS NOT NULL"
     ).select("clip_id", "track_id", F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", _TRACK)).alias("t"))
     tracks = rows.select(
         "clip_id",
@@ -77,8 +90,8 @@ def read_tracks(
         ],
     )
     frames = rows.select(
-        "clip_id", "track_id", F.posexplode("t.trajectory").alias("frame", "entry")
-    )
+        "clip_id", "track_id", F.posexplode_outer("t.trajectory").alias("frame", "entry")
+    ).filter("frame IS NOT NULL")
     # Numbers only: quoted text and true/false are not coordinates.
     numeric = F.when(
         F.col("entry").rlike(r"^\s*\[[-+0-9.eE,\s]*\]\s*$"), F.from_json("entry", "array<double>")
@@ -94,15 +107,18 @@ def read_tracks(
 
 
 def read_reports(
-    spark: SparkSession, paths: str | list[str], name: Callable[[Column], Column] = file_stem
+    spark: SparkSession, paths: str | list[str], name: Callable[[Column], Column] = file_stem, packed: bool = False
 ) -> dict[str, DataFrame]:
     """Prediction reports as tables; files that are no object, or whose lists are none, apart.
 
+    With ``packed`` a file holds many reports, each on a line after its window id and a tab.
+
     Returns ``reports``, ``player_predictions``, ``temporal_events`` and
     ``bad_files``. List order is kept in ``pos``. Each list entry is read on its
     own row: a mistyped field is NULL there and costs nothing else.
     """
-    raw = _whole_documents(spark, paths, name).select(
+    documents = _packed_documents(spark, paths) if packed else _whole_documents(spark, paths, name)
+    raw = documents.select(
         F.col("clip_id").alias("window_id"), "path", _members("value").alias("m")
     )
     lists = {"player_predictions": _PREDICTION, "temporal_events": _EVENT}
@@ -113,8 +129,9 @@ def read_reports(
     good = raw.filter("fit")
 
     def rows(column: str) -> DataFrame:
-        entries = F.from_json(F.col("m")[column], "array<string>")
-        return good.select("window_id", F.posexplode(entries).alias("pos", "raw")).select(
+        # NULL for unfit documents, and an outer explode: a filter would read each document a second time
+        entries = F.when(F.col("fit"), F.from_json(F.col("m")[column], "array<string>"))
+        return raw.select("window_id", F.posexplode_outer(entries).alias("pos", "raw")).filter("pos IS NOT NULL").select(
             "window_id", "pos", F.from_json("raw", lists[column]).alias("r")
         ).select("window_id", "pos", "r.*")
 

@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clipledger.functions import text as fn
@@ -220,3 +221,62 @@ def test_jsonl_folders_hold_few_files(spark, tmp_path):
     files = [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
     assert len(files) == 20
     assert spark.read.json(path).count() == 400
+
+
+def test_usual_literals_read_the_same_without_the_compiler():
+    usual = [
+        "[]", "[{}]", "[{'player': '7', 'result': True}, {'player': 0, \"color\": 'a \"b\" {', 'result': None}]",
+        "[{'result': 'True', 'assisted': 3, 'other_player': False}]", "[{'player': 1, 'player': '2', 'x': 'é]'}]",
+    ]
+    for text in usual:
+        assert tb._plain_literal(text) == tb._literal(text)
+    for text in ("[{'player': 07}]", "[{'player': 'a' 'b'}]", "[{'player': '\\x41'}]", "[{'player': 1.0}]", "[{'player': 1}", "[[]]", ""):
+        assert tb._plain_literal(text) is None
+
+
+def test_parsed_literals_leave_a_batch_as_arrow_columns():
+    out = tb._parse_literals.func(pa.array(["[{'player': 3}]", None, "[{'player'", "[]", "[{'player': 1.0, 'result': True}]"]))
+    actions, errors = out.field("actions").to_pylist(), out.field("error").to_pylist()
+    assert [None if a is None else [(x["player"], x["result"]) for x in a] for a in actions] == [[("3", None)], None, None, [], [("1", True)]]
+    assert [e and e.split(":")[0] for e in errors] == [None, "ValueError", "SyntaxError", None, None]
+
+
+def test_packed_track_documents_read_like_files(spark, tmp_path):
+    texts = {
+        "a": '{"player_1": {"trajectory": [[1, 2, 3, 4], null, [1, 2]]}, "ball": 7}', "b": "[]", "c": "{}",
+        "d": ' {"x": {"trajectory": []}}', "e": '{"x": ', "f": " ",
+    }
+    for name, text in texts.items():
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{name}.json").write_text(text)
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "part.txt").write_text("\n".join(f"{k}\t{v}" for k, v in texts.items()))
+    files, packed = doc.read_tracks(spark, str(tmp_path / "files")), doc.read_tracks(spark, str(tmp_path / "packed"), packed=True)
+    for table in ("tracks", "boxes", "bad_files"):
+        rows = [sorted(map(str, read[table].drop("path").collect())) for read in (files, packed)]
+        assert rows[0] == rows[1] and rows[0]
+    assert {r.clip_id for r in packed["bad_files"].collect()} == {"b", "e", "f"}
+
+
+def test_documents_are_parsed_once(spark, tmp_path, frame):
+    (tmp_path / "w.json").write_text("{}")
+    tracks, reports = doc.read_tracks(spark, str(tmp_path)), doc.read_reports(spark, str(tmp_path))
+    for rows in (tracks["boxes"], reports["player_predictions"]):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    texts = frame([("[]",)], "t string")
+    failed = texts.select(tb.parse_actions(F.col("t"))["error"].alias("e")).filter("e IS NOT NULL")
+    assert failed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_packed_reports_read_like_files(spark, tmp_path):
+    texts = {"w1": '{"player_predictions": [{"player_id": "a\\tb"}, 3], "duration_seconds": 2}', "w2": "[]", "w3": '{"temporal_events": 1}'}
+    for folder in ("files", "packed"):
+        (tmp_path / folder).mkdir()
+    for name, text in texts.items():
+        (tmp_path / "files" / f"{name}.json").write_text(text)
+    (tmp_path / "packed" / "part.txt").write_text("\n".join(f"{k}\t{v}" for k, v in texts.items()))
+    files, packed = doc.read_reports(spark, str(tmp_path / "files")), doc.read_reports(spark, str(tmp_path / "packed"), packed=True)
+    for table in ("reports", "player_predictions", "temporal_events", "bad_files"):
+        rows = [sorted(map(str, read[table].drop("path").collect())) for read in (files, packed)]
+        assert rows[0] == rows[1]
+    assert {r.window_id for r in packed["bad_files"].collect()} == {"w2", "w3"}
