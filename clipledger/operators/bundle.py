@@ -66,7 +66,8 @@ def sample_bundle(
             fresh = shortlist.filter(F.col("label") == label).join(chosen.select(*_CLIP), _CLIP, "left_anti")
             added = fresh.orderBy("order_hash", *_CLIP).limit(missing).select(*_CLIP, "strata")
             chosen = cut_lineage(chosen.unionByName(added))
-    return described.join(chosen.select(*_CLIP), _CLIP, "left_semi")
+    # Chosen clips carry their strata, so only the clips are read once more.
+    return clips.join(chosen.dropDuplicates(_CLIP), _CLIP)
 
 
 def class_coverage(bundle: DataFrame) -> DataFrame:
