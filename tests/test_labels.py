@@ -226,3 +226,10 @@ def test_players_of_a_shared_roster_are_listed_for_each_game(frame):
     assert sorted(tuple(r[c] for c in ("game", "team", "color", "name", "jersey")) for r in listed.collect()) == [
         (g, *row) for g in ("g1", "g2") for row in one
     ]
+
+
+def test_labels_and_anomalies_share_the_groups_written_once(frame):
+    labels, anomalies = lb.map_documents(frame([("c", 1, 1)], DOC), frame([SHOT, SHOT], ACT))
+    for rows in (labels, anomalies):
+        assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert labels.count() == 2 and codes(anomalies) == ["DUPLICATE_LABEL_COLLAPSED"] * 2
