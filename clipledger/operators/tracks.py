@@ -386,9 +386,10 @@ def match_ball(clean_tracks: DataFrame, clean_boxes: DataFrame, raw_boxes: DataF
     ball = clean_tracks.filter("track_id = 'ball'").select("clip_id", "source_track_id")
     raw_signatures = trajectory_signatures(raw_boxes)
     named = ball.join(
-        raw_signatures.select("clip_id", F.col("track_id").alias("source_track_id")),
+        raw_signatures.select("clip_id", F.col("track_id").alias("source_track_id"), F.col("track_id").alias("named_raw")),
         ["clip_id", "source_track_id"],
-    ).select("clip_id", F.col("source_track_id").alias("named_raw"))
+        "left",
+    ).select("clip_id", "named_raw", F.lit(True).alias("__ball"))
     clean_signature = trajectory_signatures(clean_boxes.filter("track_id = 'ball'")).select(
         "clip_id", "signature"
     )
@@ -399,9 +400,7 @@ def match_ball(clean_tracks: DataFrame, clean_boxes: DataFrame, raw_boxes: DataF
         .agg(F.count(F.lit(1)).alias("n"), F.min("track_id").alias("first_raw"))
     )
     joined = (
-        clips.join(ball.withColumn("__ball", F.lit(True)), "clip_id", "left")
-        .join(named, "clip_id", "left")
-        .join(same, "clip_id", "left")
+        clips.join(named, "clip_id", "left").join(same, "clip_id", "left")
     )
     count = F.coalesce("n", F.lit(0))
     status = (

@@ -179,3 +179,17 @@ def test_a_grid_of_frames_is_never_broadcast(spark):
     for joined in (covered, tr.bbox_at_time(grid, references, shown, 60.0).filter("reference IS NOT NULL")):
         plan = joined._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("strategy=merge") >= 2, plan
+
+
+def test_a_ball_meets_its_source_once(frame):
+    box = "clip_id string, track_id string, frame int, x double, y double, w double, h double"
+    raw = frame([(c, t, 0, 1.0, 1.0, w, 1.0) for c, t, w in (("a", "ball_1", 1.0), ("a", "ball_2", 2.0), ("b", "ball_1", 1.0), ("c", "ball_1", 3.0))], box)
+    clean = frame([("a", "ball", "ball_2"), ("b", "ball", "gone"), ("c", "ball", None), ("d", "ball", None)], "clip_id string, track_id string, source_track_id string")
+    boxes = frame([("b", "ball", 0, 1.0, 1.0, 1.0, 1.0), ("c", "ball", 0, 1.0, 1.0, 9.0, 1.0)], box)
+    matched = tr.match_ball(clean, boxes, raw)
+    assert sum(line.strip(" :+-").startswith("Join") for line in matched._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 4
+    rows = {r.clip_id: (r.status, r.method, r.raw_track_id, r.candidate_count) for r in matched.collect()}
+    assert rows == {
+        "a": ("matched", "source_track_id", "ball_2", 1), "b": ("matched", "trajectory_signature", "ball_1", 1),
+        "c": ("unmatched", "trajectory_signature", None, 0), "d": ("unmatched", "trajectory_signature", None, 0),
+    }
