@@ -257,20 +257,25 @@ def mask_segment(boxes: DataFrame, segments: DataFrame) -> tuple[DataFrame, Data
     return masked, stats.withColumnRenamed("track_id", "raw_track_id")
 
 
+def _box_hashes() -> dict[str, Column]:
+    fields = ["frame", "x", "y", "w", "h"]
+    return {c: F.xxhash64(F.lit(c), *fields).alias(f"__{c}") for c in ("a", "b")}
+
+
+def _signature(a: Column | str, b: Column | str, n: Column | str) -> Column:
+    a, b, n = (F.col(x) if isinstance(x, str) else x for x in (a, b, n))
+    return F.concat_ws(":", F.hex(a), F.hex(b), n.cast("string"))
+
+
 def trajectory_signatures(boxes: DataFrame) -> DataFrame:
     """A 128-bit signature per track: equal trajectories get equal signatures.
 
     Per-frame hashes are combined with XOR, so it aggregates partially and no
     trajectory is ever gathered.
     """
-    fields = ["frame", "x", "y", "w", "h"]
+    a, b = _box_hashes().values()
     return boxes.groupBy(*TRACK).agg(
-        F.concat_ws(
-            ":",
-            F.hex(F.bit_xor(F.xxhash64(F.lit("a"), *fields))),
-            F.hex(F.bit_xor(F.xxhash64(F.lit("b"), *fields))),
-            F.count(F.lit(1)).cast("string"),
-        ).alias("signature")
+        _signature(F.bit_xor(a), F.bit_xor(b), F.count(F.lit(1))).alias("signature")
     )
 
 
@@ -288,89 +293,86 @@ def match_tracks(clean_tracks: DataFrame, clean_boxes: DataFrame, raw_boxes: Dat
     * the first unnamed clean track reached when all but one raw track of the
       group are claimed takes the remaining one.
 
+    So a group is walked once: a raw track comes where its first named claim is, at
+    the end without one, and the last raw track is the one an unnamed winner gets.
     Rows carry ``candidate_group``; its members are in ``candidate_groups``.
     """
-    raw_all = trajectory_signatures(raw_boxes.filter(F.col("track_id").startswith("player_")))
-    raw = raw_all.select(
-        "clip_id", F.col("track_id").alias("raw_track_id"), F.col("signature").alias("grp")
-    )
-    groups = raw.groupBy("clip_id", "grp").agg(F.count(F.lit(1)).alias("group_size"))
-    clean = clean_tracks.filter(F.col("track_id").startswith("player_")).select(
-        "clip_id", F.col("track_id").alias("clean_track_id"), "source_track_id"
-    )
-    named = (
-        clean.filter("source_track_id IS NOT NULL")
-        .withColumn("raw_track_id", F.col("source_track_id"))
-        .join(raw, ["clip_id", "raw_track_id"], "left")
-        .select(
-            "clip_id", "clean_track_id", "grp", F.lit("source_track_id").alias("method"),
-            F.when(F.col("grp").isNotNull(), F.col("source_track_id")).alias("named_raw"),
-        )
-    )
-    signatures = trajectory_signatures(clean_boxes).select(
-        "clip_id", F.col("track_id").alias("clean_track_id"), F.col("signature").alias("grp")
-    )
-    unnamed = (
-        clean.filter("source_track_id IS NULL")
-        .join(signatures, ["clip_id", "clean_track_id"], "left")
-        .select(
-            "clip_id", "clean_track_id", "grp", F.lit("trajectory_signature").alias("method"),
-            F.lit(None).cast("string").alias("named_raw"),
-        )
-    )
-    claims = named.unionByName(unnamed).join(groups, ["clip_id", "grp"], "left")
-    possible = claims.filter("group_size IS NOT NULL")
-
-    in_order = Window.partitionBy("clip_id", "grp").orderBy("clean_track_id")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    same_raw = Window.partitionBy("clip_id", "grp", "named_raw").orderBy("clean_track_id")
-    first_named = F.col("named_raw").isNotNull() & (F.row_number().over(same_raw) == 1)
-    possible = possible.withColumn("first_named", first_named)
-    claimed_before = F.coalesce(
-        F.sum(F.col("first_named").cast("int")).over(before), F.lit(0)
-    )
-    possible = possible.withColumn(
-        "takes_last",
-        F.col("named_raw").isNull() & (claimed_before == F.col("group_size") - 1),
-    )
+    group = ["clip_id", "__a", "__b", "__n"]
+    events = _claim_events(clean_tracks, clean_boxes, raw_boxes)
+    walk = Window.partitionBy(*group).orderBy(F.col("clean_track_id").asc_nulls_last())
+    before = walk.rowsBetween(Window.unboundedPreceding, -1)
+    whole = walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    walked = events.select(
+        "*",
+        F.coalesce(F.count("member").over(before), F.lit(0)).alias("claimed_before"),
+        F.count("member").over(whole).alias("group_size"),
+        F.last("member", ignorenulls=True).over(whole).alias("last_member"),
+    ).withColumn("takes_last", ~F.col("named") & (F.col("claimed_before") == F.col("group_size") - 1))
     taken_before = F.coalesce(F.max("takes_last").over(before), F.lit(False))
-    possible = possible.withColumn(
-        "matched", (F.col("first_named") | F.col("takes_last")) & ~taken_before
-    )
-    # The raw track an unnamed winner gets is the one nobody named before it.
-    winners = possible.filter("matched AND named_raw IS NULL").select(
-        "clip_id", "grp", F.col("clean_track_id").alias("winner")
-    )
-    named_claims = possible.filter("first_named").select(
-        "clip_id", "grp", F.col("named_raw").alias("raw_track_id"), "clean_track_id"
-    )
-    leftover = (
-        raw.join(winners, ["clip_id", "grp"])
-        .join(named_claims, ["clip_id", "grp", "raw_track_id"], "left")
-        .filter("clean_track_id IS NULL OR clean_track_id > winner")
-        .select("clip_id", F.col("winner").alias("clean_track_id"), F.col("raw_track_id").alias("free_raw"))
-    )
-    decided = possible.join(leftover, ["clip_id", "clean_track_id"], "left").select(
+    walked = walked.withColumn("matched", (F.col("member").isNotNull() | F.col("takes_last")) & ~taken_before)
+    known = F.col("__n").isNotNull() & (F.col("group_size") > 0)
+    return walked.filter("clean_track_id IS NOT NULL").select(
         "clip_id",
         "clean_track_id",
-        F.when(F.col("matched"), "matched").otherwise("ambiguous").alias("status"),
-        "method",
-        F.when(F.col("matched"), F.coalesce("named_raw", "free_raw")).alias("raw_track_id"),
-        F.when(F.col("named_raw").isNotNull(), F.lit(1).cast("bigint"))
-        .otherwise(F.col("group_size"))
-        .alias("candidate_count"),
-        F.col("grp").alias("candidate_group"),
+        F.when(~known, "unmatched").when(F.col("matched"), "matched").otherwise("ambiguous").alias("status"),
+        F.when(F.col("named"), "source_track_id").otherwise("trajectory_signature").alias("method"),
+        F.when(known & F.col("matched"), F.coalesce("member", "last_member")).alias("raw_track_id"),
+        F.when(~known, 0).when(F.col("named"), 1).otherwise(F.col("group_size")).cast("bigint").alias("candidate_count"),
+        F.when(known, _signature("__a", "__b", "__n")).alias("candidate_group"),
     )
-    impossible = claims.filter("group_size IS NULL").select(
+
+
+def _claim_events(clean_tracks: DataFrame, clean_boxes: DataFrame, raw_boxes: DataFrame) -> DataFrame:
+    """One row per claim, and per raw player that nobody names, with the signature of its group.
+
+    ``member`` is the raw track that a row stands for: the first claim of a source has
+    it, or a row without a clean track. Boxes of both sides are hashed in one
+    aggregate, and a claim meets the track that it names, or its own boxes, in one join.
+    """
+    player = F.col("track_id").startswith("player_")
+    sides = [
+        boxes.filter(player).select(*TRACK, *hashed.values(), F.lit(side).alias("__raw"))
+        for boxes, side, hashed in ((raw_boxes, True, _box_hashes()), (clean_boxes, False, _box_hashes()))
+    ]
+    signed = sides[0].unionByName(sides[1]).groupBy("clip_id", F.col("track_id").alias("__key")).agg(
+        *[
+            total(F.when(F.col("__raw") == raw, F.col(c))).alias(f"{c}{side}")
+            for side, raw in (("_raw", True), ("_clean", False))
+            for c, total in (("__a", F.bit_xor), ("__b", F.bit_xor))
+        ],
+        F.count_if("__raw").alias("__n_raw"),
+        F.count_if(~F.col("__raw")).alias("__n_clean"),
+    )
+    named = F.col("source_track_id").isNotNull()
+    claims = clean_tracks.filter(player).select(
         "clip_id",
-        "clean_track_id",
-        F.lit("unmatched").alias("status"),
-        "method",
-        F.lit(None).cast("string").alias("raw_track_id"),
-        F.lit(0).cast("bigint").alias("candidate_count"),
-        F.lit(None).cast("string").alias("candidate_group"),
+        F.coalesce("source_track_id", "track_id").alias("__key"),
+        F.col("track_id").alias("clean_track_id"),
+        named.alias("named"),
+    )
+    of_key = Window.partitionBy("clip_id", "__key").orderBy(F.desc("named"), "clean_track_id")
+    claims = claims.withColumn("__turn", F.row_number().over(of_key))
+    met = signed.join(claims, ["clip_id", "__key"], "full")
+    # a key's first claim, or the key itself without claims, brings its raw track in
+    named = F.coalesce("named", F.lit(True))
+    claimed = F.col("clean_track_id").isNotNull()
+    brings = (F.coalesce("__n_raw", F.lit(0)) > 0) & F.coalesce(F.col("__turn") == 1, F.lit(True))
+    nobody = F.lit(None).cast("string")
+
+    def event(side: str, clean: Column, is_named: Column, member: Column) -> Column:
+        n = F.nullif(f"__n{side}", F.lit(0))
+        return F.struct(
+            F.col(f"__a{side}").alias("__a"), F.col(f"__b{side}").alias("__b"), n.alias("__n"),
+            clean.alias("clean_track_id"), is_named.alias("named"), member.alias("member"),
+        )
+
+    key, clean = F.col("__key"), F.col("clean_track_id")
+    told = F.array(
+        F.when(claimed & named, event("_raw", clean, F.lit(True), F.when(brings, key))),
+        F.when(claimed & ~named, event("_clean", clean, F.lit(False), nobody)),
+        F.when(brings & ~(claimed & named), event("_raw", nobody, F.lit(True), key)),
     )
-    return decided.unionByName(impossible)
+    return met.select("clip_id", F.inline(F.array_compact(told)))
 
 
 def candidate_groups(raw_boxes: DataFrame, prefix: str = "player_") -> DataFrame:

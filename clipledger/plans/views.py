@@ -141,19 +141,17 @@ class Views:
     def raw_tracks(self) -> DataFrame:
         """Raw tracks of short clips; some trajectories are exact copies."""
         line = F.col("l_linenumber")
-        return (
-            self.table("lineitem")
-            .groupBy(
-                text("o", F.col("l_orderkey")).alias("clip_id"),
-                F.when(line <= 5, text("player_", line)).otherwise(text("ball_", line)).alias("track_id"),
-                F.lit(0).alias("frame"),
-            )
-            .agg(
-                F.lit(1.0).alias("x"),
-                F.lit(2.0).alias("y"),
-                F.max(F.ceil(F.col("l_quantity") / 25) + 1).cast("double").alias("w"),
-                F.lit(4.0).alias("h"),
-            )
+        rows = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+            F.max(F.ceil(F.col("l_quantity") / 25) + 1).cast("double").alias("w")
+        )
+        return rows.select(
+            text("o", F.col("l_orderkey")).alias("clip_id"),
+            F.when(line <= 5, text("player_", line)).otherwise(text("ball_", line)).alias("track_id"),
+            F.lit(0).alias("frame"),
+            F.lit(1.0).alias("x"),
+            F.lit(2.0).alias("y"),
+            "w",
+            F.lit(4.0).alias("h"),
         )
 
     @cached_property

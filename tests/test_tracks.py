@@ -100,6 +100,21 @@ def test_identical_raw_tracks_are_ambiguous(frame):
     assert sorted(r.raw_track_id for r in members.collect()) == ["player_1", "player_2"]
 
 
+def test_a_match_needs_one_join_and_few_sorts(frame):
+    matches = run_match(frame, {"c": ({"player_1": [7], "player_2": [7]}, {"player_0": [7]}, {"player_0": "player_2"})})
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
+
+
+def test_later_claims_of_a_source_and_tracks_without_boxes(frame):
+    clips = {"c": ({"player_1": [7], "player_2": [7], "player_3": [9]}, {"player_0": [7], "player_4": [7], "player_5": [7], "player_6": [8]}, {"player_0": "player_1", "player_5": "player_1", "player_6": "player_8"})}
+    got = {r.clean_track_id: (r.status, r.raw_track_id, r.candidate_count) for r in run_match(frame, clips).collect()}
+    assert got == {
+        "player_0": ("matched", "player_1", 1), "player_4": ("matched", "player_2", 2),
+        "player_5": ("ambiguous", None, 1), "player_6": ("unmatched", None, 0),
+    }
+
+
 def test_ball_matches_by_trajectory(frame):
     raw = boxes(frame, {"ball_1": [[1, 1, 4, 4]], "ball_2": [[8, 8, 5, 5]]})
     clean = boxes(frame, {"ball": [[8, 8, 5, 5]]})
