@@ -1,6 +1,6 @@
 """Queries on windows, candidates, merged events and delivery ranges."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.operators import timeline as tl
@@ -90,14 +90,23 @@ def merged_stream_query(v: Views) -> DataFrame:
     late = F.pmod(F.xxhash64("candidate_id"), F.lit(7)) == 0
     slot = F.floor(F.col("global_start_seconds") / span) + late.cast("int")
     base = shared_folder(v.spark)
+    files = _files_a_batch(candidates, slot)
     for k in range(6):
-        candidates.filter(slot == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part = candidates.filter(slot == k)
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.mode("append").parquet(f"{base}/in")
     for _ in range(2):  # the first moves the watermark, the second is a batch that sees it moved
-        close_stream(candidates).write.mode("append").parquet(f"{base}/in")
-    final = run_merge(v.spark, f"{base}/in", candidates.schema, f"{base}/out", f"{base}/checkpoint", delay_seconds=span)
+        close_stream(candidates, files=files).write.mode("append").parquet(f"{base}/in")
+    final = run_merge(v.spark, f"{base}/in", candidates.schema, f"{base}/out", f"{base}/checkpoint", delay_seconds=span, files=files)
     return _flat(tl.summarise(final))
 
 
+def _files_a_batch(candidates: DataFrame, slot: Column, rows: int = 20_000) -> int:
+    """Files that each of the six batches can be written to, each of about ``rows`` or more, so that none is empty."""
+    least = candidates.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.count("n")).first()
+    return max(1, least[0] // rows) if least[1] == 6 else 1
+
+
 _PADDED = """SELECT i.*, duration_seconds,
       CASE WHEN event IN ('Missed Shot','Made Shot') THEN 5.0 WHEN event = 'ast' THEN 7.0 ELSE 4.0 END::DOUBLE AS pre,
       CAST(2.0 AS DOUBLE) AS post

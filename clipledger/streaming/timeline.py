@@ -4,6 +4,9 @@ State is kept per video and event: claims that may still have an earlier neighbo
 the groups that a later claim can still join. The watermark tells both apart. Claims that
 start before it are placed in order by the same rule as in a batch; a group is final once the
 watermark has passed its reach and the gap, and is emitted with the claims it took.
+
+Videos and events are dealt to ``buckets``, and a bucket is one key of the stream: a call of
+Python costs far more than the few claims that a video brings with a batch.
 """
 
 import json
@@ -27,11 +30,14 @@ FINAL = (
     "source_video_id string, event string, candidate_id string, window_id string, local_track_id string, global_track_id string, "
     "confidence double, temporal_score double, global_start_seconds double, global_end_seconds double, `__group` string"
 )
-_STATE = "waiting string, open string, placed string"
+_STATE = "groups string"
+#: Keys of the state, whatever the number of videos.
+BUCKETS = 1 << 10
 
 
-def _plain(value):
-    return None if pd.isna(value) else value
+def _plain(frame: pd.DataFrame) -> Iterator[tuple]:
+    """Rows of a frame as tuples, None for what is missing."""
+    return zip(*([None if gone else x for x, gone in zip(frame[c].tolist(), frame[c].isna())] for c in frame.columns))
 
 
 class EventMerge:
@@ -72,54 +78,61 @@ class EventMerge:
         return min([x[6] for x in self.waiting] + ends, default=None)
 
 
-def merge_stream(candidates: DataFrame, gap: float = 0.5, delay_seconds: float = 30.0) -> DataFrame:
+def merge_stream(candidates: DataFrame, gap: float = 0.5, delay_seconds: float = 30.0, buckets: int = BUCKETS) -> DataFrame:
     """Candidates of final groups with ``__group``, from a stream of candidates.
 
     Claims may arrive up to ``delay_seconds`` of video time later than the furthest
     start seen so far; what comes later still is dropped, as streams do. Claims of one
     batch need no order. State per video and event grows with its open groups and the
-    claims within the delay.
+    claims within the delay. A checkpoint goes with its number of ``buckets``.
     """
     if gap < 0 or delay_seconds < 0:
         raise ValueError("gap and delay must not be negative")
     # a stream's watermark begins at zero, and what isn't later than it is late: the clock starts before the videos
     shift = delay_seconds + 1.0
     clock = F.timestamp_millis(((F.col("global_start_seconds") + shift) * 1000).cast("bigint"))
-    timed = candidates.select(*GROUP, *CLAIM, clock.alias("__time"))
+    bucket = F.pmod(F.xxhash64(*GROUP), F.lit(buckets)).alias("__bucket")
+    timed = candidates.select(*GROUP, *CLAIM, clock.alias("__time"), bucket)
     timed = timed.withWatermark("__time", f"{int(delay_seconds * 1000)} milliseconds")
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        merger = EventMerge(gap, *(state.get if state.exists else ()))
+        held = json.loads(state.get[0]) if state.exists else []
+        mergers = {(video, event): EventMerge(gap, *parts) for video, event, *parts in held}
         for frame in frames:
-            merger.add([tuple(map(_plain, x)) for x in frame[CLAIM].itertuples(index=False, name=None)])
+            for video, event, *claim in _plain(frame[[*GROUP, *CLAIM]]):
+                if (video, event) not in mergers:
+                    mergers[video, event] = EventMerge(gap)
+                mergers[video, event].add([tuple(claim)])
         mark = state.getCurrentWatermarkMs() / 1000 - shift
-        final = merger.advance(mark)
-        then = merger.next_mark()
-        if then is None:
+        final = [(*group, *claim) for group, merger in mergers.items() for claim in merger.advance(mark)]
+        then = {group: at for group, merger in mergers.items() if (at := merger.next_mark()) is not None}
+        if not then:
             state.remove()
         else:
-            state.update(merger.state(mark))
+            state.update((json.dumps([[*group, *mergers[group].state(mark)] for group in then]),))
             # a timer must lie beyond the watermark; it fires once the watermark has passed it
-            state.setTimeoutTimestamp(max(int((then + shift) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int((min(then.values()) + shift) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         if final:
-            yield pd.DataFrame([(*key, *x) for x in final], columns=[*GROUP, *CLAIM, "__group"])
+            yield pd.DataFrame(final, columns=[*GROUP, *CLAIM, "__group"])
 
-    return timed.groupBy(*GROUP).applyInPandasWithState(merge, FINAL, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("__bucket").applyInPandasWithState(merge, FINAL, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def close_stream(candidates: DataFrame, video: str = "", event: str = "") -> DataFrame:
+def close_stream(candidates: DataFrame, video: str = "", event: str = "", files: int = 1) -> DataFrame:
     """A row for the end of a finished stream, beyond every claim: it moves the watermark on.
 
-    Append it as a last file; its own group is never final, so it never comes out.
+    Append it as a last file; its own group is never final, so it never comes out. Where
+    a batch takes several ``files``, there is one row for each.
     """
-    row = candidates.sparkSession.range(1)
+    row = candidates.sparkSession.range(0, files, 1, files)
     far = F.lit(4e9)
     given = {"source_video_id": F.lit(video), "event": F.lit(event), "candidate_id": F.lit(""), "global_start_seconds": far, "global_end_seconds": far}
     return row.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in candidates.schema.fields])
 
 
 def run_merge(
-    spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, gap: float = 0.5, delay_seconds: float = 30.0, files: int = 1
+    spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, gap: float = 0.5, delay_seconds: float = 30.0, files: int = 1,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Merge the candidate files in ``source`` that no earlier run has seen; the claims of all final groups so far.
 
@@ -127,7 +140,7 @@ def run_merge(
     where the last one stopped, also after a crash.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    merged = merge_stream(stream, gap, delay_seconds)
+    merged = merge_stream(stream, gap, delay_seconds, buckets)
     query = (
         merged.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()

@@ -56,3 +56,16 @@ def test_stream_goes_on_after_a_stop_and_drops_what_is_too_late(spark, frame, tm
     merged = tl.summarise(done).select("event_id", "candidate_ids").collect()
     assert sorted((r.event_id, tuple(r.candidate_ids)) for r in merged) == sorted(greedy(rows, 0.5))
     assert run().count() == len(rows)
+
+
+def test_many_videos_share_a_bucket_and_a_batch_takes_several_files(spark, frame, tmp_path):
+    rows = [r for k in range(7) for r in crowded_candidates(k, f"v{k}", 20)]
+    folder = str(tmp_path / "in")
+    for low, high in ((0, 12), (12, 24), (24, 1000)):
+        frame([r for r in rows if low <= r[10] < high], CAND).repartition(2).write.mode("append").parquet(folder)
+    for _ in range(2):
+        close_stream(frame([], CAND), files=2).write.mode("append").parquet(folder)
+    paths = (str(tmp_path / x) for x in ("out", "check"))
+    done = run_merge(spark, folder, frame([], CAND).schema, *paths, delay_seconds=12.0, files=2, buckets=2)
+    merged = tl.summarise(done).select("event_id", "candidate_ids").collect()
+    assert sorted((r.event_id, tuple(r.candidate_ids)) for r in merged) == sorted(greedy(rows, 0.5))
