@@ -39,6 +39,10 @@ class Catalog:
 # ---------------------------------------------------------------- building
 
 
+def _is_tag() -> Column:
+    return _event_or(F.col("event"), "blank") != "blank"
+
+
 def final_event_tags(events: DataFrame) -> DataFrame:
     """Catalog event rows of final materials: no background, names filled in.
 
@@ -46,7 +50,7 @@ def final_event_tags(events: DataFrame) -> DataFrame:
     global_track_id, participant_id, identity_status, evidence_start_seconds,
     evidence_end_seconds``.
     """
-    return events.filter(_event_or(F.col("event"), "blank") != "blank").select(
+    return events.filter(_is_tag()).select(
         "material_id",
         "event_seq",
         F.col("event").alias("event_name"),
@@ -68,13 +72,23 @@ def build_final_materials(
     end_seconds`` and perhaps ``metadata_json``; a range without length stops the query.
     """
     tags = final_event_tags(events)
-    people = participants.filter("participant_id IS NOT NULL").withColumn(
+    people = _final_people(participants)
+    has_event = tags.select("material_id").distinct().withColumn("__event", F.lit(True))
+    materials = _final_materials(drafts.join(has_event, "material_id", "left"))
+    return materials, tags, people
+
+
+def _final_people(participants: DataFrame) -> DataFrame:
+    return participants.filter("participant_id IS NOT NULL").withColumn(
         "track_id", _event_or(F.col("track_id"), "unknown")
     )
-    has_event = tags.select("material_id").distinct().withColumn("__event", F.lit(True))
+
+
+def _final_materials(drafts: DataFrame) -> DataFrame:
+    """Material rows of drafts that know by ``__event`` whether they have an event tag."""
     drafts = stop_unless(drafts, F.col("end_seconds") > F.col("start_seconds"), F.concat(F.lit("material without length: "), "material_id"))
     metadata = F.col("metadata_json") if "metadata_json" in drafts.columns else F.lit(None).cast("string")
-    materials = drafts.join(has_event, "material_id", "left").select(
+    return drafts.select(
         "material_id",
         "source_video_id",
         F.col("material_id").alias("segment_id"),
@@ -86,7 +100,6 @@ def build_final_materials(
         ),
         F.coalesce(metadata, F.lit("{}")).alias("metadata_json"),
     )
-    return materials, tags, people
 
 
 def window_participants(predictions: DataFrame, identities: DataFrame | None = None) -> DataFrame:
@@ -260,6 +273,14 @@ def finalize(
     ``drafts`` has ``source_video_id, material_id, event_ids``. A video with any
     event identity uses those; otherwise the cross-material references.
     """
+    joined, references, fallback = _final_parts(drafts, events, event_identities, material_references)
+    return joined, references.unionByName(fallback)
+
+
+def _final_parts(
+    drafts: DataFrame, events: DataFrame, event_identities: DataFrame, material_references: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Event rows, the references that come from them, and those that stand in for videos without any."""
     links = drafts.select(
         "source_video_id", "material_id", F.posexplode("event_ids").alias("event_seq", "event_id")
     )
@@ -304,7 +325,7 @@ def finalize(
     ).select(*references.columns).join(
         drafts.select("material_id"), "material_id", "left_semi"
     )
-    return joined, references.unionByName(fallback)
+    return joined, references, fallback
 
 
 def register_final(
@@ -321,14 +342,18 @@ def register_final(
     A person's last reference wins, in order of video, material and track. Its ``materials``
     are the registered ones; pass the result to ``save_materials`` or ``save_keyed``.
     """
-    tags, references = finalize(exported, events, event_identities, material_references)
-    known = references.select("material_id").distinct().withColumn("__known", F.lit(True))
+    joined, own, fallback = _final_parts(exported, events, event_identities, material_references)
+    references = own.unionByName(fallback)
+    # what a material's row says of its tags and references, in one pass over both
+    told = joined.select("material_id", _is_tag().alias("__event"), F.col("participant_id").isNotNull().alias("__known"))
+    stand_in = fallback.select("material_id", F.lit(False).alias("__event"), F.lit(True).alias("__known"))
+    found = told.unionByName(stand_in).groupBy("material_id").agg(F.max("__event").alias("__event"), F.max("__known").alias("__known"))
     metadata = F.to_json(F.struct(
         "event_ids", F.lit("event_timeline").alias("boundary_source"),
         F.coalesce("__known", F.lit(False)).alias("identity_available"),
     ))
-    drafts = exported.join(known, "material_id", "left").withColumn("metadata_json", metadata)
-    materials, tags, people = build_final_materials(drafts, tags, references.drop("source_video_id"))
+    materials = _final_materials(exported.join(found, "material_id", "left").withColumn("metadata_json", metadata))
+    tags, people = final_event_tags(joined), _final_people(references.drop("source_video_id"))
     persons = references.filter("participant_id IS NOT NULL").select(
         "participant_id",
         F.struct("source_video_id", "material_id", "track_id").alias("pos"),

@@ -144,6 +144,19 @@ def test_registered_materials_carry_metadata_and_persons(frame, catalog):
     assert cat.find_materials(after, "Foul", "white-13").first().material_id == "m7"
 
 
+def test_final_materials_meet_their_events_once(frame):
+    drafts = frame([("v1", "m7", ["e1"], "a.mp4", 0.0, 2.0), ("v2", "m8", ["e2"], "a.mp4", 0.0, 2.0)], "source_video_id string, material_id string, event_ids array<string>, video_path string, start_seconds double, end_seconds double")
+    events = frame([("e1", "v1", "blank", 0.5, None, 0.0, 1.0), ("e2", "v2", "Foul", 0.5, None, 0.0, 1.0)], "event_id string, source_video_id string, event string, confidence double, global_track_id string, evidence_start_seconds double, evidence_end_seconds double")
+    identities = frame([("e1", "p1", "identified", None, None, None, None, "t")], "event_id string, participant_id string, status string, jersey_color string, jersey_number string, player_name string, track_references array<string>, track_id string")
+    old = frame([(v, m, "old", "t", None, None, None, None) for v, m in (("v1", "m7"), ("v2", "m8"))], "source_video_id string, material_id string, participant_id string, track_id string, jersey_color string, jersey_number string, player_name string, identity_status string")
+    people = frame([], "participant_id string, display_name string, jersey_color string, jersey_number string, metadata_json string, created_at string, updated_at string")
+    catalog = cat.Catalog(people, None, None, None)
+    materials = cat.register_final(catalog, drafts, events, identities, old, F.lit("t1")).materials
+    rows = {r.material_id: (r.processing_status, r.metadata_json[-26:]) for r in materials.collect()}
+    assert rows == {"m7": ("ready_without_event", '"identity_available":true}'), "m8": ("ready", '"identity_available":true}')}
+    assert materials._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
+
+
 def test_events_of_large_order_keys_stay_apart(spark, tmp_path):
     lines = spark.sql(
         "SELECT * FROM VALUES (100000L, 1L, 1, 0.05D), (0L, 2L, 1, 0.05D), (10L, 3L, 2, 0D) AS t(l_orderkey, l_partkey, l_linenumber, l_tax)"
