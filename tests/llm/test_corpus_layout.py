@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clipledger.llm import base, causal_lm, ngram_join, packing, sharding, token_store
+from clipledger.llm import base, causal_lm, ngram_join, packing, sharding, token_store, tokens
 from clipledger.llm.tokens import Encoder, encoder, tokenizer_path
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "x"), (None, "no key"), (5, "twice"), (5, "twice"), (6, "é ñ 日本 😀 " * 3), (7, "long " * 9_000)]
@@ -333,6 +333,57 @@ def test_padding_has_no_gradient(monkeypatch):
         np.testing.assert_allclose(one.p[k], two.p[k], atol=1e-6)
 
 
+def test_each_window_is_learnt_once_a_pass(monkeypatch):
+    monkeypatch.setattr(causal_lm, "BUFFER", 10)
+    model = causal_lm.Model(np.append(np.random.default_rng(3).integers(1, 200, 80), [0, 12]))
+    texts = [np.append(np.random.default_rng(n).integers(0, 80, n), 81) for n in (0, 5, 23, 24, 300, 100, 47)]
+    windows, taken, rates = np.concatenate([causal_lm.windows_of(model, t) for t in texts]), Counter(), []
+
+    def step(self, own, state, rate):
+        taken.update(map(tuple, own.tolist()))
+        rates.append(rate)
+
+    monkeypatch.setattr(causal_lm.Model, "step", step)
+    assert model.learn(iter(texts), 0.25, 0.75, len(windows), 3) == len(windows)
+    assert taken == Counter({k: 3 * n for k, n in Counter(map(tuple, windows.tolist())).items()})
+    assert rates == sorted(rates, reverse=True) and rates[0] == 0.75 * causal_lm.RATE
+
+
+def test_attention_learns_from_every_text_however_they_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 60, 12).astype(np.uint16) for _ in range(1500)]
+
+    def tables(rows, parts):
+        df = spark.createDataFrame([(k, k, bytearray(x.tobytes())) for k, x in enumerate(rows)], "doc_id long, check long, ids binary")
+        return causal_lm.train(df.repartition(parts)).p
+
+    plain = tables(texts, 2)
+    for k in (3, 700, 1401):  # the same ids in another order
+        turned = tables([x[::-1] if j == k else x for j, x in enumerate(texts)], 2)
+        assert any(np.abs(turned[name] - plain[name]).max() > 1e-6 for name in plain), k
+    monkeypatch.setattr(causal_lm, "GROUP_IDS", 1500)
+    one, two = tables(texts, 2), tables(texts[:], 5)
+    assert np.abs(one["v"] - plain["v"]).max() > 1e-3
+    for name in one:
+        np.testing.assert_allclose(one[name], two[name], atol=1e-9)
+
+
+def test_new_chunks_have_the_ids_of_the_library(monkeypatch):
+    path = tokenizer_path(TOKENIZER)
+    rng = random.Random(12)
+    pieces = ["<", "|>", "e\u0301", "\u0301x", "\u212b", "it's", "a.b,", "1234", "\U0001f600", "startoftext", "ß.", "--"]
+    texts = [" ".join(rng.choice(pieces) + rng.choice(["", "q", "Zo"]) * rng.randint(0, 3) for _ in range(40)) for _ in range(30)]
+    for size in (1, 7, 256):
+        monkeypatch.setattr(tokens, "JOINED", size)
+        own = tokens.Encoder(path)
+        assert own.mark is not None
+        for with_mark in (own.mark, None):
+            own.mark = with_mark
+            own._clear()
+            got = [ids[a:b].tolist() for _, _, ids, at in own.column(pa.array(texts)) for a, b in zip(at, at[1:])]
+            assert got == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_gradients_agree_with_differences():
     model = causal_lm.Model(np.append(np.random.default_rng(3).integers(1, 200, 60), [0, 12]))
     windows = np.random.default_rng(4).integers(0, causal_lm.CLASSES, (1, causal_lm.WINDOW + 1))
