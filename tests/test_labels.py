@@ -213,6 +213,28 @@ def test_rosters_of_one_kind_are_converted_once_and_told_for_each_game(spark, fr
     assert converted["verdicts"].count() == 35
 
 
+def test_a_row_is_read_once_for_all_games_and_a_game_named_once(spark, frame):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    rows = frame([("r1", "X")], "roster string, name string")
+    members = frame([("g1", "r1"), ("g2", "r1")], "game string, roster string")
+    each = ro.for_each(rows, members, "roster")
+    assert sorted((r["game"], r["name"]) for r in each.collect()) == [("g1", "X"), ("g2", "X")]
+    # the join's first side is walked once, the second once for each row of the first
+    assert plan(each).index("xxhash64") < plan(each).index("explode")
+
+    class Small(Views):
+        def table(self, name):
+            return spark.sql("SELECT id AS o_orderkey, id div 3 * 50 AS o_custkey, 1D * id AS o_totalprice FROM range(30)")
+
+    views = Small(spark, "")
+    games = sorted(map(tuple, views.games.collect()))
+    assert games == sorted(map(tuple, views.game_orders.groupBy("game", "gi").agg(F.max("o_totalprice")).collect())) and len(games) == 10
+    below = plan(views.games).split("Aggregate")[1].split("\n", 1)[1]
+    assert "o_totalprice" in below and "format_string" not in below
+
+
 def test_players_of_a_shared_roster_are_listed_for_each_game(frame):
     rosters = frame([("r", ["A"], True)], "game string, teams array<string>, has_players boolean")
     colors = frame([("r", "A", "white")], "game string, team string, color string")
