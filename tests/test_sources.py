@@ -4,6 +4,7 @@ import os
 import duckdb
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from clipledger.functions import text as fn
@@ -198,6 +199,37 @@ def test_changed_texts_have_their_own_length(spark, tmp_path):
     assert dict((r.doc_id, r.length) for r in got)[3] == 5
 
 
+def test_files_of_a_manifest_are_read_without_a_listing(spark, tmp_path, frame):
+    import hashlib
+
+    texts = [("a/1 %20é.txt", "é\n"), ("a/2.txt", ""), ("b/c/3.txt", "x" * 20_000)]
+    fl.write_contents(frame(texts, "path string, content string"), str(tmp_path))
+    assert [(tmp_path / p).read_bytes() for p, _ in texts] == [t.encode() for _, t in texts]
+    rows = [(k, p, hashlib.sha256(t.encode()).hexdigest().upper()) for k, (p, t) in enumerate(texts)]
+    manifest = frame([*rows, (7, "a/2.txt", "0"), (8, "a/none.txt", "0"), (9, "none/1.txt", "0")], "k int, path string, sha256 string")
+    checked = fl.verify_contents(manifest, f"file:{tmp_path}", 7_000)
+    assert checked.columns == ["k", "path", "sha256", "length", "status"]
+    got = {r.k: (r.length, r.status) for r in checked.collect()}
+    assert got == {0: (3, "ok"), 1: (0, "ok"), 2: (20_000, "ok"), 7: (0, "mismatch"), 8: (None, "missing"), 9: (None, "missing")}
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "binaryFile" not in plan
+    out = frame([(1, "../x", "0")], "k int, path string, sha256 string")
+    with pytest.raises(Exception, match="not below"):
+        fl.verify_contents(out, str(tmp_path)).collect()
+
+
+def test_digests_make_no_folder_per_text_and_tell_repeated_keys_apart(spark, tmp_path):
+    texts = [(k % 30, f"text {k}") for k in range(60)] + [(1, "text 1")] * 2
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries, sql = all_queries()
+    checked = queries["read_digests"](spark, str(tmp_path))
+    assert "binaryFile" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = db.execute(f"SELECT doc_id, length, status FROM ({sql['read_digests']})").fetchall()
+    assert sorted(map(tuple, checked.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_a_half_that_must_hold_the_bad_row_is_not_tried(frame):
     calls = []
 
