@@ -153,11 +153,8 @@ def decision_candidates(decisions: DataFrame, candidates: DataFrame, key: str =
     return decisions.join(nested, key, "left")
 
 
-def roster_lookup(identities: DataFrame, roster: DataFrame) -> DataFrame:
-    """Lookup status and candidate names for each (game, colour, number) row."""
-    shaped = identities.withColumn("jersey_color", normalize_color(F.col("jersey_color"))).withColumn(
-        "jersey_number", normalize_jersey_number(F.col("jersey_number"))
-    )
+def roster_candidates(roster: DataFrame) -> DataFrame:
+    """The sorted names of each (game, colour, number), how many, and the only one."""
     names = (
         roster.select(
             "game",
@@ -169,32 +166,49 @@ def roster_lookup(identities: DataFrame, roster: DataFrame) -> DataFrame:
         .groupBy("game", *CANDIDATE)
         .agg(F.array_sort(F.collect_set("name")).alias("candidate_names"))
     )
-    # Rows of one identity repeat its names. They are kept together, so that files hold each list once.
-    joined = shaped.hint("merge").join(names, ["game", *CANDIDATE], "left")
-    count = F.coalesce(F.size("candidate_names"), F.lit(0))
+    count = F.size("candidate_names")
+    return names.select(
+        "*", count.alias("candidates"), F.when(count == 1, F.get("candidate_names", F.lit(0))).alias("player_name")
+    )
+
+
+def find_candidates(identities: DataFrame, candidates: DataFrame, join: str = "merge") -> DataFrame:
+    """Lookup status and candidates for each (game, colour, number) row.
+
+    ``candidates`` comes from ``roster_candidates``; a form that its names should have for every
+    row is made there once, not for each row. Rows of one identity repeat its names. ``join``
+    ("merge" or "shuffle_hash", which sorts no rows) keeps them together, so that files hold each list once.
+    """
+    shaped = identities.withColumn("jersey_color", normalize_color(F.col("jersey_color"))).withColumn(
+        "jersey_number", normalize_jersey_number(F.col("jersey_number"))
+    )
+    joined = shaped.join(candidates.hint(join), ["game", *CANDIDATE], "left")
     missing_color = F.col("jersey_color").isNull()
     missing_number = F.col("jersey_number").isNull()
+    absent, several = F.col("candidates").isNull(), F.col("candidates") > 1
     status = (
         F.when(missing_color | missing_number, "invalid_identity")
-        .when(F.col("candidate_names").isNull(), "no_match")
-        .when(count > 1, "ambiguous")
+        .when(absent, "no_match")
+        .when(several, "ambiguous")
         .otherwise("matched")
     )
     reason = (
         F.when(missing_color, "color_missing")
         .when(missing_number, "number_missing")
-        .when(F.col("candidate_names").isNull(), "not_in_roster")
-        .when(count > 1, "several_in_roster")
+        .when(absent, "not_in_roster")
+        .when(several, "several_in_roster")
     )
     return joined.select(
-        *shaped.columns,
-        status.alias("lookup_status"),
-        F.when(count == 1, F.get("candidate_names", F.lit(0))).alias("player_name"),
-        F.coalesce("candidate_names", F.array().cast("array<string>")).alias("candidate_names"),
-        reason.alias("lookup_reason"),
+        *shaped.columns, status.alias("lookup_status"), "player_name", "candidate_names", reason.alias("lookup_reason")
     )
 
 
+def roster_lookup(identities: DataFrame, roster: DataFrame) -> DataFrame:
+    """Lookup status and candidate names for each (game, colour, number) row."""
+    found = find_candidates(identities, roster_candidates(roster))
+    return found.withColumn("candidate_names", F.coalesce("candidate_names", F.array().cast("array<string>")))
+
+
 def aggregate_observations(
     observations: DataFrame,
     tracks: DataFrame,

@@ -101,9 +101,11 @@ def roster_lookup_query(v: Views) -> DataFrame:
         F.when(F.col("l_tax") < 0.07, F.when(line % 3 == 0, "0").when(line % 3 == 1, " 00").otherwise("13"))
         .otherwise("1x").alias("jersey_number"),
     )
-    return idn.roster_lookup(identities, v.roster).select(
+    # a list is joined to text once, not once for every row that it is told to
+    names = idn.roster_candidates(v.roster).withColumn("candidate_names", F.array_join("candidate_names", ","))
+    return idn.find_candidates(identities, names, "shuffle_hash").select(
         "track_ref", "pos", "game", "jersey_color", "jersey_number", "lookup_status", "player_name",
-        F.array_join("candidate_names", ",").alias("candidate_names"),
+        F.coalesce("candidate_names", F.lit("")).alias("candidate_names"),
     )
 
 

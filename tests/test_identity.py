@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from clipledger.operators import identity as idn
 from clipledger.operators import observations as obs
+from clipledger.plans.identity import roster_lookup_query
+from clipledger.plans.views import Views
 
 OBS = (
     "track_ref string, pos int, frame_index int, is_on_court_player boolean, "
@@ -185,6 +187,24 @@ def test_rows_of_one_identity_stay_together(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_names_are_joined_to_text_below_the_join_and_rows_are_not_sorted(spark):
+    lines = """SELECT id AS l_orderkey, id AS l_partkey, id AS l_suppkey, cast(id % 7 AS int) AS l_linenumber, 1D * (id % 9) AS l_quantity,
+        0.01D * (id % 9) AS l_tax, element_at(array('A', 'N', 'R'), cast(id % 3 + 1 AS int)) AS l_returnflag FROM range(900)"""
+
+    class Small(Views):
+        def table(self, name):
+            return spark.sql(lines if name == "lineitem" else "SELECT id AS s_suppkey, 's' || id AS s_name FROM range(100)")
+
+    views = Small(spark, "")
+    rows = roster_lookup_query(views)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_join")
+    physical = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in physical and "Sort [" not in physical
+    got = rows.groupBy("lookup_status").count().collect()
+    assert {r.lookup_status for r in got} == {"invalid_identity", "ambiguous", "matched", "no_match"} and sum(r["count"] for r in got) == 900
+
+
 def test_observations_leave_a_batch_as_arrow_columns():
     out = obs._scan.func(pa.array(['[{"image_index": 1, "confidence": 2}, {"image_index": "x", "jersey_number": 1}]', None, "{}", '{"jersey_number": "7"}']))
     items = [[(i["pos"], i["image_index"], i["use_first"], i["jersey_number"], i["confidence"]) for i in x] for x in out.field("items").to_pylist()]
