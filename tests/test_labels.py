@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from clipledger.operators import dataset as ds
 from clipledger.operators import labels as lb
 from clipledger.operators import roster as ro
-from clipledger.plans.labels import _converted
+from clipledger.plans.labels import _converted, build_roster_query
 from clipledger.plans.views import Views
 
 ACT = "clip_id string, action_index int, player string, color string, action string, result boolean, assisted boolean, other_player string"
@@ -235,6 +235,30 @@ def test_a_row_is_read_once_for_all_games_and_a_game_named_once(spark, frame):
     assert "o_totalprice" in below and "format_string" not in below
 
 
+def test_numbers_are_joined_to_text_once_for_all_games_of_a_player(spark):
+    orders = "SELECT id AS o_orderkey, id * 50 AS o_custkey, 1D AS o_totalprice FROM range(14)"
+    customers = "SELECT id AS c_custkey, cast(id % 25 AS int) AS c_nationkey, 'n' || id AS c_name, 's' AS c_mktsegment, 100D * id AS c_acctbal FROM range(70)"
+
+    class Small(Views):
+        def table(self, name):
+            return spark.sql(orders if name == "orders" else customers)
+
+    built = build_roster_query(Small(spark, ""))
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_join")
+    assert {r.jersey_numbers for r in built.filter("name IN ('n0', 'n7', 'n60')").collect()} == {"", "7", "60,06"}
+    assert built.count() == built.distinct().count() == 2 * 70
+
+
+def test_small_sides_of_a_large_result_keep_their_tasks(spark):
+    rows = spark.sql("SELECT 'r' || id % 5 AS roster, 'n' || id AS name FROM range(100)")
+    members = spark.sql("SELECT 'g' || id AS game, 'r' || id % 5 AS roster FROM range(100)")
+    each = ro.for_each(rows, members, "roster").withColumn("task", F.spark_partition_id())
+    assert each.select("task").distinct().count() == 3 and each.count() == 2000
+    plan = each._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("ENSURE_REQUIREMENTS") == 1
+
+
 def test_players_of_a_shared_roster_are_listed_for_each_game(frame):
     rosters = frame([("r", ["A"], True)], "game string, teams array<string>, has_players boolean")
     colors = frame([("r", "A", "white")], "game string, team string, color string")
