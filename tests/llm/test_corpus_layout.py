@@ -308,6 +308,49 @@ def test_the_model_is_a_distribution_and_learns():
     assert model.score(ids, begin).sum() > fresh.score(ids, begin).sum() + 10
 
 
+def test_an_id_depends_on_the_id_before_it(spark, monkeypatch):
+    for name, value in (("CONTEXTS", 16), ("COLUMNS", 4), ("BLOCK", 64), ("PAIRS", 500)):
+        monkeypatch.setattr(causal_lm, name, value)
+    rng = np.random.default_rng(8)
+    texts = [(rng.integers(0, 70, rng.integers(0, 40)) * np.array([1, 0])[k % 2] + np.cumsum(rng.integers(1, 3, 1))).astype(np.uint16) for k in range(300)]
+    df = spark.createDataFrame([(k, k, bytearray(x.tobytes())) for k, x in enumerate(texts)], "doc_id long, check long, ids binary")
+    model = causal_lm.Model(np.append(np.bincount(np.concatenate(texts), minlength=75), [0, len(texts)]))
+    got = causal_lm.count_pairs(model, df.repartition(3))
+    want, end, alone = np.zeros(len(got)), len(model.klass) - 1, causal_lm.CLASSES - causal_lm.TIERS
+    for text in texts:
+        own = [*text.tolist(), end]
+        for before, x in zip([end, *own], own):
+            if model.klass[x] >= alone:
+                want[((int(model.klass[x]) - alone) * 16 + int(model.row[before])) * 4 + int(model.column[x])] += 1
+    assert got.tolist() == want.tolist() and want.sum() > 1000
+    model.learn_pairs(got)
+    # still a distribution over the ids of a class, whatever stands before
+    for before in range(len(model.klass)):
+        for k in range(alone, causal_lm.CLASSES):
+            own = np.flatnonzero(model.klass == k)
+            chance = 10.0 ** (model.share[own].astype(float) + model.after[model.cells(own, np.full(len(own), before))])
+            assert not len(own) or abs(chance.sum() - 1) < 1e-4
+    assert np.abs(model.after).max() > 0.1
+
+
+def test_words_of_one_class_are_told_apart_by_what_stands_before(spark):
+    rng = np.random.default_rng(5)
+    # every id of the second half follows its own id of the first half
+    texts = [np.stack([x, x + 500], 1).ravel().astype(np.uint16) for x in (rng.integers(0, 500, 40) for _ in range(400))]
+    df = spark.createDataFrame([(k, k, bytearray(x.tobytes())) for k, x in enumerate(texts)], "doc_id long, check long, ids binary")
+    model = causal_lm.train(df)
+    pairs = np.stack([np.arange(500), np.arange(500, 1000)], 1)
+    pairs = pairs[(model.klass[pairs] >= causal_lm.CLASSES - causal_lm.TIERS).all(1)]
+    end = len(model.klass) - 1
+    at, other = np.arange(len(pairs)), np.roll(np.arange(len(pairs)), 1)
+    same = model.klass[pairs[at, 1]] == model.klass[pairs[other, 1]]
+    ids = lambda order: np.concatenate([pairs[at, 0][:, None], pairs[order, 1][:, None], np.full((len(pairs), 1), end)], 1).ravel()
+    begin = np.arange(len(pairs) + 1) * 3
+    right, wrong = (model.score(ids(order), begin) for order in (at, other))
+    # scores without the id before are equal but for the ids' own shares
+    assert same.sum() > 20 and (right - wrong)[same].mean() > 0.5
+
+
 def test_every_id_of_a_short_text_is_learnt_once():
     model = causal_lm.Model(np.append(np.random.default_rng(3).integers(1, 200, 80), [0, 12]))
     ids = np.append(np.arange(1, 30), 81)
